@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from moodfeed import lexicon as lx
 from moodfeed.functions.tokens import whitespace_tokens
+from moodfeed.operators.ranking import with_position
+
+MERGED_LIMIT = 100_000
 
 
 def in_language(rows: DataFrame, lang: str | int) -> DataFrame:
@@ -34,8 +37,17 @@ def within_years(rows: DataFrame, as_of_year: int) -> DataFrame:
 
 
 def first_rows(rows: DataFrame, n: int = -1) -> DataFrame:
-    """The first n by ``tweet_id``; -1 keeps all."""
-    return rows if n == -1 else rows.orderBy("tweet_id").limit(n)
+    """The first n by ``tweet_id``; -1 keeps all.
+
+    A small n is kept per task and merged in one; a larger one is cut at its row number, which
+    no single task has to hold.
+    """
+    if n == -1:
+        return rows
+    if n <= MERGED_LIMIT:
+        return rows.orderBy("tweet_id").limit(n)
+    numbered = with_position(rows, ["tweet_id"], "_position")
+    return numbered.filter(F.col("_position") < n).drop("_position")
 
 
 def select_tweets(rows: DataFrame, lang: str | int, as_of_year: int) -> DataFrame:

@@ -36,6 +36,17 @@ CORPUS_SCHEMA = T.StructType(
     ]
 )
 
+VOCABULARY_SCHEMA = T.StructType(
+    [
+        T.StructField("term", T.StringType()),
+        T.StructField("term_id", T.LongType()),
+        T.StructField("df", T.LongType()),
+        T.StructField("n_docs", T.LongType()),
+        T.StructField("idf", T.DoubleType()),
+        T.StructField("lang", T.StringType()),
+    ]
+)
+
 
 def _backup_columns(source: str) -> list:
     """``lang``, ``text`` and the epoch milliseconds, still a string."""
@@ -90,8 +101,7 @@ def write_vocabulary(vocabulary: DataFrame, path: str, mode: str = "errorifexist
 
 
 def read_vocabulary(spark: SparkSession, path: str, lang: str | None = None) -> DataFrame:
-    # languages such as "no" or codes such as 9 stay strings
-    vocabulary = spark.read.parquet(path).withColumn("lang", F.col("lang").cast("string"))
+    vocabulary = spark.read.schema(VOCABULARY_SCHEMA).parquet(path)
     return vocabulary if lang is None else vocabulary.filter(F.col("lang") == lang)
 
 
