@@ -26,10 +26,11 @@ def squeeze_whitespace(text: Column) -> Column:
 
 def split_edge_punctuation(text: Column) -> Column:
     """Set quotes, brackets, ``*`` and ``&`` at the edge of a word apart from it."""
-    limit = f"[{lx.EDGE_LIMITS}{lx.SPACES}]"
-    left = rf"(^|{limit})([{lx.EDGE_SYMBOLS}]+)([{lx.EDGE_CONTENT}])"
-    right = rf"([{lx.EDGE_CONTENT}])([{lx.EDGE_SYMBOLS}]+)({limit}|\z)"
-    return F.regexp_replace(F.regexp_replace(text, left, "$1$2 $3"), right, "$1 $2$3")
+    edge, content = f"[{lx.EDGE_SYMBOLS}]", f"[{lx.EDGE_CONTENT}]"
+    limits = f"{lx.EDGE_LIMITS}{lx.SPACES}"
+    opening = rf"(?={edge})(?<![^{limits}]){edge}++(?={content})"
+    closing = rf"(?={edge})(?<={content}){edge}++(?=[{limits}]|\z)"
+    return F.regexp_replace(F.regexp_replace(text, opening, "$0 "), closing, " $0")
 
 
 def unescape_html(text: Column) -> Column:

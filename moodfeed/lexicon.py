@@ -236,11 +236,21 @@ def protected_spans(countries: tuple[str, ...], tagged: bool = False) -> str:
     may_begin = (
         r"(?=\G|(?<![A-Za-z0-9])|[^A-Za-z0-9]|.[._-]|http|[0-9][A-Za-z]|(?<![0-9])[0-9])"
     )
-    spans = (
-        (f"(?<{tag_name(kind)}>{patterns[kind]})" if tagged else f"(?:{patterns[kind]})")
-        for kind in ENTITY_KINDS
-    )
-    return f"{may_begin}(?:{'|'.join(spans)})"
+    if tagged:
+        spans = "|".join(f"(?<{tag_name(kind)}>{patterns[kind]})" for kind in ENTITY_KINDS)
+        return f"{may_begin}(?:{spans})"
+    spans = "|".join(f"(?:{patterns[kind]})" for kind in ENTITY_KINDS)
+    return f"{_plain_words()}|{may_begin}(?:{spans})"
+
+
+def _plain_words() -> str:
+    """Most of a text: words of Latin letters up to a space, a comma or the end.
+
+    No pattern begins inside them, so marking them off as well changes no token and lets the
+    search pass over them in one step. A space may begin an abbreviation and is left then.
+    """
+    word = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]++"
+    return rf"(?:\G|(?<![^ ]))(?:(?:{word} (?![A-Za-z]\.))++|{word}(?=,?(?: |\z)))"
 
 
 def tag_name(kind: str) -> str:

@@ -28,7 +28,8 @@ def tokenize(
     """Replace the text by ``rep_count``, ``negation_count`` and the marked ``tokens``.
 
     Each step is a projection of its own, so that later columns read the array instead of
-    repeating the patterns.
+    repeating the patterns. Generating the token list, as one row, keeps later filters (on the
+    label, say) above it: pushed below, they would tokenise a second time.
     """
     words = lx.stopwords() if stopwords is None else stopwords
     others = [c for c in tweets.columns if c != text_col]
@@ -47,7 +48,7 @@ def tokenize(
         *others,
         "rep_count",
         fx.count_negations(F.col("_kept"), negation_word).alias("negation_count"),
-        fx.mark_negation(F.col("_kept"), negation_word).alias("tokens"),
+        F.explode(F.array(fx.mark_negation(F.col("_kept"), negation_word))).alias("tokens"),
     )
 
 

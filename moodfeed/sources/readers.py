@@ -48,7 +48,7 @@ VOCABULARY_SCHEMA = T.StructType(
 )
 
 
-def _backup_columns(source: str) -> list:
+def backup_columns(source: str) -> list:
     """``lang``, ``text`` and the epoch milliseconds, still a string."""
     field = f"{source}." if source else ""
     return [
@@ -61,14 +61,14 @@ def _backup_columns(source: str) -> list:
 def read_backup(spark: SparkSession, path: str) -> DataFrame:
     """JSON-lines backup files, plain or compressed. Rows get an id in file order."""
     rows = spark.read.schema(BACKUP_SCHEMA).json(path)
-    return rows.select(F.monotonically_increasing_id().alias("tweet_id"), *_backup_columns(""))
+    return rows.select(F.monotonically_increasing_id().alias("tweet_id"), *backup_columns(""))
 
 
 def parse_backup(lines: DataFrame, json_col: str = "json") -> DataFrame:
     """The same for a column of JSON objects; other columns stay."""
     others = [c for c in lines.columns if c != json_col]
     parsed = lines.select(*others, F.from_json(json_col, BACKUP_SCHEMA).alias("_doc"))
-    return parsed.select(*others, *_backup_columns("_doc"))
+    return parsed.select(*others, *backup_columns("_doc"))
 
 
 def read_polarity(spark: SparkSession, path: str) -> DataFrame:

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,9 +27,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_scope: ContextVar[str] = ContextVar("scope", default="")
+
+
+def _application_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/moodfeed/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    app = spark.sparkContext.applicationId
-    return f"{shared_folder(spark)}/moodfeed/{app}/{name}-{uuid.uuid4().hex}"
+    return f"{_application_folder(spark)}{_scope.get()}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -36,11 +45,26 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside is deleted at the end: for micro-batches, whose results are written
+    out before it."""
+    folder = f"/scratch-{uuid.uuid4().hex}"
+    token = _scope.set(folder)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        _delete(spark, f"{_application_folder(spark)}{folder}")
+
+
 def release(spark: SparkSession) -> None:
     """Delete what this application staged."""
-    jvm = spark.sparkContext._jvm
-    app = f"{shared_folder(spark)}/moodfeed/{spark.sparkContext.applicationId}"
-    path = jvm.org.apache.hadoop.fs.Path(app)
+    _delete(spark, _application_folder(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
