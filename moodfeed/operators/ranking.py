@@ -37,10 +37,27 @@ def with_position(rows: DataFrame, keys: list[str], name: str = "position") -> D
 
 
 def split_positional(
-    rows: DataFrame, fraction: float = 0.7, key: str = "tweet_id"
+    rows: DataFrame, fraction: float = 0.7, key: str = "tweet_id", group: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """First ``int(fraction * n)`` rows by the key, and the rest."""
-    numbered = with_position(rows, [key], "_position")
-    n_train = int(fraction * rows.count())
-    first = F.col("_position") < n_train
-    return numbered.filter(first).drop("_position"), numbered.filter(~first).drop("_position")
+    """First ``int(fraction * n)`` rows by the key, and the rest; for each group, if one is named.
+
+    Groups need not fit a task: all rows are sorted together and each group's first place and size
+    are looked up.
+    """
+    groups = [group] if group else []
+    numbered = with_position(rows, [*groups, key], "_position")
+    sizes = numbered.groupBy(*groups).agg(
+        F.min("_position").alias("_first"), F.count("*").alias("_n")
+    )
+    if group:
+        numbered = numbered.join(stage(sizes, "sizes"), group)
+        first, n = F.col("_first"), F.col("_n")
+    else:
+        _, total = sizes.first()
+        first, n = F.lit(0), F.lit(total)
+    # the product is cut as a double, as int(fraction * n) is
+    in_train = F.col("_position") - first < F.floor(F.lit(fraction) * n)
+    return (
+        numbered.filter(in_train).select(*rows.columns),
+        numbered.filter(~in_train).select(*rows.columns),
+    )

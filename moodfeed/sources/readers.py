@@ -15,16 +15,7 @@ BACKUP_SCHEMA = T.StructType(
     ]
 )
 
-POLARITY_SCHEMA = T.StructType(
-    [
-        T.StructField("target", T.IntegerType()),
-        T.StructField("id", T.LongType()),
-        T.StructField("date", T.StringType()),
-        T.StructField("flag", T.StringType()),
-        T.StructField("user", T.StringType()),
-        T.StructField("text", T.StringType()),
-    ]
-)
+POLARITY_DDL = "target int, id bigint, date string, flag string, user string, text string"
 
 CSV_OPTIONS = {"quote": '"', "escape": '"'}
 
@@ -73,14 +64,14 @@ def parse_backup(lines: DataFrame, json_col: str = "json") -> DataFrame:
 
 def read_polarity(spark: SparkSession, path: str) -> DataFrame:
     """Labelled corpus as CSV: ``tweet_id, target, text``."""
-    rows = spark.read.schema(POLARITY_SCHEMA).options(**CSV_OPTIONS).csv(path)
+    rows = spark.read.schema(POLARITY_DDL).options(**CSV_OPTIONS).csv(path)
     return rows.select(F.col("id").alias("tweet_id"), "target", "text")
 
 
 def parse_polarity(lines: DataFrame, line_col: str = "line") -> DataFrame:
     others = [c for c in lines.columns if c != line_col]
     parsed = lines.select(
-        *others, F.from_csv(line_col, POLARITY_SCHEMA.simpleString()[7:-1], CSV_OPTIONS).alias("_r")
+        *others, F.from_csv(line_col, POLARITY_DDL, CSV_OPTIONS).alias("_r")
     )
     return parsed.select(*others, "_r.target", "_r.text")
 
