@@ -84,6 +84,10 @@ def entities(tweets: DataFrame, text_col: str = "text") -> DataFrame:
     lowered = tweets.select(
         *others, tx.truncate_elongations(F.lower(text_col)).alias("_text")
     )
-    return lowered.select(
-        *others, F.posexplode(tk.tagged_tokens(F.col("_text"))).alias("pos", "_tagged")
-    ).select(*others, "pos", "_tagged.kind", "_tagged.token")
+    # outer, since the plain form would tokenise once more to filter empty lists beforehand
+    tagged = F.posexplode_outer(tk.tagged_tokens(F.col("_text"))).alias("pos", "_tagged")
+    return (
+        lowered.select(*others, tagged)
+        .filter(F.col("pos").isNotNull())
+        .select(*others, "pos", "_tagged.kind", "_tagged.token")
+    )

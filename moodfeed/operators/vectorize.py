@@ -32,7 +32,10 @@ def tweet_terms(
 
 
 def explode_terms(terms: DataFrame) -> DataFrame:
-    return terms.select("tweet_id", "lang", F.explode("terms").alias("term"))
+    # A plain explode would add a filter on the list's size, which Spark pushes down together with
+    # the whole tokenising expression; the outer form does not.
+    rows = terms.select("tweet_id", "lang", F.explode_outer("terms").alias("term"))
+    return rows.filter(F.col("term").isNotNull())
 
 
 def document_frequency(terms: DataFrame) -> DataFrame:

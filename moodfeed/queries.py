@@ -339,8 +339,8 @@ def ngrams(spark, sf_dir):
     split = _processed(spark, sf_dir).select(
         "tweet_id", tk.whitespace_tokens(F.col("corpus")).alias("tokens")
     )
-    grams = split.select("tweet_id", F.explode(tk.ngrams(F.col("tokens"))).alias("term"))
-    return grams
+    grams = split.select("tweet_id", F.explode_outer(tk.ngrams(F.col("tokens"))).alias("term"))
+    return grams.filter(F.col("term").isNotNull())
 
 
 def document_frequency(spark, sf_dir):
