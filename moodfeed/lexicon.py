@@ -184,7 +184,9 @@ def _east_asian() -> str:
     jump = rf"(?<eaj>[0oOvVtTxX]){FACE_CENTER}\k<eaj>|&[lg]t;[._-]+{ANGLE}"
     reach = rf"(?=(?:(?!{right})(?:{jump}|{symbol}))*+{right})"
     steps = rf"(?:(?:(?:(?!{_face('ear')}){plain})++|{_face('eas')}|{symbol}){reach})++"
-    return rf"{EAST_LEFT}+{steps}{right}+"
+    # if none begins at the first LEFT character of a run, none begins at the others
+    first = rf"(?:\G|(?<!{EAST_LEFT}))"
+    return rf"{first}{EAST_LEFT}+(?=[-*0oOvVtTxX]|{symbol}){steps}{right}+"
 
 
 def _emoticon() -> str:
@@ -212,14 +214,22 @@ def _abbreviation() -> str:
 @lru_cache(maxsize=None)
 def protected_spans(countries: tuple[str, ...], tagged: bool = False) -> str:
     """Spans that stay one token. ``tagged`` names a group after each kind."""
-    # Nothing inside a run can match it if nothing did at its start or after the last match.
-    apostrophe = rf"(?:\G|(?<![^ .,?\"]))[^ .,?\"]+{APOSTROPHE}[^ .,?\"]*"
+    # \G, the end of the last match, goes with tests that skip places inside a run: a pattern that
+    # failed where the run, or the search, began fails inside it too.
+    chunk = "[^ .,?\\\"]"
+    unquoted = "[^ .,?\\\"'’′]"
+    apostrophe = (
+        rf"(?:\G|(?<!{chunk}))(?={chunk}{unquoted}*+{APOSTROPHE}){chunk}+{APOSTROPHE}{chunk}*"
+    )
     patterns = {
         "heart": "(?:<+/?3+)++",
         "url": _url(countries),
         "email": _email(),
         "time": rf"{DIGIT}++(?::{DIGIT}+){{1,2}}",
-        "comma_number": rf"(?<!{DIGIT})(?:{DIGIT}{{1,3}},)++{DIGIT}{{3}}(?=[^,{DIGIT}]|\z)",
+        "comma_number": (
+            rf"(?<!{DIGIT})(?:\G|(?<!(?<!{DIGIT}){DIGIT}{{1,3}},))"
+            rf"(?:{DIGIT}{{1,3}},)++{DIGIT}{{3}}(?=[^,{DIGIT}]|\z)"
+        ),
         "number": rf"{CURRENCY}?{DIGIT}++(?:\.{DIGIT}+)++%?",
         "emoticon": _emoticon(),
         "arrow": r"<*+[\-―—=]*+>++|<++[\-―—=]*+>*+|[\x{2190}-\x{21ff}]+",
