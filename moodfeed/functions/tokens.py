@@ -41,22 +41,22 @@ def tagged_tokens(text: Column) -> Column:
     edged = split_edge_punctuation(squeeze_whitespace(text))
     spans = lx.protected_spans(lx.country_domains(), tagged=True)
     # Only the group that matched is not empty; tabs before it tell the kind.
-    groups = "\t".join(f"${{{lx.tag_name(kind)}}}" for kind in lx.ENTITY_KINDS)
-    marked = F.regexp_replace(edged, spans, f"{MARK}{groups}{MARK}")
-    kinds = F.array(*[F.lit(kind) for kind in lx.ENTITY_KINDS])
+    groups = [lx.PLAIN, *lx.ENTITY_KINDS]
+    fields = "\t".join(f"${{{lx.tag_name(kind)}}}" for kind in groups)
+    marked = F.regexp_replace(edged, spans, f"{MARK}{fields}{MARK}")
+    kinds = F.array(F.lit(None).cast("string"), *[F.lit(kind) for kind in lx.ENTITY_KINDS])
 
     def entity(piece: Column) -> Column:
         tabs = F.length(piece) - F.length(F.ltrim(piece, F.lit("\t")))
         return _tagged(F.get(kinds, tabs), F.trim(F.translate(piece, "\t", "")))
 
-    def word(token: Column) -> Column:
-        return _tagged(F.lit(None).cast("string"), token)
+    def words(piece: Column) -> Column:
+        split = F.split(F.translate(piece, "\t", ""), " ")
+        return F.transform(split, lambda word: _tagged(F.lit(None).cast("string"), word))
 
     pieces = F.transform(
         F.split(marked, MARK),
-        lambda p: F.when(F.contains(p, F.lit("\t")), F.array(entity(p))).otherwise(
-            F.transform(F.split(p, " "), word)
-        ),
+        lambda p: F.when(F.startswith(p, F.lit("\t")), F.array(entity(p))).otherwise(words(p)),
     )
     return F.filter(F.flatten(pieces), lambda t: t["token"] != "")
 

@@ -92,6 +92,9 @@ ENTITY_KINDS = [
     "punctuation", "abbreviation", "separator", "decoration", "apostrophe", "hashtag", "mention",
 ]
 
+# words marked off together because no pattern begins in them
+PLAIN = "plain"
+
 
 def emoticons(strict: bool = False) -> tuple[list[str], list[str]]:
     """(positive, negative). ``:-(`` counts as positive unless ``strict``."""
@@ -248,19 +251,27 @@ def protected_spans(countries: tuple[str, ...], tagged: bool = False) -> str:
     )
     if tagged:
         spans = "|".join(f"(?<{tag_name(kind)}>{patterns[kind]})" for kind in ENTITY_KINDS)
-        return f"{may_begin}(?:{spans})"
+        return f"(?<{tag_name(PLAIN)}>{_plain_words()})|{may_begin}(?:{spans})"
     spans = "|".join(f"(?:{patterns[kind]})" for kind in ENTITY_KINDS)
-    return f"{_plain_words()}|{may_begin}(?:{spans})"
+    return f"{_plain_words(marks=True)}|{may_begin}(?:{spans})"
 
 
-def _plain_words() -> str:
-    """Most of a text: words of Latin letters up to a space, a comma or the end.
+def _plain_words(marks: bool = False) -> str:
+    """Most of a text: words of Latin letters up to a space, with or without a mark, or the end,
+    and, if wanted, these marks.
 
-    No pattern begins inside them, so marking them off as well changes no token and lets the
-    search pass over them in one step. A space may begin an abbreviation and is left then.
+    No other pattern begins inside them, so marking them off as well changes no token and lets the
+    search pass over them in one step. A space may begin an abbreviation and is left then; a full
+    stop may belong to a title, but not after four letters.
     """
-    word = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]++"
-    return rf"(?:\G|(?<![^ ]))(?:(?:{word} (?![A-Za-z]\.))++|{word}(?=,?(?: |\z)))"
+    letter = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
+    space = r" (?![A-Za-z]\.)"
+    return (
+        rf"(?:\G|(?<![^ ]))(?:(?:{letter}++{space})++|{letter}{{4,}}+(?=[.,!?]?(?: |\z))"
+        rf"|{letter}++(?=[,!?]?(?: |\z))"
+        + (rf"|[.,!?]++(?:\z|{space}|(?= ))" if marks else "")
+        + ")"
+    )
 
 
 def tag_name(kind: str) -> str:

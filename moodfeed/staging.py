@@ -71,9 +71,10 @@ def _delete(spark: SparkSession, folder: str) -> None:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use every core where the input has fewer splits than that (one small file, say).
 
-    Inputs with many splits are left as they are, without a shuffle.
+    Inputs with many splits are left as they are, without a shuffle. Texts differ in length, so
+    there are a few tasks per core.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= slots:
         return df
-    return df.repartition(slots, *keys)
+    return df.repartition(4 * slots, *keys)
