@@ -17,13 +17,19 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(CHECKPOINT_DIR, None)
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors can reach")
-        folder = tempfile.mkdtemp(prefix="moodfeed-")
-        spark.conf.set(CHECKPOINT_DIR, folder)
+        # unset on a single machine, as in tests
+        app = spark.sparkContext.applicationId
+        if app not in _local_folders:
+            _local_folders[app] = tempfile.mkdtemp(prefix="moodfeed-")
+        folder = _local_folders[app]
     return folder.rstrip("/")
 
 
@@ -39,10 +45,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
+    return stage_at(df, fresh_path(df.sparkSession, name))
+
+
+def stage_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
@@ -55,15 +63,16 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _scope.reset(token)
-        _delete(spark, f"{_application_folder(spark)}{folder}")
+        discard(spark, f"{_application_folder(spark)}{folder}")
 
 
 def release(spark: SparkSession) -> None:
     """Delete what this application staged."""
-    _delete(spark, _application_folder(spark))
+    discard(spark, _application_folder(spark))
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a folder below the application's own."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
