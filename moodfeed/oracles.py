@@ -281,6 +281,11 @@ _BODIES = {
             WHEN 5 THEN '''re' WHEN 6 THEN '''s' WHEN 7 THEN '''m' ELSE '' END AS w
           FROM words)
     GROUP BY tweet_id) USING (tweet_id)""",
+    "hashtag_mention_counts": """
+  SELECT CASE WHEN token[1] = '#' THEN 'hashtag' ELSE 'mention' END AS kind, token, count(*) AS n
+  FROM (SELECT unnest(regexp_extract_all(text, '(?:^|[ (])([#@][a-z0-9_]+)', 1)) AS token
+        FROM normal)
+  GROUP BY ALL""",
     "stopword_filter": tokens_of("kept"),
     "retweet_filter": tokens_of("(SELECT * FROM words WHERE NOT starts_with(w, 'rt'))"),
     "tokenize_whitespace": f"SELECT tweet_id, {squeezed('text')} AS tokens FROM tweets",
