@@ -86,7 +86,7 @@ def join_vocabulary(terms: DataFrame, vocabulary: DataFrame, unseen: bool = Fals
     else:
         lookup = vocabulary.withColumn("_rows", F.col("df"))
     postings = lookup.agg(F.sum("_rows")).first()[0] or 0
-    is_hot = F.col("_rows") > postings / HOT_SHARE
+    is_hot = F.col("_rows") > postings // HOT_SHARE
     marked = explode_terms(terms).join(F.broadcast(lookup.filter(is_hot)), keys, "left")
     found = marked.filter(F.col("_rows").isNotNull())
     rest = marked.filter(F.col("_rows").isNull()).select("tweet_id", *keys)
