@@ -78,6 +78,31 @@ LABELLED = """
 80 0 90 0 8 0 0 1 1 1
 8 0 80 0 0 0 1 0 1 0
 20 10 80 0 0 0 1 0 1 0
+6 0 8 0 13 0 0 1 1 1
+5 0 2 100 3 0 0 1 1 1
+10 0 1 100 2 0 0 1 1 1
+3 0 6 100 40 0 0 1 1 1
+14 0 12 0 4 100 0 1 1 1
+2 0 30 0 8 25 0 1 1 1
+1 0 1 0 1 0 0 1 1 1
+22 0 5 0 3 100 0 1 1 1
+45 0 4 0 6 90 0 1 1 1
+16 0 0 0 0 0 0 1 1 1
+33 9 20 0 9 60 0 1 1 1
+5 100 35 0 28 0 0 1 1 1
+2 100 9 0 65 0 0 1 1 1
+7 0 7 0 7 0 0 1 1 1
+24 0 2 0 2 0 0 1 1 1
+40 0 1 100 1 100 0 1 1 1
+18 30 18 30 18 30 0 1 1 1
+250 0 4 0 3 0 0 1 1 1
+11 0 200 0 6 17 0 1 1 1
+8 0 3 100 220 0 0 1 1 1
+62 0 80 0 2 100 0 0 1 0
+30 0 12 0 45 0 0 0 1 0
+12 0 60 0 3 100 0 0 1 0
+90 0 50 5 10 0 0 0 1 0
+5 0 2 100 8 0 0 0 1 0
 55 0 30 0 12 0 1 1 1 0
 6 0 90 0 50 0 1 1 1 0
 2 100 80 0 2 100 1 1 1 0
