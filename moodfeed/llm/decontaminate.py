@@ -117,7 +117,7 @@ def occurrences(words: Words, block: Block) -> tuple[np.ndarray, np.ndarray, np.
     room = stop - np.arange(n)
     suffixes = np.flatnonzero(room >= block.shortest)
     none = np.zeros(0, np.int64)
-    if not len(suffixes):
+    if not (len(suffixes) and block.lengths):
         return none, none, none
     padded = np.concatenate([numbers, np.zeros(width, np.uint32)])
     rows = np.lib.stride_tricks.sliding_window_view(padded, width)[suffixes]

@@ -228,7 +228,9 @@ def inherit(files: DataFrame, own: str, name: str, path: str = "path") -> DataFr
         .agg(F.min_by(F.struct("top.license", "top.score", "from"), "up").alias("nearest"))
     )
     nearest = stage(nearest, "nearest")
-    joined = _left(rows, nearest, directory)
+    where, top = unused(rows, "at_directory"), unused(rows, "nearest")
+    other = nearest.select(F.col("directory").alias(where), F.col("nearest").alias(top))
+    joined = rows.join(other, F.col(directory) == F.col(where), "left")
     result = F.when(
         F.col(own).isNotNull(),
         F.struct(
@@ -238,17 +240,12 @@ def inherit(files: DataFrame, own: str, name: str, path: str = "path") -> DataFr
             F.col(path).alias("sources"),
         ),
     ).when(
-        F.col("_nearest").isNotNull(),
+        F.col(top).isNotNull(),
         F.struct(
-            F.col("_nearest.license").alias("license"),
-            F.col("_nearest.score").alias("score"),
+            F.col(f"{top}.license").alias("license"),
+            F.col(f"{top}.score").alias("score"),
             F.lit("inherited").alias("origin"),
-            F.col("_nearest.from").alias("sources"),
+            F.col(f"{top}.from").alias("sources"),
         ),
     )
     return joined.withColumn(name, result).select(*files.columns, name)
-
-
-def _left(rows: DataFrame, nearest: DataFrame, directory: str) -> DataFrame:
-    other = nearest.select(F.col("directory").alias("_directory"), F.col("nearest").alias("_nearest"))
-    return rows.join(other, F.col(directory) == F.col("_directory"), "left")

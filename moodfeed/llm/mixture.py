@@ -177,8 +177,9 @@ def mix(
     own, key = unused(docs, "plan"), unused(docs, "key")
     rows = docs.withColumn(key, random_key(id_column))
     # one row a source; Spark broadcasts it if it is small and splits large sources if not
-    packed = plan.select(F.col("source").alias("_source"), F.struct("*").alias(own))
-    joined = rows.join(packed, F.col("source").eqNullSafe(F.col("_source")))
+    named = unused(docs, "of_source")
+    packed = plan.select(F.col("source").alias(named), F.struct("*").alias(own))
+    joined = rows.join(packed, F.col("source").eqNullSafe(F.col(named)))
     size, under = words_in(), F.col(f"{own}.epochs") < max_epochs
     whole = F.coalesce((F.col(key) <= F.col(f"{own}.cut")) & under, F.lit(False))
     part = F.coalesce((F.col(key) == F.col(f"{own}.part_key")) & under, F.lit(False))

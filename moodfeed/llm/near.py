@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moodfeed.llm import words as wd
-from moodfeed.llm.arrow import slices, text_bytes
+from moodfeed.llm.arrow import slices, text_bytes, unused
 from moodfeed.llm.components import connect
 from moodfeed.llm.ship import ship
 from moodfeed.staging import stage
@@ -317,18 +317,18 @@ def _runs(rows: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents of ``docs`` that are the first of their class, and those not compared."""
-    from moodfeed.llm.arrow import unused
-
     classes = stage(near_classes(docs.select("doc_id", "text"), threshold), "classes")
+    key, number, gone_id, gone_hash = (
+        unused(docs, n) for n in ("text_hash", "number", "gone_id", "gone_hash")
+    )
     gone = classes.where("doc_id != class_id").select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")
+        F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash)
     )
-    key, number = unused(docs, "text_hash"), unused(docs, "number")
     rows = docs.withColumn(key, F.unhex(F.md5("text"))).withColumn(
         number, F.col("doc_id").cast("long")
     )
     kept = rows.join(
-        gone, (F.col(number) == F.col("_id")) & (F.col(key) == F.col("_hash")), "left_anti"
+        gone, (F.col(number) == F.col(gone_id)) & (F.col(key) == F.col(gone_hash)), "left_anti"
     )
     # rows alike in id and text are one document
     return kept.dropDuplicates([number, key]).drop(key, number)

@@ -2,4 +2,128 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+_ASCII_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+OP3 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+), n AS (
+  SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b
+  FROM n a JOIN n b ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM n
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), parts AS (
+  SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id,
+  vec_id = component_id AS kept
+FROM parts
+"""
+
+OP6 = f"""
+WITH w AS (
+  SELECT doc_id, {_WORDS} AS ws FROM documents
+), places AS (
+  SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w
+), windows AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS win FROM places
+), again AS (
+  SELECT win FROM windows GROUP BY win HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM windows SEMI JOIN again USING (win)
+), words AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS kept, count(*) AS n
+  FROM words ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+OP8 = f"""
+WITH d AS (
+  SELECT doc_id, source, len({_WORDS})::BIGINT AS size,
+    md5('mix:' || coalesce(doc_id::VARCHAR, text, '')) AS key
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), p AS (
+  SELECT *, [1, 2, 3][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT]::BIGINT
+    AS weight, 3 * source_size AS most
+  FROM s
+), l AS (
+  SELECT *, most / weight AS full_at,
+    (sum(source_size) OVER ()::BIGINT - coalesce(sum(most) OVER (ORDER BY most / weight, source IS NULL,
+      source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT)
+    / (sum(weight) OVER (ORDER BY most / weight, source IS NULL, source
+      ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS level
+  FROM p
+), f AS (
+  SELECT *, first_value(CASE WHEN level * weight <= most THEN level END IGNORE NULLS) OVER (
+      ORDER BY full_at, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS final
+  FROM l
+), t AS (
+  SELECT source, source_size, coalesce(final * weight, most)::DOUBLE AS target,
+    CASE WHEN source_size > 0
+      THEN floor(coalesce(final * weight, most) / source_size)::BIGINT ELSE 0 END AS epochs
+  FROM f
+), o AS (
+  SELECT d.*, source_size, target, epochs, target - epochs * source_size AS budget,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  (epochs * size + CASE WHEN epochs >= 3 THEN 0 WHEN start + size <= budget THEN size
+    WHEN start < budget THEN floor(budget - start) ELSE 0 END)::BIGINT AS taken
+FROM o
+"""
+
+OP10 = f"""
+WITH d AS (
+  SELECT doc_id, {_ASCII_WORDS} AS ws FROM documents
+), b AS (
+  SELECT item_id::VARCHAR AS item_id, {_ASCII_WORDS} AS ws FROM benchmark
+), tests AS (
+  SELECT item_id, ws, least(13, len(ws)) AS n, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS i
+  FROM b WHERE len(ws) > 0
+), windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS win FROM tests
+), places AS (
+  SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i
+  FROM d, (SELECT DISTINCT n FROM windows)
+), found AS (
+  SELECT doc_id, i, n, item_id
+  FROM (SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS win FROM places)
+  JOIN windows USING (n, win)
+), hit AS (
+  SELECT doc_id, count(DISTINCT j) AS n_hit
+  FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS j FROM found) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items,
+    sha256(string_agg(DISTINCT item_id, ',' ORDER BY item_id)) AS items_sha256
+  FROM found GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(n_items, 0)::BIGINT AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_near_vectors": OP3,
+    "op6_repeated_windows": OP6,
+    "op8_mixture": OP8,
+    "op10_decontaminate": OP10,
+}
