@@ -208,6 +208,7 @@ def _counted(contents: DataFrame) -> DataFrame:
     repeated = (
         rows.groupBy("anchor", "w").agg(F.sum("copies").alias("all")).where("all > 1").drop("all")
     )
+    repeated = stage(repeated, "windows")  # as the anchors
     found = rows.join(repeated, ["anchor", "w"])
     return found.select("anchor", "content", "at", F.lit(1).alias("m"))
 
@@ -224,6 +225,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
         .where("many > 1")
         .select("anchor", "differ", (F.col("many") > HOT).alias("hot"))
     )
+    # stored, so that the join has a shuffle of its own, whose hot anchors Spark can split
+    shared = stage(shared, "anchors")
     flagged = stage(pieces.join(shared, "anchor"), "pieces")
     differing = flagged.where("differ")
     lists = differing.groupBy(*KEY).agg(
