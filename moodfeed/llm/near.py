@@ -260,7 +260,9 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
     keys = copies.where("n > 0").select("first_id", F.explode("keys").alias("key"))
     hubs = keys.groupBy("key").agg(F.min("first_id").alias("hub"), F.count("*").alias("many"))
-    ties = keys.join(hubs.where("many > 1").drop("many"), "key").where("first_id != hub")
+    # stored, so that the join has a shuffle of its own, whose hot keys Spark can split
+    hubs = stage(hubs.where("many > 1").drop("many"), "hubs")
+    ties = keys.join(hubs, "key").where("first_id != hub")
     clouds = stage(connect(ties.select(F.col("first_id").alias("a"), F.col("hub").alias("b")).distinct()), "clouds")
     sizes = stage(clouds.groupBy("component").agg(F.count("*").alias("texts")), "cloud_sizes")
     # the texts of a cloud in blocks by the hash of their id; each pair of blocks is one group
