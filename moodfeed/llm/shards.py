@@ -89,6 +89,19 @@ def _key(names: list[str]) -> Column:
     return F.array(own, *map(F.col, REFINE))
 
 
+def _values(table: DataFrame, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A small table of whole numbers and lists of them, to be broadcast; as SQL, which needs no
+    Python on the executors."""
+
+    def literal(value: int | list[int]) -> str:
+        return f"array({', '.join(map(str, value))})" if isinstance(value, list) else str(value)
+
+    listed = ", ".join(f"({', '.join(map(literal, row))})" for row in rows)
+    return F.broadcast(
+        table.sparkSession.sql(f"SELECT * FROM VALUES {listed} AS rules({', '.join(names)})")
+    )
+
+
 def _rules(table: DataFrame, nodes: list[Node], pending: list[int]) -> DataFrame:
     """The nodes as a table, of twice as many rows as there are shards."""
     at = {id(x): i for i, x in enumerate(nodes)}
@@ -97,20 +110,18 @@ def _rules(table: DataFrame, nodes: list[Node], pending: list[int]) -> DataFrame
         left, right = (at[id(c)] for c in x.children or (x, x))
         depth = len(x.path) if i in pending else -1
         rows.append((i, x.dimension, x.cut(), left, right, x.path or [0], depth))
-    schema = (
-        "node int, dimension int, cut array<int>, left int, right int, path array<int>, depth int"
-    )
-    return F.broadcast(table.sparkSession.createDataFrame(rows, schema))
+    names = ["node", "dimension", "cut", "to_left", "to_right", "path", "depth"]
+    return _values(table, rows, names)
 
 
 def place(table: DataFrame, root: Node, names: list[str]) -> DataFrame:
     """Add the number, in the order of ``root.all()``, of the ``node`` that each row falls into."""
-    rules = _rules(table, root.all(), []).select("node", "dimension", "cut", "left", "right")
+    rules = _rules(table, root.all(), []).select("node", "dimension", "cut", "to_left", "to_right")
     columns = table.columns
     table = table.withColumn("node", F.lit(0))
     level = [root]
     while level := [c for x in level for c in x.children or ()]:
-        step = F.when(_key(names) < F.col("cut"), F.col("left")).otherwise(F.col("right"))
+        step = F.when(_key(names) < F.col("cut"), F.col("to_left")).otherwise(F.col("to_right"))
         table = table.join(rules, "node").select(*columns, step.alias("node"))
     return table
 
@@ -223,7 +234,7 @@ def kd_shards(
     own = unused(docs, "row")
     packed = docs.select(F.struct(*docs.columns).alias(own), *(c.alias(n) for n, c in columns.items()))
     firsts = [(i, x.first) for i, x in enumerate(tree.all())]
-    shard = F.broadcast(docs.sparkSession.createDataFrame(firsts, "node int, shard int"))
+    shard = _values(docs, firsts, ["node", "shard"])
     placed = place(packed, tree, names).join(shard, "node")
     return placed.select(*(F.col(own)[c].alias(c) for c in docs.columns), F.col("shard").alias(name))
 
