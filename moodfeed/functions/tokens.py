@@ -26,7 +26,7 @@ def whitespace_tokens(text: Column) -> Column:
 def twitter_tokens(text: Column) -> Column:
     """Links, emoticons, numbers and the like stay whole; the rest splits at spaces."""
     edged = split_edge_punctuation(squeeze_whitespace(text))
-    spans = lx.protected_spans(lx.country_domains())
+    spans = lx.protected_spans()
     marked = F.regexp_replace(edged, spans, f"{MARK}$0{MARK}")
     return F.array_remove(F.split(marked, f"[{MARK} ]+"), "")
 
@@ -39,7 +39,7 @@ def raw_twitter_tokens(text: Column) -> Column:
 def tagged_tokens(text: Column) -> Column:
     """``array<struct<kind, token>>``; kind is NULL for a plain word."""
     edged = split_edge_punctuation(squeeze_whitespace(text))
-    spans = lx.protected_spans(lx.country_domains(), tagged=True)
+    spans = lx.protected_spans(tagged=True)
     # Only the group that matched is not empty; tabs before it tell the kind.
     groups = [lx.PLAIN, *lx.ENTITY_KINDS]
     fields = "\t".join(f"${{{lx.tag_name(kind)}}}" for kind in groups)
@@ -92,6 +92,24 @@ def drop_noise(
     return F.filter(tokens, keep)
 
 
+def drop_noise_by_language(
+    tokens: Column, lang: Column, retweet_case_insensitive: bool = False
+) -> Column:
+    """``drop_noise`` with the stopwords of each row's language, those of English for others."""
+    return by_language(
+        lang, lambda code: drop_noise(tokens, lx.stopwords(code), retweet_case_insensitive)
+    )
+
+
+def by_language(lang: Column, rule: Callable[[str], Column]) -> Column:
+    """The rule of each row's language; English for languages without one, and for NULL."""
+    others = [code for code in lx.NEGATION_WORDS if code != lx.DEFAULT_LANGUAGE]
+    choice = F.when(lang == others[0], rule(others[0]))
+    for code in others[1:]:
+        choice = choice.when(lang == code, rule(code))
+    return choice.otherwise(rule(lx.DEFAULT_LANGUAGE))
+
+
 def ngrams(tokens: Column, n: int = 2) -> Column:
     """All runs of 1 to n tokens, joined by a space."""
     return F.concat(tokens, *[_runs(tokens, width) for width in range(2, n + 1)])

@@ -32,6 +32,7 @@ URL_TOKEN = "___url___"
 NEGATION_JOINER = "___"
 
 NEGATION_WORDS = {"en": "not", "fr": "pas", "de": "nicht", "es": "no"}
+DEFAULT_LANGUAGE = "en"  # of tweets in another language, or in none
 
 ELONGATED = r"(?s)(.)\1{2,}"
 
@@ -50,9 +51,17 @@ CONTRACTION_ENDINGS = "n['’′]t|['’′]ve|['’′]ll|['’′]d|['’′]r
 GENERIC_DOMAINS = (
     "com org edu gov net mil aero asia biz cat coop info int jobs mobi museum name pro tel travel xxx"
 ).split()
-# country domains: the ISO 3166 codes, with these differences
-DOMAINS_BESIDE_ISO = "ac an cs dd eu su tp uk".split()
-ISO_WITHOUT_DOMAIN = "bl bq cw mf sx um".split()
+COUNTRY_DOMAINS = (
+    "ac ad ae af ag ai al am an ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br "
+    "bs bt bv bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cs cu cv cx cy cz dd de dj dk dm do "
+    "dz ec ee eg eh er es et eu fi fj fk fm fo fr ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt "
+    "gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp ke kg kh ki km kn kp kr "
+    "kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu "
+    "mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw "
+    "py qa re ro rs ru rw sa sb sc sd se sg sh si sj sk sl sm sn so sr ss st su sv sy sz tc td tf "
+    "tg th tj tk tl tm tn to tp tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt "
+    "za zm zw"
+).split()
 
 PUNCTUATION = "['\"“”‘’.?!…,:;]"
 PUNCTUATION_RUN = "['\"“”‘’]+|[.?!,…]+|[:;]+"
@@ -128,13 +137,6 @@ def _spark_stopwords(name: str) -> list[str]:
     return text.split("\n") if not text.endswith("\n") else text[:-1].split("\n")
 
 
-@lru_cache(maxsize=None)
-def country_domains() -> tuple[str, ...]:
-    locale = SparkContext._active_spark_context._jvm.java.util.Locale
-    codes = {c.lower() for c in locale.getISOCountries()}
-    return tuple(sorted((codes - set(ISO_WITHOUT_DOMAIN)) | set(DOMAINS_BESIDE_ISO)))
-
-
 # ---------------------------------------------------------------------------
 # Token patterns (java.util.regex). They expect squeezed text, so the only white space is U+0020.
 #
@@ -156,9 +158,9 @@ def _face(name: str) -> str:
     )
 
 
-def _url(countries: tuple[str, ...]) -> str:
-    country = "(?:" + "|".join(countries) + ")"
-    domain = "(?:" + "|".join(GENERIC_DOMAINS) + "|" + "|".join(countries) + ")"
+def _url() -> str:
+    country = "(?:" + "|".join(COUNTRY_DOMAINS) + ")"
+    domain = "(?:" + "|".join(GENERIC_DOMAINS) + "|" + "|".join(COUNTRY_DOMAINS) + ")"
     scheme = rf"(?:https?://|{NOT_IN_WORD}www\.)"
     host = (
         rf"(?:{NOT_IN_WORD}(?=[A-Za-z{DIGIT}])|(?<={WORD})(?=-))[A-Za-z{DIGIT}-]++"
@@ -215,7 +217,7 @@ def _abbreviation() -> str:
 
 
 @lru_cache(maxsize=None)
-def protected_spans(countries: tuple[str, ...], tagged: bool = False) -> str:
+def protected_spans(tagged: bool = False) -> str:
     """Spans that stay one token. ``tagged`` names a group after each kind."""
     # \G, the end of the last match, goes with tests that skip places inside a run: a pattern that
     # failed where the run, or the search, began fails inside it too.
@@ -226,7 +228,7 @@ def protected_spans(countries: tuple[str, ...], tagged: bool = False) -> str:
     )
     patterns = {
         "heart": "(?:<+/?3+)++",
-        "url": _url(countries),
+        "url": _url(),
         "email": _email(),
         "time": rf"{DIGIT}++(?::{DIGIT}+){{1,2}}",
         "comma_number": (

@@ -11,8 +11,6 @@ from moodfeed import lexicon as lx
 from moodfeed.functions.tokens import whitespace_tokens
 from moodfeed.operators.ranking import with_position
 
-MERGED_LIMIT = 100_000
-
 
 def in_language(rows: DataFrame, lang: str | int) -> DataFrame:
     """Rows without a language fail. Codes may be numbers."""
@@ -37,16 +35,14 @@ def within_years(rows: DataFrame, as_of_year: int) -> DataFrame:
 
 
 def first_rows(rows: DataFrame, n: int = -1) -> DataFrame:
-    """The first n by ``tweet_id``; -1 keeps all.
+    """The first n by ``tweet_id``, and by the other columns where ids tie; -1 keeps all.
 
-    A small n is kept per task and merged in one; a larger one is cut at its row number, which
-    no single task has to hold.
+    The rows are cut at their number, so that no single task has to hold n of them.
     """
     if n == -1:
         return rows
-    if n <= MERGED_LIMIT:
-        return rows.orderBy("tweet_id").limit(n)
-    numbered = with_position(rows, ["tweet_id"], "_position")
+    others = [c for c in rows.columns if c != "tweet_id"]
+    numbered = with_position(rows, ["tweet_id", *others], "_position")
     return numbered.filter(F.col("_position") < n).drop("_position")
 
 

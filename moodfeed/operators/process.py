@@ -24,14 +24,19 @@ def tokenize(
     negation_word: str = "not",
     retweet_case_insensitive: bool = False,
     text_col: str = "text",
+    lang_rules: bool = False,
 ) -> DataFrame:
     """Replace the text by ``rep_count``, ``negation_count`` and the marked ``tokens``.
 
     Each step is a projection of its own, so that later columns read the array instead of
     repeating the patterns. Generating the token list, as one row, keeps later filters (on the
     label, say) above it: pushed below, they would tokenise a second time.
+
+    With ``lang_rules`` stopwords and negation word are those of the row's ``lang`` (English for other
+    languages and for NULL), and the two arguments are not used.
     """
     words = lx.stopwords() if stopwords is None else stopwords
+    lang = F.col("lang") if lang_rules else None
     others = [c for c in tweets.columns if c != text_col]
     lowered = tweets.select(*others, F.lower(text_col).alias("_text"))
     counted = lowered.select(
@@ -42,13 +47,26 @@ def tokenize(
     kept = counted.select(
         *others,
         "rep_count",
-        tk.drop_noise(F.col("_all"), words, retweet_case_insensitive).alias("_kept"),
+        (
+            tk.drop_noise_by_language(F.col("_all"), lang, retweet_case_insensitive)
+            if lang_rules
+            else tk.drop_noise(F.col("_all"), words, retweet_case_insensitive)
+        ).alias("_kept"),
     )
+    if lang_rules:
+        count, marked = (
+            tk.by_language(lang, lambda code: rule(F.col("_kept"), lx.NEGATION_WORDS[code]))
+            for rule in (fx.count_negations, fx.mark_negation)
+        )
+    else:
+        count, marked = (
+            rule(F.col("_kept"), negation_word) for rule in (fx.count_negations, fx.mark_negation)
+        )
     return kept.select(
         *others,
         "rep_count",
-        fx.count_negations(F.col("_kept"), negation_word).alias("negation_count"),
-        F.explode(F.array(fx.mark_negation(F.col("_kept"), negation_word))).alias("tokens"),
+        count.alias("negation_count"),
+        F.explode(F.array(marked)).alias("tokens"),
     )
 
 

@@ -7,6 +7,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from moodfeed.operators.joins import null_safe_join
 from moodfeed.staging import stage
 
 # monotonically_increasing_id: the partition above, the row within it below
@@ -50,7 +51,7 @@ def split_positional(
         F.min("_position").alias("_first"), F.count("*").alias("_n")
     )
     if group:
-        numbered = numbered.join(stage(sizes, "sizes"), group)
+        numbered = null_safe_join(numbered, stage(sizes, "sizes"), [group])
         first, n = F.col("_first"), F.col("_n")
     else:
         _, total = sizes.first()

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodfeed.functions import tokens as tk
+from moodfeed.operators.joins import null_safe_join
 from moodfeed.operators.process import COUNTS, process
 from moodfeed.operators.ranking import with_position
 from moodfeed.staging import stage
@@ -54,14 +55,14 @@ def fit_idf(terms: DataFrame, min_df: int = 1) -> DataFrame:
     if min_df > 1:
         df = df.filter(F.col("df") >= min_df)
     idf = F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1
-    return df.join(sizes, "lang").select("lang", "term", "df", "n_docs", idf.alias("idf"))
+    return null_safe_join(df, sizes, ["lang"]).select("lang", "term", "df", "n_docs", idf.alias("idf"))
 
 
 def with_term_ids(idf: DataFrame) -> DataFrame:
     """Add ``term_id``: the alphabetical place of the term in its language, from 0."""
     numbered = with_position(idf, ["lang", "term"], "_place")
     starts = stage(numbered.groupBy("lang").agg(F.min("_place").alias("_first")), "starts")
-    return numbered.join(starts, "lang").select(
+    return null_safe_join(numbered, starts, ["lang"]).select(
         "lang", "term", (F.col("_place") - F.col("_first")).alias("term_id"), "df", "n_docs", "idf"
     )
 
@@ -76,22 +77,28 @@ def join_vocabulary(terms: DataFrame, vocabulary: DataFrame, unseen: bool = Fals
 
     Pass tables that are staged or stored: both are read more than once. ``unseen`` tells that the
     vocabulary was fitted on other tweets, so that its ``df`` says nothing about which terms are
-    frequent here; they are counted then.
+    frequent here; they are counted then, and only the vocabulary's rows of terms that occur here are
+    looked at: a few tweets are broadcast to the vocabulary, which is not moved.
     """
     keys = ["lang", "term"]
     names = [c for c in vocabulary.columns if c not in keys]
     if unseen:
-        counts = document_frequency(terms).withColumnRenamed("df", "_rows")
-        lookup = stage(counts.join(vocabulary, keys, "left"), "lookup")
+        counts = stage(document_frequency(terms).withColumnRenamed("df", "_rows"), "counts")
+        lookup = null_safe_join(vocabulary, counts, keys)
     else:
         lookup = vocabulary.withColumn("_rows", F.col("df"))
-    postings = lookup.agg(F.sum("_rows")).first()[0] or 0
+        counts = lookup.select(*keys, "_rows")
+    postings = counts.agg(F.sum("_rows")).first()[0] or 0
     is_hot = F.col("_rows") > postings // HOT_SHARE
-    marked = explode_terms(terms).join(F.broadcast(lookup.filter(is_hot)), keys, "left")
-    found = marked.filter(F.col("_rows").isNotNull())
-    rest = marked.filter(F.col("_rows").isNull()).select("tweet_id", *keys)
-    both = found.unionByName(rest.join(lookup.filter(~is_hot), keys))
-    return both.filter(F.col("df").isNotNull()).select("tweet_id", *keys, *names)
+    # also those that the vocabulary lacks: they must not meet in one task either
+    hot = counts.filter(is_hot).select(*keys, F.lit(True).alias("_hot"))
+    marked = null_safe_join(explode_terms(terms), F.broadcast(hot), keys, "left")
+    often = marked.filter(F.col("_hot")).select("tweet_id", *keys)
+    rest = marked.filter(F.col("_hot").isNull()).select("tweet_id", *keys)
+    both = null_safe_join(often, F.broadcast(lookup.filter(is_hot)), keys).unionByName(
+        null_safe_join(rest, lookup.filter(~is_hot), keys)
+    )
+    return both.select("tweet_id", *keys, *names)
 
 
 def tfidf(terms: DataFrame, vocabulary: DataFrame, unseen: bool = False) -> DataFrame:
@@ -133,6 +140,11 @@ def scale_features(features: DataFrame, moments: DataFrame | None = None) -> Dat
 
     The moments are those of ``features`` itself unless stored ones are given.
     """
+    return with_scaled(features.select("tweet_id", "lang", *COUNTS), moments)
+
+
+def with_scaled(features: DataFrame, moments: DataFrame | None = None) -> DataFrame:
+    """All columns, the six counts scaled."""
     if moments is None:
         moments = stage(feature_moments(features), "moments")
 
@@ -140,8 +152,8 @@ def scale_features(features: DataFrame, moments: DataFrame | None = None) -> Dat
         deviation = F.when(F.col(f"{c}_std") == 0, 1.0).otherwise(F.col(f"{c}_std"))
         return ((F.col(c) - F.col(f"{c}_mean")) / deviation).alias(c)
 
-    return features.select("tweet_id", "lang", *COUNTS).join(moments, "lang").select(
-        "tweet_id", "lang", *[scaled(c) for c in COUNTS]
+    return null_safe_join(features, moments, ["lang"]).select(
+        *[scaled(c) if c in COUNTS else c for c in features.columns]
     )
 
 

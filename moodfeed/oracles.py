@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from moodfeed import lexicon as lx
 from moodfeed.operators.process import COUNTS
-from moodfeed.queries import COLLECT_LANG, COLLECT_LIMIT
+from moodfeed.queries import COLLECT_LANG, COLLECT_LIMIT, MODELLED
 from moodfeed.sources.fixtures import AS_OF_YEAR, DAY_MS, DECORATIONS, FIRST_MS
 
 
@@ -28,6 +28,12 @@ _DECORATION = " ".join(f"WHEN {i} THEN {text(d)}" for i, d in enumerate(DECORATI
 
 PARTS: dict[str, str] = {}
 
+# the language whose rules hold
+_CODE = f"CASE WHEN lang IN {in_list(lx.NEGATION_WORDS)} THEN lang ELSE 'en' END"
+_WORD_OF_CODE = "CASE code " + " ".join(
+    f"WHEN '{code}' THEN {text(word)}" for code, word in lx.NEGATION_WORDS.items()
+) + " END"
+
 PARTS["lines"] = """
   SELECT doc_id, lang, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos,
          unnest(string_split(text, chr(10))) AS line
@@ -56,9 +62,21 @@ PARTS["collected"] = f"""
     AND abs(year(make_timestamp(ts_ms * 1000)) - {AS_OF_YEAR}) <= 1"""
 
 
-def pipeline(source: str, prefix: str = "") -> None:
+def pipeline(source: str, prefix: str = "", by_language: bool = False) -> None:
     """From a table ``tweet_id, lang, text`` to processed tweets and their terms."""
     p = prefix
+    if by_language:
+        stop = " OR ".join(
+            f"(code = '{code}' AND w IN {in_list(lx.stopwords(code))})" for code in lx.NEGATION_WORDS
+        )
+        words = f"(SELECT w.*, {_CODE} AS code FROM {p}words w JOIN {source} s USING (tweet_id))"
+        kept_from = f"{words} WHERE NOT ({stop}) AND NOT starts_with(w, 'RT')"
+        kept_columns, negation = "tweet_id, code, w", _WORD_OF_CODE
+    else:
+        kept_from = (
+            f"{p}words WHERE w NOT IN {in_list(lx.stopwords())} AND NOT starts_with(w, 'RT')"
+        )
+        kept_columns, negation = "tweet_id, w", "'not'"
     PARTS[f"{p}chars"] = f"""
   SELECT tweet_id, unnest(string_split(lower(text), '')) AS ch,
          generate_subscripts(string_split(lower(text), ''), 1) AS i
@@ -81,19 +99,18 @@ def pipeline(source: str, prefix: str = "") -> None:
     FROM {p}normal)
   WHERE w <> ''"""
     PARTS[f"{p}kept"] = f"""
-  SELECT tweet_id, w, row_number() OVER (PARTITION BY tweet_id ORDER BY i) AS i,
+  SELECT {kept_columns}, row_number() OVER (PARTITION BY tweet_id ORDER BY i) AS i,
          count(*) OVER (PARTITION BY tweet_id) AS n
-  FROM {p}words
-  WHERE w NOT IN {in_list(lx.stopwords())} AND NOT starts_with(w, 'RT')"""
+  FROM {kept_from}"""
     # odd places in a run of "not" negate
     PARTS[f"{p}negators"] = f"""
   SELECT tweet_id, i,
          row_number() OVER (PARTITION BY tweet_id, g ORDER BY i) % 2 = 1 AS active
   FROM (SELECT tweet_id, i, i - row_number() OVER (PARTITION BY tweet_id ORDER BY i) AS g
-        FROM {p}kept WHERE w = 'not')"""
+        FROM {p}kept WHERE w = {negation})"""
     PARTS[f"{p}marked"] = f"""
   SELECT tweet_id, i, active,
-         CASE WHEN lag(active) OVER t THEN 'not___' || w
+         CASE WHEN lag(active) OVER t THEN {negation} || '___' || w
               WHEN active AND i < n THEN '' ELSE w END AS w
   FROM (SELECT k.*, coalesce(g.active, false) AS active
         FROM {p}kept k LEFT JOIN {p}negators g USING (tweet_id, i))
@@ -138,6 +155,12 @@ def pipeline(source: str, prefix: str = "") -> None:
 
 pipeline("tweets")
 pipeline("turns", "turn_")
+pipeline("parsed", "par_")
+pipeline("localized", "loc_", by_language=True)
+
+PARTS["localized"] = f"""
+  SELECT tweet_id, lang, replace(text, ' not', ' ' || {_WORD_OF_CODE}) AS text
+  FROM (SELECT *, {_CODE} AS code FROM parsed)"""
 
 PARTS["turns"] = """
   SELECT conv_id * 1000 + turn AS tweet_id, 'en' AS lang, text FROM conversations"""
@@ -180,6 +203,28 @@ PARTS["term_margins"] = """
   SELECT tweet_id, sum(idf * (length(term) % 5 - 2) / 10) / sqrt(sum(idf * idf)) AS margin
   FROM terms JOIN vocabulary USING (lang, term) GROUP BY tweet_id"""
 
+PARTS["par_vocabulary"] = """
+  SELECT d.lang, term, df, ln((1 + n_docs) / (1 + df)) + 1 AS idf
+  FROM (SELECT lang, term, count(*) AS df FROM par_terms GROUP BY lang, term) d
+  JOIN (SELECT lang, count(*) AS n_docs FROM parsed GROUP BY lang) n
+    ON d.lang IS NOT DISTINCT FROM n.lang"""
+
+PARTS["par_entries"] = """
+  SELECT t.tweet_id, t.term, v.idf FROM par_terms t
+  JOIN par_vocabulary v ON t.term = v.term AND t.lang IS NOT DISTINCT FROM v.lang"""
+
+PARTS["par_margins"] = """
+  SELECT tweet_id, sum(idf * (length(term) % 5 - 2) / 10) / sqrt(sum(idf * idf)) AS margin
+  FROM par_entries GROUP BY tweet_id"""
+
+PARTS["par_scaled"] = f"""
+  SELECT tweet_id, lang, {_SCALED} FROM par_processed WINDOW l AS (PARTITION BY lang)"""
+
+PARTS["par_scores"] = f"""
+  SELECT tweet_id, lang, CASE WHEN lang IN {in_list(MODELLED)} THEN 0.1::DOUBLE + coalesce(margin, 0)
+    + {' + '.join(f'{c} * {k - 2} / 10' for k, c in enumerate(COUNTS))} END AS m
+  FROM par_scaled LEFT JOIN par_margins USING (tweet_id)"""
+
 PARTS["ratings"] = "SELECT quality AS y_true, 1 - toxic AS y_pred FROM labels"
 
 PARTS["class_scores"] = """
@@ -316,9 +361,9 @@ _BODIES = {
     "tfidf_fit_transform": _TFIDF,
     "tfidf_transform": "SELECT tweet_id, term, round(tfidf, 6) AS tfidf FROM turn_tfidf",
     "scale_features": "SELECT tweet_id, "
-    + ", ".join(f"round({c}, 6) AS {c}" for c in COUNTS)
+    + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in COUNTS)
     + " FROM scaled",
-    "feature_matrix": "SELECT tweet_id, feature, round(value, 6) AS value FROM matrix",
+    "feature_matrix": "SELECT tweet_id, feature, round(value, 6) + 0.0 AS value FROM matrix",
     "clear_unlabeled": "SELECT tweet_id, label::BIGINT AS label, count(*) AS n_entries "
     "FROM matrix JOIN processed USING (tweet_id) WHERE label IS NOT NULL GROUP BY ALL",
     "split_positional": """
@@ -326,7 +371,7 @@ _BODIES = {
          CASE WHEN row_number() OVER (ORDER BY tweet_id) <= floor(0.7::DOUBLE * count(*) OVER ())
               THEN 'train' ELSE 'test' END AS part
   FROM processed WHERE label IS NOT NULL""",
-    "linear_score": "SELECT tweet_id, round(margin, 6) AS margin, "
+    "linear_score": "SELECT tweet_id, round(margin, 6) + 0.0 AS margin, "
     "round(1 / (1 + exp(-margin)), 6) AS probability FROM term_margins",
     "metric_accuracy": "SELECT round(avg((y_true = y_pred)::INT), 6) AS accuracy FROM ratings",
     "metric_macro_f1": """
@@ -345,9 +390,27 @@ _BODIES = {
          (SELECT round((avg((y_pred = 1)::INT) FILTER (y_true = 1)
                         + avg((y_pred <> 1)::INT) FILTER (y_true <> 1)) / 2, 6)
           FROM ratings) AS roc_auc""",
-    "stream_collect": "SELECT lang, text FROM collected",
+    "stream_collect": "SELECT tweet_id, lang, text FROM collected",
+    "score_all_languages": """
+  SELECT tweet_id, lang, round(m, 6) + 0.0 AS margin,
+         round(1 / (1 + exp(-m)), 6) AS probability,
+         CASE WHEN m > 0 THEN 1 WHEN m IS NOT NULL THEN -1 END::BIGINT AS prediction
+  FROM par_scores""",
+    "feature_matrix_all_languages": """
+  SELECT tweet_id, term AS feature,
+         round(idf / sqrt(sum(idf * idf) OVER (PARTITION BY tweet_id)), 6) AS value
+  FROM par_entries"""
+    + "".join(
+        f" UNION ALL SELECT tweet_id, '{c}', round({c}, 6) + 0.0 FROM par_scaled" for c in COUNTS
+    ),
+    "process_tweets_by_language": "SELECT tweet_id, lang, corpus, "
+    + ", ".join(COUNTS)
+    + ", label::BIGINT AS label FROM loc_processed",
+    # a minimum: no slope is left
+    "lr_gradient": "SELECT lang, 0.0::DOUBLE AS largest FROM processed WHERE label IS NOT NULL "
+    "GROUP BY lang",
     "stream_score": f"""
-  SELECT tweet_id, round(m, 6) AS margin, round(1 / (1 + exp(-m)), 6) AS probability,
+  SELECT tweet_id, round(m, 6) + 0.0 AS margin, round(1 / (1 + exp(-m)), 6) AS probability,
          CASE WHEN m > 0 THEN 1 ELSE -1 END::BIGINT AS prediction
   FROM (SELECT tweet_id, 0.1::DOUBLE + coalesce(margin, 0)
                + {' + '.join(f'{c} * {k - 2} / 10' for k, c in enumerate(COUNTS))} AS m

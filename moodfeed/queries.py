@@ -32,7 +32,8 @@ def big(name: str) -> Column:
 
 
 def rounded(name: str) -> Column:
-    return F.round(name, 6).alias(name)
+    """To six places, and without a sign on zero."""
+    return (F.round(name, 6) + F.lit(0.0)).alias(name)
 
 
 # --- inputs -----------------------------------------------------------------
@@ -324,6 +325,15 @@ def process_tweets(spark, sf_dir):
     return _wide(_processed(spark, sf_dir))
 
 
+def process_tweets_by_language(spark, sf_dir):
+    """Stopwords and negation of each language; the tweets negate in their own one."""
+    word = tk.by_language(F.col("lang"), lambda code: F.lit(" " + lx.NEGATION_WORDS[code]))
+    tweets = _parsed(spark, sf_dir).select(
+        "tweet_id", "lang", F.replace("text", F.lit(" not"), word).alias("text")
+    )
+    return _wide(process(tweets, tokenizer=tk.whitespace_tokens, lang_rules=True))
+
+
 def process_tweets_twitter(spark, sf_dir):
     return _wide(process(_tweets(spark, sf_dir).drop("ts_ms")))
 
@@ -400,6 +410,13 @@ def feature_matrix(spark, sf_dir):
     return matrix.select("tweet_id", "feature", rounded("value"))
 
 
+def feature_matrix_all_languages(spark, sf_dir):
+    """The same over the backup, a part of which has no language."""
+    tweets = _parsed(spark, sf_dir).drop("ts_ms")
+    matrix, _ = vz.feature_matrix(tweets, use_features=True, tokenizer=tk.whitespace_tokens)
+    return matrix.select("tweet_id", "feature", rounded("value"))
+
+
 def clear_unlabeled(spark, sf_dir):
     matrix, labels = vz.clear_unlabeled(*_matrix(spark, sf_dir))
     sums = matrix.groupBy("tweet_id").agg(F.count("*").alias("n_entries"))
@@ -448,6 +465,47 @@ def linear_score(spark, sf_dir):
     return scored.select("tweet_id", rounded("margin"), rounded("probability"))
 
 
+MODELLED = ["en", "fr"]
+
+
+def _generated_numeric(processed: DataFrame) -> DataFrame:
+    weights = [F.lit(0.1).alias("bias_weight")] + [
+        F.lit((k - 2) / 10).alias(f"{name}_weight") for k, name in enumerate(COUNTS)
+    ]
+    return vz.feature_moments(processed).select("*", *weights)
+
+
+def score_all_languages(spark, sf_dir):
+    """Every tweet of the backup keeps its row, those without a language or a model for it too."""
+    tweets = _parsed(spark, sf_dir).drop("ts_ms")
+    processed = stage(process(tweets, tokenizer=tk.whitespace_tokens), "processed")
+    terms = vz.stage_terms(processed, tk.whitespace_tokens)
+    weighted = stage(
+        vz.fit_idf(terms).withColumn("weight", generated_weight(F.col("term"))), "weighted"
+    )
+    numeric = _generated_numeric(processed).filter(F.col("lang").isin(MODELLED))
+    model = learn.SentimentModel(weighted, stage(numeric, "numeric"))
+    scored = learn.score(processed.drop("label"), terms, model)
+    return scored.select(
+        "tweet_id", "lang", rounded("margin"), rounded("probability"), big("prediction")
+    )
+
+
+def lr_gradient(spark, sf_dir):
+    """Largest component of each language's gradient at the fitted weights."""
+    tweets = _tweets(spark, sf_dir).drop("ts_ms")
+    processed = stage(process(tweets, tokenizer=tk.whitespace_tokens), "processed")
+    train, _ = (
+        stage(p, "split") for p in split_positional(drop_unlabeled(processed), group="lang")
+    )
+    terms, vocabulary, moments = learn.stage_training_inputs(processed, tk.whitespace_tokens)
+    # run until nothing is gained any more
+    model = learn.fit(train, terms, vocabulary, moments, max_iter=1000, tol=1e-10)
+    slopes = learn.gradient(model, train, terms)
+    largest = slopes.groupBy("lang").agg(F.max(F.abs("slope")).alias("largest"))
+    return largest.select("lang", (F.round("largest", 3) + 0.0).alias("largest"))
+
+
 def _ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return labels.select(F.col("quality").alias("label"), (1 - F.col("toxic")).alias("prediction"))
@@ -499,11 +557,11 @@ def experiment_distant(spark, sf_dir):
 def stream_collect(spark, sf_dir):
     source, sink = fresh_path(spark, "backup"), fresh_path(spark, "collected")
     fixtures.backup_json(_tweets(spark, sf_dir)).select("json").write.text(source)
-    rows = jobs.read_backup_stream(spark, source)
+    rows = jobs.read_backup_stream(spark, source, id_field="id")
     jobs.collect_stream(
         rows, COLLECT_LANG, fixtures.AS_OF_YEAR, sink, fresh_path(spark, "offsets")
     ).awaitTermination()
-    return spark.read.schema("lang string, text string").parquet(sink)
+    return spark.read.schema("tweet_id bigint, lang string, text string").parquet(sink)
 
 
 def stream_score(spark, sf_dir):
@@ -513,10 +571,7 @@ def stream_score(spark, sf_dir):
     weighted = stage(
         vz.fit_idf(terms).withColumn("weight", generated_weight(F.col("term"))), "weighted"
     )
-    weights = [F.lit(0.1).alias("bias_weight")] + [
-        F.lit((k - 2) / 10).alias(f"{name}_weight") for k, name in enumerate(COUNTS)
-    ]
-    numeric = stage(vz.feature_moments(processed).select("*", *weights), "numeric")
+    numeric = stage(_generated_numeric(processed), "numeric")
     folder, name = sf_dir.rstrip("/"), "documents.parquet"
     documents = (
         spark.readStream.schema(fixtures.documents(spark, sf_dir).schema)
@@ -574,6 +629,7 @@ QUERIES: dict[str, Query] = {
     "distant_label_counts": distant_label_counts,
     "corpus_normalize": corpus_normalize,
     "process_tweets": process_tweets,
+    "process_tweets_by_language": process_tweets_by_language,
     "process_tweets_twitter": process_tweets_twitter,
     "ngrams": ngrams,
     "document_frequency": document_frequency,
@@ -583,11 +639,14 @@ QUERIES: dict[str, Query] = {
     "tfidf_transform": tfidf_transform,
     "scale_features": scale_features,
     "feature_matrix": feature_matrix,
+    "feature_matrix_all_languages": feature_matrix_all_languages,
     "clear_unlabeled": clear_unlabeled,
     "split_positional": split_positional_query,
     "lr_fit": lr_fit,
     "lr_predict": lr_predict,
+    "lr_gradient": lr_gradient,
     "linear_score": linear_score,
+    "score_all_languages": score_all_languages,
     "metric_accuracy": metric_accuracy,
     "metric_macro_f1": metric_macro_f1,
     "metric_auc_hard": metric_auc_hard,

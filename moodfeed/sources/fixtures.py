@@ -64,6 +64,7 @@ def backup_json(tweets: DataFrame) -> DataFrame:
             F.col("tweet_id") % 13 != 0,
             F.struct(F.col("ts_ms").cast("string").alias("$numberLong")),
         ).alias("timestamp"),
+        F.col("tweet_id").alias("id"),
     )
     return tweets.select("tweet_id", F.to_json(fields).alias("json"))
 

@@ -15,6 +15,12 @@ BACKUP_SCHEMA = T.StructType(
     ]
 )
 
+
+def backup_schema(id_field: str | None = None) -> T.StructType:
+    """The schema above, with a number that the objects hold, if one is named."""
+    more = [T.StructField(id_field, T.LongType())] if id_field else []
+    return T.StructType([*BACKUP_SCHEMA.fields, *more])
+
 POLARITY_DDL = "target int, id bigint, date string, flag string, user string, text string"
 
 CSV_OPTIONS = {"quote": '"', "escape": '"'}
@@ -49,10 +55,19 @@ def backup_columns(source: str) -> list:
     ]
 
 
-def read_backup(spark: SparkSession, path: str) -> DataFrame:
-    """JSON-lines backup files, plain or compressed. Rows get an id in file order."""
-    rows = spark.read.schema(BACKUP_SCHEMA).json(path)
-    return rows.select(F.monotonically_increasing_id().alias("tweet_id"), *backup_columns(""))
+def read_backup(spark: SparkSession, path: str, id_field: str | None = None) -> DataFrame:
+    """JSON-lines backup files, plain or compressed.
+
+    ``tweet_id`` is the named field of the objects, or else a hash of the file, the part of it that a
+    task reads, and the row in that task, so that the ids of several loads stay apart.
+    """
+    rows = spark.read.schema(backup_schema(id_field)).json(path)
+    if id_field:
+        return rows.select(F.col(f"`{id_field}`").alias("tweet_id"), *backup_columns(""))
+    place = F.xxhash64(
+        "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()
+    )
+    return rows.select(place.alias("tweet_id"), *backup_columns(""))
 
 
 def parse_backup(lines: DataFrame, json_col: str = "json") -> DataFrame:

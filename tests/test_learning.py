@@ -80,7 +80,7 @@ def test_table_optimizer_agrees(inputs):
     labeled = drop_unlabeled(processed).filter(F.col("lang") == "en")
     here = learn.fit(labeled, terms, vocabulary, moments, tol=1e-9, max_iter=300)
     there = learn.fit(
-        labeled, terms, vocabulary, moments, tol=1e-7, max_iter=25, max_driver_terms=0
+        labeled, terms, vocabulary, moments, tol=1e-7, max_iter=25, solver="tables"
     )
     both = (
         here.terms.select("lang", "term", F.col("weight").alias("a"))
@@ -161,3 +161,41 @@ def test_positions_and_split(spark, partitions):
     for lang, n, last in got:
         ids = sorted(i for i, own in rows if own == lang)
         assert n == int(0.7 * len(ids)) and last == ids[n - 1]
+
+
+def test_no_tweet_is_lost(spark):
+    """Without a language, or with one that has no model, the row stays and has no prediction."""
+    rows = [(1, "en", "good day"), (2, "it", "bella vita"), (3, None, "some text"), (4, "en", "")]
+    tweets = spark.createDataFrame(rows, "tweet_id bigint, lang string, text string")
+    processed = stage(process(tweets, tokenizer=tk.whitespace_tokens), "processed")
+    terms = vz.stage_terms(processed, tk.whitespace_tokens)
+    vocabulary = stage(vz.fit_idf(terms).withColumn("weight", F.lit(1.0)), "vocabulary")
+    weights = [F.lit(0.5).alias(f"{n}_weight") for n in ["bias", *vz.COUNTS]]
+    numeric = vz.feature_moments(processed).select("*", *weights).filter("lang = 'en'")
+    model = learn.SentimentModel(vocabulary, stage(numeric, "numeric"))
+    for unseen in (False, True):
+        scored = {r.tweet_id: r for r in learn.score(processed, terms, model, unseen).collect()}
+        assert set(scored) == {1, 2, 3, 4}
+        assert scored[1].prediction in (1, -1) and scored[4].prediction in (1, -1)
+        assert scored[2].prediction is scored[2].margin is scored[3].prediction is None
+    matrix, labels = vz.feature_matrix(tweets, use_features=True, tokenizer=tk.whitespace_tokens)
+    assert matrix.select("tweet_id").distinct().count() == labels.count() == 4
+
+
+def test_small_batches_do_not_move_the_vocabulary(spark):
+    rows = spark.range(50_000).select(
+        F.lit("en").alias("lang"), F.concat(F.lit("w"), F.col("id")).alias("term"),
+        F.lit(1).cast("bigint").alias("df"), F.lit(1.0).alias("idf"),
+    )
+    vocabulary = stage(rows, "vocabulary")
+    tweets = spark.createDataFrame([(1, "en", ["w1", "w2", "zz"])], "tweet_id bigint, lang string, terms array<string>")
+    joined = vz.join_vocabulary(stage(tweets, "terms"), vocabulary, unseen=True)
+    assert {r.term for r in joined.collect()} == {"w1", "w2"}
+    plan = joined._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_solvers_are_named(spark):
+    empty = spark.createDataFrame([], "tweet_id bigint")
+    with pytest.raises(ValueError, match="tables"):
+        learn.fit(empty, empty, empty, solver="other")

@@ -82,9 +82,9 @@ def test_options(spark):
 
 
 def test_country_domains(spark):
-    domains = set(lx.country_domains())
+    domains = set(lx.COUNTRY_DOMAINS)
     assert {"uk", "eu", "su", "tp", "de", "us"} <= domains and "bq" not in domains
-    assert len(domains) == len(lx.country_domains()) and all(len(d) == 2 for d in domains)
+    assert len(domains) == len(lx.COUNTRY_DOMAINS) and all(len(d) == 2 for d in domains)
 
 
 def test_stopwords_same_without_a_session(spark):
@@ -118,8 +118,7 @@ def test_collect(spark, tmp_path):
     assert cl.collect_tweets(rows, 9, 2025).count() == 0
 
 
-def test_large_limit_is_cut_by_position(spark, monkeypatch):
-    monkeypatch.setattr(cl, "MERGED_LIMIT", 10)
+def test_limit_is_cut_by_position(spark):
     df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("tweet_id")).repartition(7)
     got = [r.tweet_id for r in cl.first_rows(df, 300).collect()]
     assert sorted(got) == list(range(300))
@@ -244,3 +243,31 @@ def test_scratch_is_deleted(spark):
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     assert not fs.exists(hadoop)
+
+
+def test_rules_of_each_language(spark):
+    rows = [
+        (1, "fr", "c'est pas bon"), (2, "de", "das ist nicht gut"), (3, "es", "no bueno"),
+        (4, "en", "it is not good"), (5, "it", "this is not good"), (6, None, "this is not good"),
+        (7, "fr", "not good"),
+    ]
+    tweets = spark.createDataFrame(rows, "tweet_id bigint, lang string, text string")
+    done = process(tweets, tokenizer=tk.whitespace_tokens, lang_rules=True).collect()
+    corpus = {r.tweet_id: r.corpus.split() for r in done}
+    assert "pas___bon" in corpus[1] and "nicht___gut" in corpus[2] and "no___bueno" in corpus[3]
+    assert corpus[4] == corpus[5] == corpus[6] == ["not___good"]
+    assert {r.tweet_id: r.negation_count for r in done} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 0}
+
+
+def test_ids_of_two_loads_stay_apart(spark, tmp_path):
+    frames = []
+    for name in ("monday", "tuesday"):
+        path = tmp_path / f"{name}.json"
+        path.write_text("\n".join(BACKUP * 3))
+        frames.append(readers.read_backup(spark, str(path)))
+    both = frames[0].unionByName(frames[1])
+    assert both.select("tweet_id").distinct().count() == both.count() == 6 * len(BACKUP)
+    numbered = tmp_path / "numbered.json"
+    numbered.write_text('{"id": 7, "text": "a"}\n{"id": 9, "text": "b"}')
+    found = readers.read_backup(spark, str(numbered), id_field="id")
+    assert {r.tweet_id: r.text for r in found.collect()} == {7: "a", 9: "b"}

@@ -20,8 +20,8 @@ def python_form(pattern: str) -> str:
 def plain_patterns() -> dict[str, str]:
     word, edge = r"[\p{L}\p{N}_]", r"(?![\p{L}\p{N}_])"
     start = rf"(?<!{word})"
-    country = "(?:" + "|".join(lx.country_domains()) + ")"
-    domain = "(?:" + "|".join([*lx.GENERIC_DOMAINS, *lx.country_domains()]) + ")"
+    country = "(?:" + "|".join(lx.COUNTRY_DOMAINS) + ")"
+    domain = "(?:" + "|".join([*lx.GENERIC_DOMAINS, *lx.COUNTRY_DOMAINS]) + ")"
     border = rf"(?:(?<!{word})(?={word})|(?<={word})(?!{word}))"
     host = (
         rf"{border}(?:[A-Za-z\p{{Nd}}-])+(?:\.[A-Za-z0-9]+){{0,3}}\.{domain}(?:\.{country})?{edge}"
