@@ -532,13 +532,17 @@ def metric_report(spark, sf_dir):
 
 
 def experiment_labeled(spark, sf_dir):
-    """Train on the documents' tweets, test on the turns of the conversations."""
+    """Train on the documents' tweets, test on the turns of the conversations, both with the endings
+    that carry an opinion; the label is that of the ending's emoticon."""
 
     def labeled(tweets: DataFrame) -> DataFrame:
-        rows = readers.parse_polarity(fixtures.polarity_lines(tweets))
-        return cl.polarity_labels(rows).withColumn("lang", F.lit("en"))
+        label = fx.emoticon_label(tk.whitespace_tokens(F.lower("text")))
+        rows = tweets.select("tweet_id", F.lit("en").alias("lang"), label.alias("label"), "text")
+        return rows.filter(F.col("label").isNotNull())
 
-    turns = _turns(spark, sf_dir).withColumn("ts_ms", F.lit(fixtures.FIRST_MS))
+    endings = F.array(*[F.lit(d) for d in fixtures.DECORATIONS])
+    ending = F.get(endings, (F.col("tweet_id") % len(fixtures.DECORATIONS)).cast("int"))
+    turns = _turns(spark, sf_dir).withColumn("text", F.concat("text", ending))
     report = experiments.labeled_experiment(
         labeled(_tweets(spark, sf_dir)), labeled(turns)
     )

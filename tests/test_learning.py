@@ -199,3 +199,11 @@ def test_solvers_are_named(spark):
     empty = spark.createDataFrame([], "tweet_id bigint")
     with pytest.raises(ValueError, match="tables"):
         learn.fit(empty, empty, empty, solver="other")
+
+
+def test_labelled_experiment_learns(spark):
+    """The endings tell the label; one that learns nothing has an AUC of 0.5; some endings have no word to learn from."""
+    from moodfeed.queries import experiment_labeled
+
+    row = experiment_labeled(spark, "/root/testdata/sf0.001").first()
+    assert row.n > 50 and row.roc_auc > 0.55
