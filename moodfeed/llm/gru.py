@@ -83,6 +83,16 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(-1, keepdims=True))
 
 
+def _picked(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log-probability of one column of each row; overwrites the logits."""
+    rows = np.arange(len(logits))
+    if len(logits) and logits.max() > 60:
+        logits -= logits.max(1, keepdims=True)
+    own = logits[rows, at].astype(np.float64)
+    np.exp(logits, out=logits)
+    return own - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
+
+
 def lanes(texts: list[np.ndarray], width: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Texts laid one after another into at most ``width`` lanes, the longest first.
 
@@ -152,15 +162,14 @@ class Scorer:
             there = outputs[a:b, :n0] >= 0
             hs, ys, who = states[there], outputs[a:b, :n0][there], owner[a:b, :n0][there]
             kinds = shape.class_of(ys)
-            logits = hs @ p["class_w"] + p["class_b"]
-            logp = _log_softmax(logits)[np.arange(len(ys)), kinds].astype(np.float64)
+            logp = _picked(hs @ p["class_w"] + p["class_b"], kinds)
             order = np.argsort(kinds, kind="stable")
             cuts = np.searchsorted(kinds[order], np.arange(shape.head // WIDTH + 1))
             for k in range(shape.head // WIDTH):
                 at = order[cuts[k] : cuts[k + 1]]
                 if len(at):
-                    inner = _log_softmax(hs[at] @ p["word_w"][k] + p["word_b"][k])
-                    logp[at] += inner[np.arange(len(at)), ys[at] - k * WIDTH]
+                    inner = hs[at] @ p["word_w"][k] + p["word_b"][k]
+                    logp[at] += _picked(inner, ys[at] - k * WIDTH)
             total += np.bincount(who, logp, len(texts))
         return total
 
@@ -257,11 +266,13 @@ def train(
     h = np.zeros((inputs.shape[1], HIDDEN), f4)
     previous = np.full(inputs.shape[1], -2)
     for k, a in enumerate(range(0, len(inputs), window), 1):
-        part = slice(a, a + window)
+        # lanes end one by one, the last first
+        live = int((owner[a] >= 0).sum())
+        part = slice(a, a + window), slice(live)
         own = owner[part]
-        fresh = own != np.vstack([previous, own[:-1]])
+        fresh = own != np.vstack([previous[:live], own[:-1]])
         previous = own[-1]
-        _, grad, h = window_gradient(shape, p, inputs[part], outputs[part], fresh, h)
+        _, grad, h = window_gradient(shape, p, inputs[part], outputs[part], fresh, h[:live])
         grad /= max(1, int((outputs[part] >= 0).sum()))
         norm = float(np.linalg.norm(grad))
         if norm > 1:
