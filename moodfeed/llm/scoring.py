@@ -121,8 +121,8 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return at, self.hashes[at] == hashes
 
-    def symbols(self, words: wd.Words, kinds: np.ndarray) -> np.ndarray:
-        at, common = self.look_up(words.hashes)
+    def symbols(self, at: np.ndarray, common: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """Symbols of words that were looked up."""
         symbol = np.where(common, self.symbol[at] if len(self.symbol) else -1, -1)
         return np.where(symbol >= 0, symbol, HEAD + 1 + kinds).astype(np.int32)
 
@@ -141,7 +141,7 @@ def _sample(docs: DataFrame, shared) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 words, kinds = tokens(part.column("text"))
-                symbols = shared.value.symbols(words, kinds)
+                symbols = shared.value.symbols(*shared.value.look_up(words.hashes), kinds)
                 rows = [symbols[a:b].tobytes() for a, b in zip(words.bounds, words.bounds[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("draw"), pa.array(words.counts() + 1), pa.array(rows, pa.binary())],
@@ -224,7 +224,7 @@ def _common_scores(docs: DataFrame, shared, weights) -> DataFrame:
                 words, kinds = tokens(part.column("text"))
                 at, common = known.look_up(words.hashes)
                 counts = np.where(common, known.counts[at] if len(known.counts) else 0, 0)
-                symbols = known.symbols(words, kinds)
+                symbols = known.symbols(at, common, kinds)
                 logs = np.log10(counts + 0.5)
                 owner, n = words.owners(), part.num_rows
                 base = np.bincount(owner, logs - whole, n) + np.log10(known.ends + 0.5) - whole
