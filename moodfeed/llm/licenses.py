@@ -59,7 +59,7 @@ _SPLIT = r"[^\p{L}\p{N}]+"
 
 def terms(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), _SPLIT), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), _SPLIT), "")
 
 
 def _template_terms(templates: list[tuple[str, str]]) -> list[dict[str, int]]:
@@ -152,13 +152,13 @@ def declared(
             own, F.lit(0.0), lambda s, x: s + frequency_in(line, x["term"]) * x["weight"]
         )
 
-    def scored(line: Column, at: Column) -> Column:
+    def scored(line: Column, norm: Column, at: Column) -> Column:
         """The best template of a line; the first of those that tie, then the first line."""
         return F.array_max(
             F.transform(
                 table,
                 lambda t, i: F.struct(
-                    F.round(dot(line, t["terms"]) / (norm_of(line) * t["norm"]), 6).alias("score"),
+                    F.round(dot(line, t["terms"]) / (norm * t["norm"]), 6).alias("score"),
                     (-at).alias("place"),
                     (-i).alias("rank"),
                     t["license"].alias("license"),
@@ -166,12 +166,45 @@ def declared(
             )
         )
 
+    known = F.array(*map(F.lit, vocabulary))
+
+    def within(x: Column) -> Column:
+        """Whether the template terms of a line weigh enough beside its other terms, each of which
+        counts once at least: their share bounds every cosine from above."""
+        own = norm_of(x["kept"])
+        return own * own * (1 - threshold**2) >= (
+            threshold**2 * F.size(F.array_except(x["terms"], known)) * other**2 - 1e-6
+        )
+
     lines = F.transform(
         F.split(F.coalesce("text", F.lit("")), "\n"),
         lambda line, i: F.struct(i.alias("at"), terms(line).alias("terms")),
     )
-    worth = F.filter(lines, lambda x: F.arrays_overlap(x["terms"], heavy))
-    best = F.array_max(F.transform(worth, lambda x: scored(x["terms"], x["at"])))
+    # three filters, each exact and each dearer than the one before
+    heavy_lines = F.filter(lines, lambda x: F.arrays_overlap(x["terms"], heavy))
+    shared = F.transform(
+        heavy_lines,
+        lambda x: F.struct(
+            x["at"].alias("at"),
+            x["terms"].alias("terms"),
+            F.array_intersect(x["terms"], known).alias("shared"),
+        ),
+    )
+    kept = F.transform(
+        shared,
+        lambda x: F.struct(
+            x["at"].alias("at"),
+            x["terms"].alias("terms"),
+            F.filter(x["terms"], lambda t: F.array_contains(x["shared"], t)).alias("kept"),
+        ),
+    )
+    normed = F.transform(
+        F.filter(kept, within),
+        lambda x: F.struct(
+            x["at"].alias("at"), x["terms"].alias("terms"), norm_of(x["terms"]).alias("norm")
+        ),
+    )
+    best = F.array_max(F.transform(normed, lambda x: scored(x["terms"], x["norm"], x["at"])))
     top = unused(docs, "top")
     found = F.when(
         F.col(f"{top}.score") >= threshold,
