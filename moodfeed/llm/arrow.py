@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from moodfeed.llm.ship import ship
 
 #: Text bytes that one call of a task function gets, unless a single text is longer.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -244,6 +244,11 @@ def decontaminate(
     blocks = _blocks(benchmark, window, block_bytes)
     found = unused(docs, "found")
     spark = docs.sparkSession
+    if len(blocks) == 1:
+        only = spark.sparkContext.broadcast(blocks[0]())
+        return annotate(
+            docs, "text", lambda: lambda column: _judge(_scan(only.value, column)), VERDICT, name
+        )
 
     def scanned(rows: DataFrame, make: Callable[[], Block]) -> DataFrame:
         shared = spark.sparkContext.broadcast(make())
@@ -251,28 +256,25 @@ def decontaminate(
             rows, "text", lambda: lambda column: _scan(shared.value, column), FOUND, found
         )
 
-    if len(blocks) == 1:
-        rows = scanned(docs, blocks[0])
-    else:
-        # numbered and stored, so that every pass sees the same numbers
-        row = unused(docs, "row")
-        docs = stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-        passes = None
-        for make in blocks:
-            one = scanned(docs.select(row, "text"), make).select(row, found)
-            passes = one if passes is None else passes.unionByName(one)
-        best = F.max(F.struct(f"{found}.longest", f"{found}.longest_at", f"{found}.longest_item"))
-        merged = passes.groupBy(row).agg(
-            F.struct(
-                F.first(f"{found}.n_words").alias("n_words"),
-                F.flatten(F.collect_list(f"{found}.spans")).alias("spans"),
-                F.flatten(F.collect_list(f"{found}.items")).alias("items"),
-                best["longest"].alias("longest"),
-                best["longest_at"].alias("longest_at"),
-                best["longest_item"].alias("longest_item"),
-            ).alias(found)
-        )
-        rows = docs.join(merged, row).drop(row)
+    # numbered and stored, so that every pass sees the same numbers
+    row = unused(docs, "row")
+    docs = stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    passes = None
+    for make in blocks:
+        one = scanned(docs.select(row, "text"), make).select(row, found)
+        passes = one if passes is None else passes.unionByName(one)
+    best = F.max(F.struct(f"{found}.longest", f"{found}.longest_at", f"{found}.longest_item"))
+    merged = passes.groupBy(row).agg(
+        F.struct(
+            F.first(f"{found}.n_words").alias("n_words"),
+            F.flatten(F.collect_list(f"{found}.spans")).alias("spans"),
+            F.flatten(F.collect_list(f"{found}.items")).alias("items"),
+            best["longest"].alias("longest"),
+            best["longest_at"].alias("longest_at"),
+            best["longest_item"].alias("longest_item"),
+        ).alias(found)
+    )
+    rows = docs.join(merged, row).drop(row)
     schema = T.StructType([*[f for f in rows.schema if f.name != found], T.StructField(name, VERDICT)])
     at = rows.columns.index(found)
 

@@ -8,6 +8,9 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+#: Rows of an Arrow batch, at most.
+BATCH_ROWS = 1000
+
 _shipped: set[str] = set()
 
 
@@ -26,4 +29,8 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(folder, file)
                     archive.write(full, os.path.relpath(full, os.path.dirname(package)))
     context.addPyFile(path)
+    # texts are long: batches of fewer rows bound the memory of a task on both sides
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
     _shipped.add(context.applicationId)

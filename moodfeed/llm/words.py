@@ -6,7 +6,6 @@ All separators are ASCII, so bytes of longer characters always belong to words.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 
@@ -31,12 +30,18 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-@cache
+_powers: dict[str, np.ndarray] = {}
+
+
 def _powers_to(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse; one table of each is kept, as long as was needed."""
     n = 1 << bits
-    up, down = np.full(n, _BASE, U64), np.full(n, _INVERSE, U64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    if len(_powers.get("up", ())) < n:
+        for name, base in (("up", _BASE), ("down", _INVERSE)):
+            table = np.full(n, base, U64)
+            table[0] = 1
+            _powers[name] = np.multiply.accumulate(table)
+    return _powers["up"], _powers["down"]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
