@@ -1,10 +1,10 @@
 """Licence scan: headers and licence files against templates, then inheritance by directory.
 
 Every line of every text is compared with the templates by the cosine of sparse TF-IDF vectors; the best
-line above ``threshold`` is what a file declares. Document frequencies of the templates' terms are counted
-over the whole table; a term that no template has weighs as one that a single document has. A line can
-only reach the threshold with a term of some weight: those are worked out from the templates, so lines
-without any are left out beforehand, exactly.
+line above ``threshold`` is what a file declares. Document frequencies of all terms are counted over the
+whole table and joined to the terms of the lines that can still reach the threshold: the ``HOT`` most
+frequent are broadcast, all others are shuffled. A line can only reach the threshold with a term of some
+weight: those are worked out from the templates, so lines without any are left out beforehand, exactly.
 
 A file without a licence of its own takes that of the licence file in its nearest ancestor directory;
 ``sources`` says which path it came from. If a directory has several licence files, the best score counts,
@@ -23,6 +23,8 @@ from moodfeed.llm.arrow import unused
 from moodfeed.staging import stage
 
 THRESHOLD = 0.6
+#: So many terms, the most frequent ones, are broadcast with their document frequencies.
+HOT = 4096
 
 # --- fixed values: licence notices -----------------------------------------
 TEMPLATES = [
@@ -74,21 +76,28 @@ def _template_terms(templates: list[tuple[str, str]]) -> list[dict[str, int]]:
     return counted
 
 
-def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
-    """Number of texts, and of those that have each of some terms."""
-    words = F.array(*map(F.lit, vocabulary))
-    found = F.array_intersect(F.split(F.lower("text"), _SPLIT), words)
-    rows = (
+def all_frequencies(docs: DataFrame) -> DataFrame:
+    """Number of texts that have each term: term, n. The empty term counts the texts."""
+    found = F.array_distinct(terms(F.col("text")))
+    return (
         docs.where("text IS NOT NULL")
         .select(F.explode(F.concat(F.array(F.lit("")), found)).alias("term"))
         .groupBy("term")
-        .count()
-        .collect()
+        .agg(F.count("*").alias("n"))
     )
-    counts = {r["term"]: r["count"] for r in rows}
+
+
+def _some_frequencies(frequencies: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
+    rows = frequencies.where(F.col("term").isin("", *vocabulary)).collect()
+    counts = {r["term"]: r["n"] for r in rows}
     return counts.pop("", 0), counts
 
 
+def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
+    """Number of texts, and of those that have each of some terms."""
+    return _some_frequencies(all_frequencies(docs), vocabulary)
+
+
 def _map(values: dict) -> Column:
     return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
 
@@ -100,9 +109,9 @@ def declared(
     of the best line of ``text``, null without one."""
     counted = _template_terms(templates)
     vocabulary = sorted({t for own in counted for t in own})
-    n, frequency = document_frequencies(docs, vocabulary)
+    frequencies = stage(all_frequencies(docs), "frequencies")
+    n, frequency = _some_frequencies(frequencies, vocabulary)
     idf = {t: math.log((n + 1) / (frequency.get(t, 0) + 1)) + 1 for t in vocabulary}
-    other = math.log((n + 1) / 2) + 1
     weights, norms = [], []
     for own in counted:
         weights.append({t: k * idf[t] for t, k in own.items()})
@@ -138,14 +147,14 @@ def declared(
     def frequency_in(line: Column, term: Column) -> Column:
         return F.size(F.filter(line, lambda u: u == term))
 
-    def norm_of(line: Column) -> Column:
-        """Root of the sum of squares of tf times idf of a line's terms."""
+    def square_of(kept: Column) -> Column:
+        """Sum of squares of tf times idf of the template terms of a line."""
 
         def square(total: Column, t: Column) -> Column:
-            weight = frequency_in(line, t) * F.coalesce(F.element_at(idfs, t), F.lit(other))
+            weight = frequency_in(kept, t) * F.element_at(idfs, t)
             return total + weight * weight
 
-        return F.sqrt(F.aggregate(F.array_distinct(line), F.lit(0.0), square))
+        return F.aggregate(F.array_distinct(kept), F.lit(0.0), square)
 
     def dot(line: Column, own: Column) -> Column:
         return F.aggregate(
@@ -170,17 +179,22 @@ def declared(
 
     def within(x: Column) -> Column:
         """Whether the template terms of a line weigh enough beside its other terms, each of which
-        counts once at least: their share bounds every cosine from above."""
-        own = norm_of(x["kept"])
-        return own * own * (1 - threshold**2) >= (
-            threshold**2 * F.size(F.array_except(x["terms"], known)) * other**2 - 1e-6
+        counts once and weighs 1 at least: their share bounds every cosine from above."""
+        return square_of(x["kept"]) * (1 - threshold**2) >= (
+            threshold**2 * F.size(F.array_except(x["terms"], known)) - 1e-6
         )
 
+    def reaches(x: Column) -> Column:
+        """Whether the best template would reach the threshold if other terms weighed 1."""
+        top = F.array_max(F.transform(table, lambda t: dot(x["kept"], t["terms"]) / t["norm"]))
+        least = x["square"] + F.size(F.array_distinct(x["others"]))
+        return top >= (threshold - 1e-6) * F.sqrt(least)
+
     lines = F.transform(
         F.split(F.coalesce("text", F.lit("")), "\n"),
         lambda line, i: F.struct(i.alias("at"), terms(line).alias("terms")),
     )
-    # three filters, each exact and each dearer than the one before
+    # four filters, each exact and each dearer than the one before
     heavy_lines = F.filter(lines, lambda x: F.arrays_overlap(x["terms"], heavy))
     shared = F.transform(
         heavy_lines,
@@ -196,25 +210,68 @@ def declared(
             x["at"].alias("at"),
             x["terms"].alias("terms"),
             F.filter(x["terms"], lambda t: F.array_contains(x["shared"], t)).alias("kept"),
+            x["shared"].alias("shared"),
         ),
     )
-    normed = F.transform(
+    split = F.transform(
         F.filter(kept, within),
         lambda x: F.struct(
-            x["at"].alias("at"), x["terms"].alias("terms"), norm_of(x["terms"]).alias("norm")
+            x["at"].alias("at"),
+            x["kept"].alias("kept"),
+            F.filter(x["terms"], lambda t: ~F.array_contains(x["shared"], t)).alias("others"),
+            square_of(x["kept"]).alias("square"),
         ),
     )
-    best = F.array_max(F.transform(normed, lambda x: scored(x["terms"], x["norm"], x["at"])))
-    top = unused(docs, "top")
+    # what a text declares follows from the text alone, so texts are told apart by their hash
+    key, top = unused(docs, "text_key"), unused(docs, "top")
+    hashed = F.md5(F.coalesce("text", F.lit("")))
+    reaching = (
+        docs.select(hashed.alias("key"), F.filter(split, reaches).alias("lines"))
+        .where(F.size("lines") > 0)
+        .dropDuplicates(["key"])
+        .select("key", F.inline("lines"))
+    )
+    reaching = stage(reaching, "reaching")
+    others = (
+        reaching.select("key", "at", F.explode("others").alias("term"))
+        .groupBy("key", "at", "term")
+        .agg(F.count("*").alias("tf"))
+    )
+    hot = stage(frequencies.where("term != ''").orderBy(F.desc("n"), "term").limit(HOT), "hot")
+    marked = others.join(F.broadcast(hot), "term", "left")
+    marked = stage(marked, "others")
+    rare = marked.where("n IS NULL").drop("n").join(frequencies, "term")
+    weight = F.col("tf") * (F.log(F.lit(n + 1.0) / (F.col("n") + 1)) + 1)
+    squares = (
+        marked.where("n IS NOT NULL")
+        .unionByName(rare)
+        .groupBy("key", "at")
+        .agg(F.sum(weight * weight).alias("more"))
+    )
+    norm = F.sqrt(F.col("square") + F.coalesce("more", F.lit(0.0)))
+    best = (
+        reaching.drop("others")
+        .join(squares, ["key", "at"], "left")
+        .select("key", scored(F.col("kept"), norm, F.col("at")).alias("top"))
+        .groupBy("key")
+        .agg(F.max("top").alias("top"))
+        .where(F.col("top.score") >= threshold)
+    )
+    best = stage(best, "best")
     found = F.when(
-        F.col(f"{top}.score") >= threshold,
+        F.col(f"{top}.score").isNotNull(),
         F.struct(
             F.col(f"{top}.license").alias("license"),
             F.col(f"{top}.score").alias("score"),
             (-F.col(f"{top}.place")).cast("int").alias("line"),
         ),
     )
-    return docs.withColumn(top, best).withColumn(name, found).drop(top)
+    joined = docs.withColumn(key, hashed).join(
+        best.select(F.col("key").alias(f"{key}_found"), F.col("top").alias(top)),
+        F.col(key) == F.col(f"{key}_found"),
+        "left",
+    )
+    return joined.withColumn(name, found).select(*docs.columns, name)
 
 
 def parent(path: Column) -> Column:

@@ -227,6 +227,22 @@ def test_declared_licences_by_brute_force(spark, small):
     assert got[9001][0] == "Apache-2.0" and got[9002][0] == "MIT" and got[9003] is None
 
 
+def test_a_line_keeps_its_verdict_when_the_table_grows(spark):
+    lines = ["in released under the MIT License en", "on licensed under the Apache License, Version 2.0 that"]
+
+    def verdicts(times):
+        plain = [f"in en on that w{i}" for i in range(500 * times)]
+        texts = [(x,) for x in [*lines * (2 * times), *plain]]
+        docs = spark.createDataFrame(texts, "text string")
+        rows = licenses.declared(docs, "own").where("own IS NOT NULL").distinct().collect()
+        return {r.text: (r.own.license, r.own.score) for r in rows}
+
+    small, large = verdicts(1), verdicts(10)
+    assert {t: v[0] for t, v in small.items()} == dict(zip(lines, ("MIT", "Apache-2.0")))
+    assert {t: v[0] for t, v in large.items()} == {t: v[0] for t, v in small.items()}
+    assert all(abs(large[t][1] - small[t][1]) < 0.01 for t in lines)
+
+
 def test_licences_are_inherited_from_the_nearest_directory(spark):
     rows = [
         ("LICENSE", "MIT", 0.9), ("a/LICENSE.txt", "GPL-3.0", 0.7), ("a/COPYING", "Apache-2.0", 0.8),
