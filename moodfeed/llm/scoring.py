@@ -3,9 +3,9 @@
 1. Word counts come from all training texts, summed in each task before the shuffle.
 2. The ``HEAD`` most frequent words are the model's own; counts of the ``COMMON`` most frequent are
    broadcast (both bounds are fixed). Words beyond are joined with the counts by shuffle.
-3. ``SHARE`` of the training documents, by hash and hence growing with the input, train the recurrent
-   model: in each round, trainers of about ``TRAINER_TOKENS`` tokens start from the same weights and
-   pass over their own documents, and their weights are averaged by Spark, block by block.
+3. All training documents train the recurrent model, each in one of ``ROUNDS`` rounds: in each round,
+   trainers of about ``TRAINER_TOKENS`` tokens start from the same weights and pass over their own
+   documents, and their weights are averaged by Spark, block by block.
 4. Every text is scored whole. A word outside the head has the model's probability of its kind (its
    length and last character) times its smoothed share of the training words of that kind.
 
@@ -32,9 +32,10 @@ from moodfeed.staging import stage
 
 HEAD = 2048
 COMMON = 1 << 18
-SHARE = 8
 ROUNDS = 4
 TRAINER_TOKENS = 200_000
+#: Weights of so many trainers are averaged at once, and then their averages.
+AVERAGED = 256
 LENGTHS = np.array([2, 4, 6, 8, 11])  # words up to so many bytes, and longer ones
 ENDINGS = 4  # letter or digit, full stop, comma, anything else
 KINDS = (len(LENGTHS) + 1) * ENDINGS
@@ -134,7 +135,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(common, n or 0, v, {r[0]: (r[1], r[2]) for r in sums})
 
 
-def _sample(docs: DataFrame, shared) -> DataFrame:
+def _symbols(docs: DataFrame, shared) -> DataFrame:
     """Symbols of the documents that train, and their round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,19 +153,18 @@ def _sample(docs: DataFrame, shared) -> DataFrame:
 
 
 def train_model(docs: DataFrame, shared) -> np.ndarray:
-    """Weights fitted on a share of the given documents."""
+    """Weights fitted on the given documents, all of them."""
     spark = docs.sparkSession
     known: Vocabulary = shared.value
     draw = F.pmod(F.xxhash64(F.lit("train"), "doc_id", "text"), F.lit(1 << 40))
-    chosen = docs.where(draw % SHARE == 0).select(F.floor(draw / SHARE).alias("draw"), "text")
-    sample = stage(_sample(chosen, shared), "sample")
-    total = sample.agg(F.sum("n")).first()[0] or 0
+    learnt = stage(_symbols(docs.select(draw.alias("draw"), "text"), shared), "symbols")
+    total = learnt.agg(F.sum("n")).first()[0] or 0
     trainers = max(1, round(total / (ROUNDS * TRAINER_TOKENS)))
     flat = known.shape.start(known.symbol_counts)
     for k in range(ROUNDS):
         weights = spark.sparkContext.broadcast(flat)
 
-        def run(table: pa.Table) -> pa.Table:
+        def run(key: tuple, table: pa.Table) -> pa.Table:
             rows = table.sort_by("draw").column("symbols")
             texts = [np.frombuffer(r.as_buffer(), np.int32) for r in rows]
             new = gru.train(shared.value.shape, weights.value, texts)
@@ -173,6 +173,7 @@ def train_model(docs: DataFrame, shared) -> np.ndarray:
             return pa.table(
                 {
                     "block": pa.array(range(len(parts)), pa.int32()),
+                    "part": pa.array([key[0].as_py() // AVERAGED] * len(parts), pa.int64()),
                     "size": pa.array([float(size)] * len(parts)),
                     "values": pa.array(parts, pa.binary()),
                 }
@@ -185,6 +186,7 @@ def train_model(docs: DataFrame, shared) -> np.ndarray:
             return pa.table(
                 {
                     "block": table.column("block").slice(0, 1),
+                    "size": pa.array([size.sum()]),
                     "values": pa.array([average.tobytes()], pa.binary()),
                 }
             )
@@ -192,12 +194,14 @@ def train_model(docs: DataFrame, shared) -> np.ndarray:
         # rounds take turns through the draws, trainers share a round
         turn, rest = F.col("draw") % ROUNDS, F.floor(F.col("draw") / ROUNDS)
         trained = (
-            sample.where(turn == k)
+            learnt.where(turn == k)
             .withColumn("trainer", rest % trainers)
             .groupBy("trainer")
-            .applyInArrow(run, "block int, size double, values binary")
+            .applyInArrow(run, "block int, part long, size double, values binary")
         )
-        averaged = trained.groupBy("block").applyInArrow(mean, "block int, values binary")
+        averaged = trained.groupBy("block", "part").applyInArrow(mean, "block int, size double, values binary")
+        if trainers > AVERAGED:
+            averaged = averaged.groupBy("block").applyInArrow(mean, "block int, size double, values binary")
         rows = sorted((r["block"], bytes(r["values"])) for r in averaged.collect())
         if rows:
             flat = np.concatenate([np.frombuffer(v, np.float32) for _, v in rows])

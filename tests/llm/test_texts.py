@@ -237,6 +237,23 @@ def test_base_scores_by_brute_force_and_a_better_model(spark, small, monkeypatch
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_all_training_documents_train(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "TRAINER_TOKENS", 100)  # so that averages are averaged as well
+    monkeypatch.setattr(scoring, "AVERAGED", 2)
+    real, staged = scoring.stage, []
+
+    def stage(df, name):
+        staged.append(real(df, name))
+        return staged[-1]
+
+    monkeypatch.setattr(scoring, "stage", stage)
+    docs = spark.createDataFrame([(i, prose(i, 40)) for i in range(50)], "doc_id long, text string")
+    rows = scoring.score(docs, langid.held_out(5)).collect()
+    learnt = next(x for x in staged if "draw" in x.columns)
+    assert learnt.count() == sum(not r.held_out for r in rows) > 0
+    assert all(np.isfinite(r.score) for r in rows)
+
+
 def test_awkward_documents_have_scores(awkward, nothing):
     rows = scoring.score(awkward, langid.held_out(5)).collect()
     assert len(rows) == awkward.count()
