@@ -55,62 +55,63 @@ MAIN_NAMES = frozenset("article main story post entry content body".split())
 
 FEATURES = (
     "words", "links", "words before", "links before", "words after", "links after",
-    "aside", "article", "article on page",
+    "aside", "article", "article share",
 )
 #: Labelled blocks: the features in the order above, then 1 for content. Link densities are in percent;
-#: ``aside``: stands in a boilerplate element; ``article``: in the article; the last: the page has one.
+#: ``aside``: stands in a boilerplate element; ``article``: in an article element; the last: the share of
+#: the page's words in such elements, in percent. An article element may hold a teaser only.
 LABELLED = """
-6 100 0 0 12 0 1 0 1 0
-1 100 0 0 1 100 1 0 1 0
-1 100 1 100 1 100 1 0 1 0
-1 100 1 100 11 0 1 0 1 0
-11 0 1 100 9 0 1 0 1 0
-40 0 1 100 9 0 1 0 1 0
-9 0 11 0 12 0 0 1 1 1
-12 0 9 0 60 0 0 1 1 1
-60 0 12 0 85 0 0 1 1 1
-1 0 60 0 1 0 0 1 1 1
-1 0 1 0 70 0 0 1 1 1
-120 5 80 0 45 10 0 1 1 1
-4 0 150 0 90 0 0 1 1 1
-30 60 40 0 50 0 0 1 1 1
-3 100 90 0 70 0 0 1 1 1
-80 0 90 0 8 0 0 1 1 1
-8 0 80 0 0 0 1 0 1 0
-20 10 80 0 0 0 1 0 1 0
-6 0 8 0 13 0 0 1 1 1
-5 0 2 100 3 0 0 1 1 1
-10 0 1 100 2 0 0 1 1 1
-3 0 6 100 40 0 0 1 1 1
-14 0 12 0 4 100 0 1 1 1
-2 0 30 0 8 25 0 1 1 1
-1 0 1 0 1 0 0 1 1 1
-22 0 5 0 3 100 0 1 1 1
-45 0 4 0 6 90 0 1 1 1
-16 0 0 0 0 0 0 1 1 1
-33 9 20 0 9 60 0 1 1 1
-5 100 35 0 28 0 0 1 1 1
-2 100 9 0 65 0 0 1 1 1
-7 0 7 0 7 0 0 1 1 1
-24 0 2 0 2 0 0 1 1 1
-40 0 1 100 1 100 0 1 1 1
-18 30 18 30 18 30 0 1 1 1
-250 0 4 0 3 0 0 1 1 1
-11 0 200 0 6 17 0 1 1 1
-8 0 3 100 220 0 0 1 1 1
-62 0 80 0 2 100 0 0 1 0
-30 0 12 0 45 0 0 0 1 0
-12 0 60 0 3 100 0 0 1 0
-90 0 50 5 10 0 0 0 1 0
-5 0 2 100 8 0 0 0 1 0
-55 0 30 0 12 0 1 1 1 0
-6 0 90 0 50 0 1 1 1 0
-2 100 80 0 2 100 1 1 1 0
-35 0 6 100 25 0 1 1 1 0
-14 0 4 100 9 0 0 0 1 0
-3 0 0 0 2 100 0 0 1 0
-45 0 80 0 6 100 0 0 1 0
-70 20 8 0 60 0 0 0 1 0
+6 100 0 0 12 0 1 0 90 0
+1 100 0 0 1 100 1 0 90 0
+1 100 1 100 1 100 1 0 90 0
+1 100 1 100 11 0 1 0 90 0
+11 0 1 100 9 0 1 0 90 0
+40 0 1 100 9 0 1 0 90 0
+9 0 11 0 12 0 0 1 90 1
+12 0 9 0 60 0 0 1 90 1
+60 0 12 0 85 0 0 1 90 1
+1 0 60 0 1 0 0 1 90 1
+1 0 1 0 70 0 0 1 90 1
+120 5 80 0 45 10 0 1 90 1
+4 0 150 0 90 0 0 1 90 1
+30 60 40 0 50 0 0 1 90 1
+3 100 90 0 70 0 0 1 90 1
+80 0 90 0 8 0 0 1 90 1
+8 0 80 0 0 0 1 0 90 0
+20 10 80 0 0 0 1 0 90 0
+6 0 8 0 13 0 0 1 90 1
+5 0 2 100 3 0 0 1 90 1
+10 0 1 100 2 0 0 1 90 1
+3 0 6 100 40 0 0 1 90 1
+14 0 12 0 4 100 0 1 90 1
+2 0 30 0 8 25 0 1 90 1
+1 0 1 0 1 0 0 1 90 1
+22 0 5 0 3 100 0 1 90 1
+45 0 4 0 6 90 0 1 90 1
+16 0 0 0 0 0 0 1 90 1
+33 9 20 0 9 60 0 1 90 1
+5 100 35 0 28 0 0 1 90 1
+2 100 9 0 65 0 0 1 90 1
+7 0 7 0 7 0 0 1 90 1
+24 0 2 0 2 0 0 1 90 1
+40 0 1 100 1 100 0 1 90 1
+18 30 18 30 18 30 0 1 90 1
+250 0 4 0 3 0 0 1 90 1
+11 0 200 0 6 17 0 1 90 1
+8 0 3 100 220 0 0 1 90 1
+62 0 80 0 2 100 0 0 90 1
+30 0 12 0 45 0 0 0 90 0
+12 0 60 0 3 100 0 0 90 0
+90 0 50 5 10 0 0 0 90 1
+5 0 2 100 8 0 0 0 90 0
+55 0 30 0 12 0 1 1 90 0
+6 0 90 0 50 0 1 1 90 0
+2 100 80 0 2 100 1 1 90 0
+35 0 6 100 25 0 1 1 90 0
+14 0 4 100 9 0 0 0 90 0
+3 0 0 0 2 100 0 0 90 0
+45 0 80 0 6 100 0 0 90 1
+70 20 8 0 60 0 0 0 90 0
 2 100 2 100 3 100 0 0 0 0
 3 100 0 0 2 100 0 0 0 0
 5 80 2 100 60 0 0 0 0 0
@@ -130,6 +131,48 @@ LABELLED = """
 80 0 70 0 60 0 1 0 0 0
 15 0 20 0 70 0 1 0 0 0
 50 10 70 0 40 10 1 0 0 0
+80 0 60 0 70 0 0 0 90 1
+60 5 45 0 0 0 0 0 90 1
+45 0 3 100 2 100 0 0 60 1
+120 3 8 0 90 0 0 0 70 1
+18 0 3 100 2 100 0 0 90 0
+25 0 4 100 12 0 0 0 80 0
+22 40 60 0 2 100 0 0 90 0
+60 70 50 0 40 0 0 0 90 0
+80 60 70 0 60 0 0 0 20 0
+80 0 60 0 70 0 0 0 15 1
+60 0 3 100 85 0 0 0 8 1
+30 5 70 0 45 0 0 0 20 1
+18 0 45 0 60 0 0 0 10 1
+25 0 60 0 2 100 0 0 5 1
+9 0 4 100 70 0 0 0 10 1
+8 0 60 0 75 0 0 0 25 1
+3 100 12 0 2 100 0 0 12 0
+4 0 3 100 2 100 0 0 20 0
+6 100 40 0 3 100 0 0 15 0
+5 0 2 100 3 100 0 0 10 0
+2 100 14 0 3 100 0 1 15 0
+2 100 14 0 80 0 0 1 10 0
+6 100 2 100 14 0 0 1 10 0
+5 100 8 0 12 0 0 1 20 0
+14 0 6 100 2 100 0 1 15 0
+12 0 4 0 70 0 0 1 10 0
+4 0 3 100 12 0 0 1 10 0
+20 100 2 100 3 100 0 1 12 0
+3 100 20 100 2 100 0 1 30 0
+60 0 6 0 45 0 0 1 20 1
+70 3 60 0 2 100 0 1 15 1
+90 80 80 0 60 0 0 1 90 0
+40 100 60 0 50 0 0 1 95 0
+25 95 30 100 28 100 0 1 80 0
+7 28 2 0 2 0 0 1 90 1
+8 25 30 0 6 0 0 1 95 1
+12 35 40 0 30 0 0 1 90 1
+6 33 5 0 9 0 0 1 95 1
+9 45 20 0 14 0 0 1 90 1
+16 40 8 0 3 0 0 1 90 1
+8 0 14 0 60 0 1 0 15 0
+70 0 60 0 30 0 1 0 15 0
 """
 
 _TOKEN = re.compile(
@@ -268,6 +311,7 @@ def features(blocks: Blocks) -> np.ndarray:
     n = len(blocks.texts)
     own = np.column_stack([blocks.words, np.array(blocks.links) * 100]).reshape(n, 2)
     none = np.zeros((1, 2))
+    share = own[:, 0] @ np.array(blocks.article, float) / max(1, own[:, 0].sum())
     return np.column_stack(
         [
             own,
@@ -275,7 +319,7 @@ def features(blocks: Blocks) -> np.ndarray:
             np.vstack([own[1:], none]),
             blocks.aside,
             blocks.article,
-            np.full(n, any(blocks.article)),
+            np.full(n, 100 * share),
         ]
     )
 
@@ -306,7 +350,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> Tree:
     if depth == 0 or _gini(y) == 0:
         return leaf
     best = (1e-9, -1, 0.0)
-    # context first: it separates cleanly where it applies
+    # context first, for ties
     for f in [6, 7, 8, 0, 1, 2, 3, 4, 5]:
         values = np.unique(x[:, f])
         for limit in (values[:-1] + values[1:]) / 2:

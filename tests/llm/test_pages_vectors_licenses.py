@@ -134,6 +134,24 @@ def test_pages_without_an_article_element():
     assert html.main_text(page, TREE) == f"{long.strip()}\n\n{(long * 2).strip()}"
 
 
+LONG = "A paragraph of the text itself, which is long and links to nothing, as those of the body are. " * 3
+TEASER = "<h2><a href=/t>Read this as well, it is new</a></h2><p>A few words of it.<p><a href=/t>Read more</a>"
+
+
+@pytest.mark.parametrize("teaser", ["<article>{}</article>", "<div class=post>{}</div>", "<section class=story>{}</section>"])
+def test_densities_decide_where_an_article_element_is_a_teaser(teaser):
+    body = f"<div><p>{LONG}<p>{LONG}<p>{LONG}</div>"
+    want = "\n\n".join([LONG.strip()] * 3)
+    assert html.main_text(body + teaser.format(TEASER), TREE) == want
+    assert html.main_text(teaser.format(TEASER) * 2 + body, TREE) == want
+    # beside a long article, a long plain block is content and short or linked ones are not
+    page = f"<article><p>{LONG}<p>{LONG}</article><div>{LONG}</div><div>All rights reserved</div>"
+    linked = "".join(f"<a href=/{i}>some other page of the site {i}</a> " for i in range(12))
+    assert html.main_text(page + f"<div>{linked}</div>", TREE) == want
+    inside = f"<article><p>{LONG}<p>{LONG}<p>{LONG}<div>{linked}</div></article>"
+    assert html.main_text(inside, TREE) == want
+
+
 @pytest.mark.parametrize(
     "page", [None, "", " ", "<", "<p", "<!--", "<script>", "</div></p>", "<a href='", "&#x110000;", "<p>&nbsp;"]
 )
