@@ -203,6 +203,7 @@ def _role(tag: str, attributes: str, in_article: bool) -> int:
         role = 2
     else:
         role = 0
+    aside = False
     if "=" in attributes or "hidden" in attributes:
         for name, value in _NAMED.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
@@ -212,17 +213,26 @@ def _role(tag: str, attributes: str, in_article: bool) -> int:
                 if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                     return 3
                 continue
-            parts = set(re.split(r"[^a-z]+", value))
-            if parts & ASIDE_NAMES and tag not in ("body", "html"):
-                return 1
-            if not role and parts & MAIN_NAMES and tag in ("div", "section"):
-                role = 2
+            # a name is boilerplate as a whole: has-sidebar or comments-open are not
+            for token in value.split():
+                parts = {x for x in re.split(r"[^a-z]+", token) if x}
+                if parts and parts <= ASIDE_NAMES:
+                    aside = True
+                elif parts & MAIN_NAMES and not parts & ASIDE_NAMES and tag in ("div", "section"):
+                    role = 2
+    if aside and tag not in ("body", "html", "article", "main"):
+        return 1
     return role
 
 
 def cut(page: str) -> Blocks:
     """The text blocks of a page in order."""
     out = Blocks([], [], [], [], [])
+    # elements of boilerplate: the one around it, whether only its names or a form say so
+    around: list[int] = []
+    weak: list[bool] = []
+    inner: list[int] = []  # the innermost one of each block, or -1
+    opened: list[int] = []
     pieces: list[str] = []
     linked = [0]
     stack: list[tuple[str, int]] = []
@@ -238,11 +248,16 @@ def cut(page: str) -> Blocks:
                 out.texts.append(text)
                 out.words.append(n)
                 out.links.append(min(1.0, linked[0] / n))
-                out.aside.append(depth[1] > 0)
+                inner.append(opened[-1] if opened else -1)
                 out.article.append(depth[2] > 0)
         pieces = []
         linked[0] = 0
 
+    def leave(role: int) -> None:
+        depth[role] -= role > 0
+        if role == 1:
+            opened.pop()
+
     def say(text: str) -> None:
         if text and not depth[3]:
             pieces.append(text)
@@ -271,7 +286,7 @@ def cut(page: str) -> Blocks:
             elif any(t == tag for t, _ in stack):
                 while True:
                     top, role = stack.pop()
-                    depth[role] -= role > 0
+                    leave(role)
                     if top == tag:
                         break
             continue
@@ -294,7 +309,7 @@ def cut(page: str) -> Blocks:
             anchors = 0 if tag in ("nav", "article", "footer", "main") else anchors
             if tag in ("p", "li", "option") and stack and stack[-1][0] == tag:
                 _, role = stack.pop()
-                depth[role] -= role > 0
+                leave(role)
             if tag == "body":  # a head that was never closed
                 stack = [s for s in stack if s[1] != 3]
                 depth[3] = 0
@@ -302,11 +317,36 @@ def cut(page: str) -> Blocks:
         if tag in INLINE and role == 0:
             role = 0
         depth[role] += role > 0
+        if role == 1:
+            around.append(opened[-1] if opened else -1)
+            weak.append(tag not in ASIDE or tag in ("form", "fieldset"))
+            opened.append(len(around) - 1)
         stack.append((tag, role))
     flush()
+    out.aside = _boilerplate(out, around, weak, inner)
     return out
 
 
+def _boilerplate(blocks: Blocks, around: list[int], weak: list[bool], inner: list[int]) -> list[bool]:
+    """Whether each block stands in boilerplate. An element that only its names or a form make so is
+    none if it holds most words of the page, and most of those in article elements if there are any."""
+    held = [[0, 0] for _ in around]
+    total = [0, 0]
+    for at, n, article in zip(inner, blocks.words, blocks.article):
+        for sums in (total, held[at]) if at >= 0 else (total,):
+            sums[0] += n
+            sums[1] += n * article
+    for at in range(len(around) - 1, -1, -1):
+        if around[at] >= 0:
+            held[around[at]][0] += held[at][0]
+            held[around[at]][1] += held[at][1]
+    state: list[bool] = []
+    for at, (words, article) in enumerate(held):
+        most = 2 * words > total[0] and 2 * article >= total[1]
+        state.append(not (weak[at] and most) or (around[at] >= 0 and state[around[at]]))
+    return [at >= 0 and state[at] for at in inner]
+
+
 def features(blocks: Blocks) -> np.ndarray:
     n = len(blocks.texts)
     own = np.column_stack([blocks.words, np.array(blocks.links) * 100]).reshape(n, 2)

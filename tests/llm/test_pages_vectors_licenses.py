@@ -152,6 +152,24 @@ def test_densities_decide_where_an_article_element_is_a_teaser(teaser):
     assert html.main_text(inside, TREE) == want
 
 
+@pytest.mark.parametrize(
+    "around",
+    [
+        "<article class='post comments-open'>{}</article>", "<article class='post tag-alert'>{}</article>",
+        "<div class='content has-sidebar'>{}</div>", "<main id=content-related>{}</main>",
+        "<div class=page-header-fixed>{}</div>", "<form action=x>{}</form>", "<div class=widget>{}</div>",
+        "<form><article>{}</article></form>", "<article class=comments>{}</article>",
+    ],
+)
+def test_a_name_or_form_around_the_page_loses_nothing(around):
+    body = f"<p>{LONG}<p>{LONG}<div class=comments><p>Nice!</div>"
+    page = f"<nav><a href=/>Home</a></nav>{around.format(body)}<div class=sidebar>Popular posts of the week</div>"
+    assert html.main_text(page, TREE) == f"{LONG.strip()}\n\n{LONG.strip()}"
+    # boilerplate beside an article stays out, also where it is longer
+    other = f"<div class=comments><p>{LONG}<p>{LONG}<p>{LONG}</div>"
+    assert html.main_text(f"<article><p>{LONG}</article>{other}", TREE) == LONG.strip()
+
+
 @pytest.mark.parametrize(
     "page", [None, "", " ", "<", "<p", "<!--", "<script>", "</div></p>", "<a href='", "&#x110000;", "<p>&nbsp;"]
 )
