@@ -8,8 +8,10 @@ the rest is solved. Scoring is one matrix product of a batch's presence matrix w
 one with the folded weights.
 
 Letters are taken in lower case, everything else separates. Classifier and landmarks are fitted on
-documents drawn by hash, ``per_language`` of each language in expectation, of the ``max_languages`` most
-frequent; every text is read and scored whole. Texts that are null or have no letter are ``und``, as
+documents drawn by hash, ``per_language`` of each language in expectation; every language of the table is
+learnt. Beyond ``full_languages`` of them, each has fewer landmarks and documents, so that the sums stay near
+those of so many, but a landmark and ``LEAST`` documents (or all of its own) at least. Every text is read and
+scored whole. Texts that are null or have no letter are ``und``, as
 are all when there is nothing to learn from. Equal scores go to the first language in order.
 """
 
@@ -29,7 +31,8 @@ from moodfeed.llm.ship import ship
 
 PER_LANGUAGE = 300
 LANDMARKS = 40
-MAX_LANGUAGES = 128
+FULL_LANGUAGES = 128
+LEAST = 40
 RIDGE = 1e-2
 UNKNOWN = "und"
 #: Classes of letters: 0 separates, 1-26 are a-z, other letters share the rest by hash.
@@ -129,7 +132,9 @@ def fit(samples: list[tuple[str, np.ndarray]], landmarks: int, ridge: float) ->
     to_features = vectors[:, good] / np.sqrt(values[good])
     features = model.kernels([g for _, g in samples]) @ to_features
     centre = features.mean(0)
-    wanted = np.array([[1.0 if lang == x else -1.0 for x in languages] for lang, _ in samples])
+    place = {lang: i for i, lang in enumerate(languages)}
+    wanted = np.full((len(samples), len(languages)), -1.0)
+    wanted[np.arange(len(samples)), [place[lang] for lang, _ in samples]] = 1.0
     mean = wanted.mean(0)
     moved = features - centre
     gram = moved.T @ moved + ridge * len(samples) / len(languages) * np.eye(moved.shape[1])
@@ -148,22 +153,24 @@ def train(
     docs: DataFrame,
     per_language: int = PER_LANGUAGE,
     landmarks: int = LANDMARKS,
-    max_languages: int = MAX_LANGUAGES,
+    full_languages: int = FULL_LANGUAGES,
     ridge: float = RIDGE,
 ) -> Model:
     """Learn from ``text`` and ``lang`` of the given documents."""
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = (
-        labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
-    ).collect()
+    counts = labelled.groupBy("lang").count().collect()
     if not counts:
         return fit([], landmarks, ridge)
-    key = F.xxhash64("text", "doc_id")
-    share = F.create_map(
-        *(F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"])))
+    if len(counts) > full_languages:
+        landmarks = max(1, landmarks * full_languages // len(counts))
+        per_language = max(min(LEAST, per_language), per_language * full_languages // len(counts))
+    shares = docs.sparkSession.createDataFrame(
+        [(r["lang"], min(1.0, per_language / r["count"])) for r in counts], "lang string, share double"
     )
-    drawn = (F.pmod(key, F.lit(1 << 30)) / float(1 << 30)) < F.element_at(share, F.col("lang"))
-    sample = labelled.where(drawn).select("lang", key.alias("key"), "text")
+    key = F.xxhash64("text", "doc_id")
+    drawn = (F.pmod(key, F.lit(1 << 30)) / float(1 << 30)) < F.col("share")
+    marked = labelled.select("doc_id", "lang", "text").join(F.broadcast(shares), "lang")
+    sample = marked.where(drawn).select("lang", key.alias("key"), "text")
 
     def grams(batches):
         for batch in batches:

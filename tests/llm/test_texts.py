@@ -68,6 +68,21 @@ def test_kernel_is_the_share_of_common_grams():
     assert model.kernels([a])[0] == pytest.approx([1, 5 / math.sqrt(80)])
 
 
+def test_all_languages_are_learnt_however_many(spark):
+    import random
+
+    rows = []
+    for i in range(140):
+        rng = random.Random(i)
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(8)]
+        rows += [(i * 10 + j, f"l{i}", " ".join(rng.choices(words, k=30))) for j in range(3 if i < 100 else 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = langid.train(docs)
+    assert set(model.languages) == {f"l{i}" for i in range(140)}
+    got = langid.identify(docs, model, "own").select("lang", "own.lang_pred").collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(rows)
+
+
 def test_awkward_documents_have_languages(awkward, nothing):
     model = langid.train(awkward)
     rows = langid.identify(awkward, model, "own").select("doc_id", "text", "own.*").collect()
