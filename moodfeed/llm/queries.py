@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from moodfeed.llm import (
     decontaminate,
     html,
+    infill,
     langid,
     licenses,
     mixture,
     near,
+    resample,
     scoring,
     shards,
     substring,
+    topk,
     vectors,
 )
 from moodfeed.staging import stage
@@ -130,6 +133,31 @@ def op10_decontaminate(spark, sf_dir):
     )
 
 
+def op11_top_products(spark, sf_dir):
+    return topk.top_products(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    cut = infill.transform(docs, "cut").select("doc_id", "cut.*")
+    back = infill.restored(F.col("output"), F.col("form"))
+    return cut.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(back, 256).alias("restored_sha256"),
+    )
+
+
+def op13_resample(spark, sf_dir):
+    docs, target = documents(spark, sf_dir), _table(spark, sf_dir, "benchmark")
+    drawn = resample.resample(docs, target, "drawn", keep=["doc_id"])
+    return drawn.select("doc_id", *(f"drawn.{c}" for c in ("n_features", "weight", "score", "rank")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -143,5 +171,8 @@ QUERIES = {
         op8_mixture,
         op9_licenses,
         op10_decontaminate,
+        op11_top_products,
+        op12_fill_in_middle,
+        op13_resample,
     )
 }
