@@ -18,9 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -88,30 +86,32 @@ class Splitter:
             fresh = stop
 
 
-@lru_cache(1 << 16)
-def _crc(feature: str) -> int:
-    return zlib.crc32(feature.encode())
+def _runs(piece: str, pairs: list[tuple[int, int]], old: int, longest: int) -> Iterator[bytes]:
+    """Features that end with a word after the first ``old``: the windows over the offset pairs."""
+    if longest == 1 and piece.isascii():
+        data = piece.encode()
+        yield from (data[a:b] for a, b in pairs[old:])
+        return
+    words = [piece[a:b].encode() for a, b in pairs]
+    for k in range(1, longest + 1):
+        for i in range(max(0, old - k + 1), len(words) - k + 1):
+            yield b" ".join(words[i : i + k])
 
 
 def histogram(splitter: Splitter, text: str, longest: int, buckets: int) -> tuple[int, np.ndarray, np.ndarray]:
     """Number of words, buckets in order, and their counts, of a lowered text."""
-    seen: Counter[str] = Counter()
     n_words = 0
-    total: dict[int, int] = {}
+    parts = []
     for piece, pairs, old in splitter.pieces(text, longest - 1):
         n_words += len(pairs) - old
-        for k in range(1, longest + 1):
-            windows = range(max(0, old - k + 1), len(pairs) - k + 1)
-            if k == 1:
-                seen.update(piece[a:b] for a, b in pairs[old:])
-            else:
-                seen.update(" ".join(piece[a:b] for a, b in pairs[i : i + k]) for i in windows)
-        for feature, n in seen.items():
-            bucket = _crc(feature) % buckets
-            total[bucket] = total.get(bucket, 0) + n
-        seen.clear()
-    keys = np.array(sorted(total), np.int32)
-    return n_words, keys, np.array([total[k] for k in keys.tolist()], np.int64)
+        crcs = np.fromiter(map(zlib.crc32, _runs(piece, pairs, old, longest)), np.int64)
+        parts.append(np.unique(crcs % buckets, return_counts=True))
+    if len(parts) == 1:
+        return n_words, *parts[0]
+    total = np.zeros(buckets if parts else 0, np.int64)
+    for keys, counts in parts:
+        total[keys] += counts
+    return n_words, np.flatnonzero(total), total[total > 0]
 
 
 def _offsets(parts: list[np.ndarray]) -> pa.Array:
@@ -144,7 +144,7 @@ def features(
                     [
                         pa.array([r[0] for r in rows], pa.int64()),
                         pa.array([int(c.sum()) for c in counts], pa.int64()),
-                        pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys), pa.int32())),
+                        pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys).astype(np.int32))),
                         pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(counts), pa.int64())),
                     ],
                     FEATURES.names,
