@@ -1,20 +1,22 @@
 """Binary TF-IDF of n-grams, one vocabulary per language, all languages in one job.
 
-Matrices are long tables, a row per non-zero entry.
+Matrices are long tables, a row per non-zero entry, or sparse vectors, a row per tweet.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from moodfeed.functions import tokens as tk
 from moodfeed.operators.joins import null_safe_join
 from moodfeed.operators.process import COUNTS, process
 from moodfeed.operators.ranking import with_position
-from moodfeed.staging import stage
+from moodfeed.staging import fresh_path, stage
 
 # Terms with more than this share of all postings are joined by broadcast: there are at most
 # HOT_SHARE of them, and every other term is at most 1 / HOT_SHARE of the rows.
@@ -187,6 +189,93 @@ def feature_matrix(
     return reduce(DataFrame.unionByName, parts), processed.select("tweet_id", "lang", "label")
 
 
+# A sparse vector as it is stored: the kind 0, the size, and the entries in the order of their index.
+_SPARSE = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
+MAX_SIZE = (1 << 31) - 1
+
+
+def vocabulary_sizes(vocabulary: DataFrame) -> DataFrame:
+    """``lang, n_terms`` of a vocabulary with term ids; staged, so that its size decides on the join."""
+    sizes = vocabulary.groupBy("lang").agg((F.max("term_id") + 1).alias("n_terms"))
+    return stage(sizes, "vocabulary-sizes")
+
+
+def stage_vectors(
+    rows: DataFrame, entries: DataFrame, sizes: DataFrame, columns: list[str], by_language: bool = False
+) -> DataFrame:
+    """``rows`` without ``columns``, and ``features``: a sparse vector of the tweet's terms followed by these
+    columns, as wide as the vocabulary of its language and they are.
+
+    ``rows`` have ``tweet_id, lang``; ``entries`` ``tweet_id, term_id, tfidf``. Tweets without a term, or
+    whose language has no vocabulary, have the columns only. Spark's vector type has no constructor of
+    sparse vectors in SQL: they are written as the structure that it is stored as, and read as vectors.
+    ``by_language`` gives each language a folder (for tables without NULL languages).
+    """
+    spark = rows.sparkSession
+    widest = sizes.agg(F.max("n_terms")).first()[0] or 0
+    if widest + len(columns) > MAX_SIZE:
+        raise ValueError(f"{widest} terms in a language: a vector has {MAX_SIZE} entries at most")
+    # a tweet's own terms only
+    own = entries.groupBy("tweet_id").agg(
+        F.sort_array(F.collect_list(F.struct("term_id", "tfidf"))).alias("_own")
+    )
+    joined = null_safe_join(rows, sizes, ["lang"], "left").join(own, "tweet_id", "left")
+    n, terms = F.coalesce("n_terms", F.lit(0)).cast("int"), F.coalesce("_own", F.array().cast(own.schema["_own"].dataType))
+    indices = F.concat(
+        F.transform(terms, lambda e: e["term_id"].cast("int")), F.array(*[n + k for k in range(len(columns))]).cast("array<int>")
+    )
+    values = F.concat(
+        F.transform(terms, lambda e: e["tfidf"]), F.array(*[F.col(c).cast("double") for c in columns]).cast("array<double>")
+    )
+    vector = F.struct(
+        F.lit(0).cast("tinyint").alias("type"), (n + len(columns)).alias("size"),
+        indices.alias("indices"), values.alias("values"),
+    ).cast(_SPARSE)
+    kept = [c for c in rows.columns if c not in columns]
+    path = fresh_path(spark, "vectors")
+    table = joined.select(*kept, vector.alias("features"))
+    (table.write.partitionBy("lang") if by_language else table.write).parquet(path)
+    schema = T.StructType(
+        [T.StructField("features", VectorUDT()) if f.name == "features" else f for f in table.schema]
+    )
+    return spark.read.schema(schema).parquet(path).select(*kept, "features")
+
+
+def vector_entries(vectors: DataFrame) -> DataFrame:
+    """``features`` turned into a row for each of its stored entries: ``index, value``."""
+    others = [c for c in vectors.columns if c != "features"]
+    stored = F.unwrap_udt("features")
+    pairs: Column = F.arrays_zip(stored["indices"].alias("index"), stored["values"].alias("value"))
+    return vectors.select(*others, F.inline(pairs)).toDF(*others, "index", "value")
+
+
+def feature_vectors(
+    tweets: DataFrame,
+    use_features: bool = False,
+    vocabulary: DataFrame | None = None,
+    tokenizer: tk.Tokenizer = tk.twitter_tokens,
+    n: int = 2,
+    **options,
+) -> tuple[DataFrame, DataFrame]:
+    """(vectors, vocabulary): ``tweet_id, lang, label, features`` of every tweet, as ``feature_matrix``, and
+    the vocabulary that numbers the terms. The counts follow the terms of the language.
+
+    Fits a vocabulary unless a stored one with term ids is given.
+    """
+    processed = stage(process(tweets, tokenizer=tokenizer, **options), "processed")
+    terms = stage_terms(processed, tokenizer, n)
+    fitted = vocabulary if vocabulary is not None else stage(fit_vocabulary(terms), "vocabulary")
+    entries = tfidf(terms, fitted, unseen=vocabulary is not None)
+    columns = COUNTS if use_features else []
+    rows = with_scaled(processed) if use_features else processed
+    return (
+        stage_vectors(
+            rows.select("tweet_id", "lang", "label", *columns), entries, vocabulary_sizes(fitted), columns
+        ),
+        fitted,
+    )
+
+
 def clear_unlabeled(matrix: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both without the tweets whose label is unknown."""
     known = labels.filter(F.col("label").isNotNull())

@@ -383,6 +383,18 @@ _BODIES = {
   SELECT round((avg((y_pred = 1)::INT) FILTER (y_true = 1)
                 + avg((y_pred <> 1)::INT) FILTER (y_true <> 1)) / 2, 6) AS roc_auc
   FROM ratings""",
+    # ranks with ties averaged
+    "metric_auc_score": """
+  SELECT lang, p AS n_positive, n AS n_negative,
+         CASE WHEN p > 0 AND n > 0 THEN round((rank_sum - p * (p + 1) / 2) / (p * n), 6) END AS roc_auc
+  FROM (SELECT lang, count(*) FILTER (label = 1) AS p, count(*) FILTER (label <> 1) AS n,
+               coalesce(sum(mean_rank) FILTER (label = 1), 0) AS rank_sum
+        FROM (SELECT lang, label, rank() OVER (PARTITION BY lang ORDER BY score)
+                     + (count(*) OVER (PARTITION BY lang, score) - 1) / 2 AS mean_rank
+              FROM (SELECT s.lang, label, round(m, 6) + 0.0 AS score
+                    FROM par_scores s JOIN par_processed USING (tweet_id)
+                    WHERE m IS NOT NULL AND label IS NOT NULL))
+        GROUP BY lang)""",
     "metric_report": """
   SELECT (SELECT count(*) FROM ratings) AS n,
          (SELECT round(avg((y_true = y_pred)::INT), 6) FROM ratings) AS accuracy,
@@ -418,5 +430,9 @@ _BODIES = {
 }
 
 
+# vectors hold what the long form holds
+_BODIES["feature_vectors_all_languages"] = _BODIES["feature_matrix_all_languages"]
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: query(body) for name, body in _BODIES.items()}

@@ -14,6 +14,7 @@ from moodfeed.functions import tokens as tk
 from moodfeed.operators import collect as cl
 from moodfeed.operators import learn, metrics
 from moodfeed.operators import vectorize as vz
+from moodfeed.operators.joins import null_safe_join
 from moodfeed.operators.process import COUNTS, drop_unlabeled, entities, process
 from moodfeed.operators.ranking import split_positional
 from moodfeed.plans import experiments
@@ -417,6 +418,26 @@ def feature_matrix_all_languages(spark, sf_dir):
     return matrix.select("tweet_id", "feature", rounded("value"))
 
 
+def feature_vectors_all_languages(spark, sf_dir):
+    """The same as vectors, turned back to a row per entry."""
+    tweets = _parsed(spark, sf_dir).drop("ts_ms")
+    vectors, vocabulary = vz.feature_vectors(tweets, use_features=True, tokenizer=tk.whitespace_tokens)
+    entries = null_safe_join(vz.vector_entries(vectors), vz.vocabulary_sizes(vocabulary), ["lang"], "left")
+    place = F.col("index") - F.coalesce("n_terms", F.lit(0))
+    names = F.array(*[F.lit(c) for c in COUNTS])
+    numbered = entries.select(
+        "tweet_id", "lang", F.when(place < 0, F.col("index")).cast("long").alias("term_id"),
+        F.get(names, place.cast("int")).alias("count"), "value",
+    )
+    terms = vocabulary.select("lang", "term_id", "term")
+    of_terms = null_safe_join(numbered.where("count IS NULL"), terms, ["lang", "term_id"])
+    return of_terms.select("tweet_id", F.col("term").alias("feature"), rounded("value")).unionByName(
+        numbered.where("count IS NOT NULL").select(
+            "tweet_id", F.col("count").alias("feature"), rounded("value")
+        )
+    )
+
+
 def clear_unlabeled(spark, sf_dir):
     matrix, labels = vz.clear_unlabeled(*_matrix(spark, sf_dir))
     sums = matrix.groupBy("tweet_id").agg(F.count("*").alias("n_entries"))
@@ -475,8 +496,7 @@ def _generated_numeric(processed: DataFrame) -> DataFrame:
     return vz.feature_moments(processed).select("*", *weights)
 
 
-def score_all_languages(spark, sf_dir):
-    """Every tweet of the backup keeps its row, those without a language or a model for it too."""
+def _scored_all_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     tweets = _parsed(spark, sf_dir).drop("ts_ms")
     processed = stage(process(tweets, tokenizer=tk.whitespace_tokens), "processed")
     terms = vz.stage_terms(processed, tk.whitespace_tokens)
@@ -485,8 +505,12 @@ def score_all_languages(spark, sf_dir):
     )
     numeric = _generated_numeric(processed).filter(F.col("lang").isin(MODELLED))
     model = learn.SentimentModel(weighted, stage(numeric, "numeric"))
-    scored = learn.score(processed.drop("label"), terms, model)
-    return scored.select(
+    return learn.score(processed, terms, model)
+
+
+def score_all_languages(spark, sf_dir):
+    """Every tweet of the backup keeps its row, those without a language or a model for it too."""
+    return _scored_all_languages(spark, sf_dir).select(
         "tweet_id", "lang", rounded("margin"), rounded("probability"), big("prediction")
     )
 
@@ -527,6 +551,12 @@ def metric_auc_hard(spark, sf_dir):
     return _all_rounded(metrics.auc_hard(_ratings(spark, sf_dir)))
 
 
+def metric_auc_score(spark, sf_dir):
+    """Emoticon labels against margins of generated weights; the languages without a model have none."""
+    scored = _scored_all_languages(spark, sf_dir).select("lang", "label", rounded("margin"))
+    return _all_rounded(metrics.auc_score(scored, by=["lang"]))
+
+
 def metric_report(spark, sf_dir):
     return _all_rounded(metrics.report(_ratings(spark, sf_dir)))
 
@@ -644,6 +674,7 @@ QUERIES: dict[str, Query] = {
     "scale_features": scale_features,
     "feature_matrix": feature_matrix,
     "feature_matrix_all_languages": feature_matrix_all_languages,
+    "feature_vectors_all_languages": feature_vectors_all_languages,
     "clear_unlabeled": clear_unlabeled,
     "split_positional": split_positional_query,
     "lr_fit": lr_fit,
@@ -654,6 +685,7 @@ QUERIES: dict[str, Query] = {
     "metric_accuracy": metric_accuracy,
     "metric_macro_f1": metric_macro_f1,
     "metric_auc_hard": metric_auc_hard,
+    "metric_auc_score": metric_auc_score,
     "metric_report": metric_report,
     "experiment_labeled": experiment_labeled,
     "experiment_distant": experiment_distant,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from moodfeed.functions import tokens as tk
 from moodfeed.operators import learn
 from moodfeed.operators import vectorize as vz
-from moodfeed.operators.metrics import accuracy, auc_hard, macro_scores, report
+from moodfeed.operators.metrics import accuracy, auc_hard, auc_score, macro_scores, report
 from moodfeed.operators.process import COUNTS, drop_unlabeled, process
 from moodfeed.operators.ranking import split_positional, with_position
 from moodfeed.staging import stage
@@ -207,3 +207,72 @@ def test_labelled_experiment_learns(spark):
 
     row = experiment_labeled(spark, "/root/testdata/sf0.001").first()
     assert row.n > 50 and row.roc_auc > 0.55
+
+
+def mean_rank_auc(rows):
+    pos = [s for s, y in rows if y == 1]
+    neg = [s for s, y in rows if y != 1]
+    if not pos or not neg:
+        return None
+    return sum((p > n) + (p == n) / 2 for p in pos for n in neg) / len(pos) / len(neg)
+
+
+def test_score_auc_by_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = [
+        (lang, float(s), 1 if rng.random() < 0.3 + 0.1 * s else -1)
+        for lang in ("en", "fr", None)
+        for s in rng.integers(-4, 5, 300)
+    ]
+    rows += [("de", 1.0, 1), ("de", 2.0, 1), ("es", None, 1), ("es", 0.5, None), ("it", 0.0, -1), ("it", 0.0, 1)]
+    df = spark.createDataFrame(rows, "lang string, margin double, label int")
+    got = {r.lang: (r.n_positive, r.n_negative, r.roc_auc) for r in auc_score(df, by=["lang"]).collect()}
+    assert set(got) == {"en", "fr", None, "de", "it"}
+    for lang, (p, n, auc) in got.items():
+        own = [(s, y) for c, s, y in rows if c == lang]
+        assert (p, n) == (sum(y == 1 for _, y in own), sum(y == -1 for _, y in own))
+        assert auc == pytest.approx(mean_rank_auc(own))
+    assert got["de"][2] is None and got["it"][2] == 0.5
+    known = [(s, y) for _, s, y in rows if s is not None and y is not None]
+    assert auc_score(df).first().roc_auc == pytest.approx(mean_rank_auc(known))
+    assert auc_score(df.limit(0)).collect()[0].roc_auc is None
+    assert auc_score(df.limit(0), by=["lang"]).collect() == []
+
+
+def test_hot_scores_stay_small(spark):
+    """Two scores for all rows: counted before the sort."""
+    df = spark.range(20000).select(
+        F.when(F.col("id") % 3 == 0, 1).otherwise(-1).alias("label"), (F.col("id") % 2).cast("double").alias("margin")
+    )
+    row = auc_score(df).first()
+    assert row.n_positive == 6667 and row.roc_auc == pytest.approx(0.5, abs=1e-3)
+
+
+def test_vectors_hold_what_the_matrix_holds(spark):
+    rows = [
+        (1, "en", "good film :)"), (2, "en", "good good day!! :("), (3, "fr", "bon film"), (4, None, "no language"),
+        (5, "en", ""), (6, "de", "a"), (7, None, "language"),
+    ]
+    tweets = spark.createDataFrame(rows, "tweet_id bigint, lang string, text string")
+    for counts in (False, True):
+        vectors, vocabulary = vz.feature_vectors(tweets, counts)
+        matrix, labels = vz.feature_matrix(tweets, counts)
+        ids = {(r.lang, r.term): r.term_id for r in vocabulary.collect()}
+        sizes = {}
+        for lang, _ in ids:
+            sizes[lang] = sizes.get(lang, 0) + 1
+        want = {}
+        for r in matrix.collect():
+            place = ids.get((r.lang, r.feature))
+            if place is None:
+                place = sizes.get(r.lang, 0) + COUNTS.index(r.feature)
+            want.setdefault(r.tweet_id, {})[place] = r.value
+        got = vectors.collect()
+        assert sorted(r.tweet_id for r in got) == [r[0] for r in rows]
+        for r in got:
+            own = dict(zip(r.features.indices.tolist(), r.features.values.tolist()))
+            assert own == pytest.approx(want.get(r.tweet_id, {}))
+            assert r.features.size == sizes.get(r.lang, 0) + (len(COUNTS) if counts else 0)
+        assert {r.tweet_id: r.label for r in got} == {r.tweet_id: r.label for r in labels.collect()}
+        plan = vectors._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Arrow" not in plan
