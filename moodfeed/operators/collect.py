@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from moodfeed import lexicon as lx
 from moodfeed.functions.tokens import whitespace_tokens
-from moodfeed.operators.ranking import with_position
+from moodfeed.operators.ranking import INTEGRAL, smallest, with_position
 
 
 def in_language(rows: DataFrame, lang: str | int) -> DataFrame:
@@ -37,10 +37,13 @@ def within_years(rows: DataFrame, as_of_year: int) -> DataFrame:
 def first_rows(rows: DataFrame, n: int = -1) -> DataFrame:
     """The first n by ``tweet_id``, and by the other columns where ids tie; -1 keeps all.
 
-    The rows are cut at their number, so that no single task has to hold n of them.
+    Ids that are whole numbers are selected by histograms, others by a sort of all rows; in neither way
+    does a single task have to hold n of them.
     """
     if n == -1:
         return rows
+    if rows.schema["tweet_id"].dataType.simpleString() in INTEGRAL:
+        return smallest(rows, n, "tweet_id")
     others = [c for c in rows.columns if c != "tweet_id"]
     numbered = with_position(rows, ["tweet_id", *others], "_position")
     return numbered.filter(F.col("_position") < n).drop("_position")

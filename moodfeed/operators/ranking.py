@@ -37,6 +37,61 @@ def with_position(rows: DataFrame, keys: list[str], name: str = "position") -> D
     )
 
 
+# Cells of a histogram that comes to the driver, and rows that one task may sort.
+CELLS = 4096
+SORTED = 10_000
+
+INTEGRAL = ("tinyint", "smallint", "int", "bigint")
+
+
+def smallest(rows: DataFrame, n: int, key: str) -> DataFrame:
+    """The ``n`` rows with the smallest ``key``, an integral column; NULL comes first, and ties are cut by
+    the other columns.
+
+    A histogram of the key, ``CELLS`` rows, tells in which cell the n-th lies; that cell gets a histogram of
+    its own until it has at most ``SORTED`` rows or one key. What is below the cell is kept by a filter on
+    the key, so that nothing but the cell is sorted and nothing is copied. ``rows`` are read for each
+    histogram, of which 64 bits need six.
+    """
+    others = [c for c in rows.columns if c != key]
+    value = F.col(key)
+    total, nulls, low, high = rows.agg(
+        F.count("*"), F.count_if(value.isNull()), F.min(key), F.max(key)
+    ).first()
+    if total <= n:
+        return rows
+    if n <= nulls:
+        return _first_of(rows.filter(value.isNull()), n, nulls, [key, *others])
+    rest, inside = n - nulls, total - nulls
+    below = value.isNull()
+    while inside > SORTED and low < high:
+        width = (high - low) // CELLS + 1
+        # decimals, as the span of 64-bit keys has 65
+        offset = value.cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")
+        cell = F.floor(offset / width).cast("int")
+        counts = sorted(
+            tuple(r) for r in rows.filter(value.between(low, high)).groupBy(cell.alias("c")).count().collect()
+        )
+        for c, size in counts:
+            if rest <= size:
+                break
+            rest -= size
+        low, high, inside = low + c * width, min(high, low + (c + 1) * width - 1), size
+    below = below | (value < low)
+    return rows.filter(below).unionByName(
+        _first_of(rows.filter(value.between(low, high)), rest, inside, [key, *others])
+    )
+
+
+def _first_of(rows: DataFrame, n: int, size: int, keys: list[str]) -> DataFrame:
+    if size == n:
+        return rows
+    if size <= SORTED:
+        return rows.orderBy(*keys).limit(n)
+    # many rows with one key
+    return with_position(rows, keys, "_position").filter(F.col("_position") < n).drop("_position")
+
+
 def split_positional(
     rows: DataFrame, fraction: float = 0.7, key: str = "tweet_id", group: str | None = None
 ) -> tuple[DataFrame, DataFrame]:

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
@@ -10,6 +11,7 @@ from moodfeed.functions import features as fx
 from moodfeed.functions import text as tx
 from moodfeed.functions import tokens as tk
 from moodfeed.operators import collect as cl
+from moodfeed.operators import ranking
 from moodfeed.operators import vectorize as vz
 from moodfeed.operators.process import process
 from moodfeed.sources import fixtures, readers
@@ -271,3 +273,29 @@ def test_ids_of_two_loads_stay_apart(spark, tmp_path):
     numbered.write_text('{"id": 7, "text": "a"}\n{"id": 9, "text": "b"}')
     found = readers.read_backup(spark, str(numbered), id_field="id")
     assert {r.tweet_id: r.text for r in found.collect()} == {7: "a", 9: "b"}
+
+
+def test_smallest_rows_by_histograms(spark, monkeypatch):
+
+    rnd = random.Random(4)
+    wide = [(rnd.randint(-(2**63), 2**63 - 1), "x") for _ in range(300)]
+    wide += [(-(2**63), "a"), (2**63 - 1, "b")]
+    tied = [(7, f"t{i:03d}") for i in range(120)] + [(i, "y") for i in range(20)] + [(None, f"n{i}") for i in range(5)]
+    monkeypatch.setattr(ranking, "CELLS", 4)
+    monkeypatch.setattr(ranking, "SORTED", 10)
+    for rows in (wide, tied, [(1, "a")] * 30, []):
+        df = spark.createDataFrame(rows, "tweet_id bigint, text string").repartition(5)
+        ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        for n in (0, 1, 3, 5, 6, 17, 60, 139, 145, 1000):
+            got = [tuple(r) for r in cl.first_rows(df, n).collect()]
+            assert sorted(got, key=str) == sorted(ordered[:n], key=str), n
+
+
+def test_limit_neither_sorts_nor_copies_the_table(spark):
+
+    rows = spark.range(100_000).select((F.col("id") * 977 % 100_003).alias("tweet_id"), F.lit("t").alias("text"))
+    cut = cl.first_rows(rows, 49_987)
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "FileScan" not in plan
+    assert "TakeOrderedAndProject" in plan
+    assert cut.count() == 49_987 and cut.agg(F.max("tweet_id")).first()[0] < 50_010
