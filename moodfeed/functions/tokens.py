@@ -26,11 +26,17 @@ def whitespace_tokens(text: Column) -> Column:
 def twitter_tokens(text: Column) -> Column:
     """Links, emoticons, numbers and the like stay whole; the rest splits at spaces."""
     edged = split_edge_punctuation(squeeze_whitespace(text))
-    spans = lx.protected_spans()
-    marked = F.regexp_replace(edged, spans, f"{MARK}$0{MARK}")
+    marked = _replace_spans(edged, f"{MARK}$0{MARK}")
     return F.array_remove(F.split(marked, f"[{MARK} ]+"), "")
 
 
+def _replace_spans(text: Column, replacement: str, tagged: bool = False) -> Column:
+    with_them, without = (lx.protected_spans(tagged, apostrophes) for apostrophes in (True, False))
+    return F.when(
+        text.rlike(lx.APOSTROPHE), F.regexp_replace(text, with_them, replacement)
+    ).otherwise(F.regexp_replace(text, without, replacement))
+
+
 def raw_twitter_tokens(text: Column) -> Column:
     """For HTML-escaped input."""
     return twitter_tokens(unescape_html(text))
@@ -39,11 +45,10 @@ def raw_twitter_tokens(text: Column) -> Column:
 def tagged_tokens(text: Column) -> Column:
     """``array<struct<kind, token>>``; kind is NULL for a plain word."""
     edged = split_edge_punctuation(squeeze_whitespace(text))
-    spans = lx.protected_spans(tagged=True)
     # Only the group that matched is not empty; tabs before it tell the kind.
     groups = [lx.PLAIN, *lx.ENTITY_KINDS]
     fields = "\t".join(f"${{{lx.tag_name(kind)}}}" for kind in groups)
-    marked = F.regexp_replace(edged, spans, f"{MARK}{fields}{MARK}")
+    marked = _replace_spans(edged, f"{MARK}{fields}{MARK}", tagged=True)
     kinds = F.array(F.lit(None).cast("string"), *[F.lit(kind) for kind in lx.ENTITY_KINDS])
 
     def entity(piece: Column) -> Column:

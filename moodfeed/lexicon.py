@@ -149,6 +149,8 @@ WORD = r"[\p{L}\p{N}_]"
 DIGIT = r"\p{Nd}"
 NOT_IN_WORD = rf"(?<!{WORD})"
 WORD_ENDS = rf"(?!{WORD})"
+# Letters that a look-behind passes to the beginning of a word; longer words are tried once more.
+BEHIND = 64
 
 
 def _face(name: str) -> str:
@@ -162,8 +164,16 @@ def _url() -> str:
     country = "(?:" + "|".join(COUNTRY_DOMAINS) + ")"
     domain = "(?:" + "|".join(GENERIC_DOMAINS) + "|" + "|".join(COUNTRY_DOMAINS) + ")"
     scheme = rf"(?:https?://|{NOT_IN_WORD}www\.)"
+    # A run of letters, digits and hyphens ends in one way wherever it is entered: it is tried where a
+    # word begins it, not at the hyphens and words after that, unless the last match ended in between.
+    letters = f"[A-Za-z{DIGIT}]"
+    word_begins = rf"{NOT_IN_WORD}(?={letters})(?:\G|(?<!{WORD}-))"
+    hyphen = (
+        rf"(?<={WORD})(?=-)"
+        rf"(?:(?<=\G{letters}{{0,{BEHIND}}})|(?<!{NOT_IN_WORD}{letters}{{1,{BEHIND}}}))"
+    )
     host = (
-        rf"(?:{NOT_IN_WORD}(?=[A-Za-z{DIGIT}])|(?<={WORD})(?=-))[A-Za-z{DIGIT}-]++"
+        rf"(?:{word_begins}|{hyphen})[A-Za-z{DIGIT}-]++"
         rf"(?:\.[A-Za-z0-9]+){{0,3}}\.{domain}(?:\.{country})?{WORD_ENDS}"
     )
     end = r"(?:\.\.|[<>]| |\z)"
@@ -173,7 +183,10 @@ def _url() -> str:
 
 
 def _email() -> str:
-    return rf"{NOT_IN_WORD}[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,4}}{WORD_ENDS}"
+    # as with hosts: not at a word that follows another one in the same run
+    word = f"[a-zA-Z0-9_]{{0,{BEHIND}}}[.%+-]"
+    first = rf"(?:\G|(?<=\G{word})|(?<!{NOT_IN_WORD}{word}))"
+    return rf"{NOT_IN_WORD}{first}[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,4}}{WORD_ENDS}"
 
 
 def _east_asian() -> str:
@@ -189,8 +202,9 @@ def _east_asian() -> str:
     jump = rf"(?<eaj>[0oOvVtTxX]){FACE_CENTER}\k<eaj>|&[lg]t;[._-]+{ANGLE}"
     reach = rf"(?=(?:(?!{right})(?:{jump}|{symbol}))*+{right})"
     steps = rf"(?:(?:(?:(?!{_face('ear')}){plain})++|{_face('eas')}|{symbol}){reach})++"
-    # if none begins at the first LEFT character of a run, none begins at the others
-    first = rf"(?:\G|(?<!{EAST_LEFT}))"
+    # if none begins at the first LEFT character of a run, none begins at the others; after four of
+    # these the last match was a separator or an arrow in the run, at which this was tried before
+    first = rf"(?:\G|(?<!{EAST_LEFT}))(?!(?<=[\-=*~]{{4}})[\-=*~])"
     return rf"{first}{EAST_LEFT}+(?=[-*0oOvVtTxX]|{symbol}){steps}{right}+"
 
 
@@ -217,8 +231,9 @@ def _abbreviation() -> str:
 
 
 @lru_cache(maxsize=None)
-def protected_spans(tagged: bool = False) -> str:
-    """Spans that stay one token. ``tagged`` names a group after each kind."""
+def protected_spans(tagged: bool = False, apostrophes: bool = True) -> str:
+    """Spans that stay one token. ``tagged`` names a group after each kind. For texts without an
+    apostrophe the pattern that looks for one after every match can be left out."""
     # \G, the end of the last match, goes with tests that skip places inside a run: a pattern that
     # failed where the run, or the search, began fails inside it too.
     chunk = "[^ .,?\\\"]"
@@ -232,12 +247,16 @@ def protected_spans(tagged: bool = False) -> str:
         "email": _email(),
         "time": rf"{DIGIT}++(?::{DIGIT}+){{1,2}}",
         "comma_number": (
-            rf"(?<!{DIGIT})(?:\G|(?<!(?<!{DIGIT}){DIGIT}{{1,3}},))"
+            rf"(?<!{DIGIT})(?:\G(?<!(?<!{DIGIT}){DIGIT}{{1,3}},{DIGIT}{{1,3}},)"
+            rf"|(?<!(?<!{DIGIT}){DIGIT}{{1,3}},))"
             rf"(?:{DIGIT}{{1,3}},)++{DIGIT}{{3}}(?=[^,{DIGIT}]|\z)"
         ),
         "number": rf"{CURRENCY}?{DIGIT}++(?:\.{DIGIT}+)++%?",
         "emoticon": _emoticon(),
-        "arrow": r"<*+[\-―—=]*+>++|<++[\-―—=]*+>*+|[\x{2190}-\x{21ff}]+",
+        # after three dashes the last match was a separator in the run, at which this was tried before
+        "arrow": (
+            r"(?!(?<=[\-=]{3})[\-=])<*+[\-―—=]*+>++|<++[\-―—=]*+>*+|[\x{2190}-\x{21ff}]+"
+        ),
         "entity": HTML_ENTITY,
         "punctuation": PUNCTUATION_RUN,
         "abbreviation": _abbreviation(),
@@ -251,6 +270,8 @@ def protected_spans(tagged: bool = False) -> str:
     may_begin = (
         r"(?=\G|(?<![A-Za-z0-9])|[^A-Za-z0-9]|.[._-]|http|[0-9][A-Za-z]|(?<![0-9])[0-9])"
     )
+    if not apostrophes:
+        patterns["apostrophe"] = "(?!)"
     if tagged:
         spans = "|".join(f"(?<{tag_name(kind)}>{patterns[kind]})" for kind in ENTITY_KINDS)
         return f"(?<{tag_name(PLAIN)}>{_plain_words()})|{may_begin}(?:{spans})"

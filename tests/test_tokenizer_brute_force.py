@@ -1,6 +1,7 @@
 """The iterative patterns against plain ones, run by an engine that cannot overflow."""
 
 import random
+import time
 
 import regex
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ def python_form(pattern: str) -> str:
     return regex.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)), pattern)
 
 
+# The token patterns as they are meant, without regard to speed.
 def plain_patterns() -> dict[str, str]:
     word, edge = r"[\p{L}\p{N}_]", r"(?![\p{L}\p{N}_])"
     start = rf"(?<!{word})"
@@ -124,22 +126,61 @@ def test_random_texts(spark):
     compare(spark, texts)
 
 
+def test_random_runs(spark):
+    """Texts of the characters whose runs are tried once, with few spaces."""
+    rnd = random.Random(11)
+    kinds = [
+        ["a", "b1", "é", "_", "-", "-", "--", ".", ".", "com", "co.uk", "t.co", "@", "+", "%", "x" * 70, " ", "'", "<"],
+        list("=-=-~*<>|―—") + ["^", ";", "(", ")", "字", "o", ":", "--'", "d", " ", "&lt;", "$"],
+        ["1", "12", "123", "1234", ",", ",", ",", ".", ":", "١", "$", "%", "a", "<3", " ", "'", "-", "(", "@"],
+        ["http://", "www.", "a.com", "-", "..", "<", ",", "1", "1,", "@b", "#c", "'", "é", "_-", "-a", "=", ")", " "],
+    ]
+    texts = []
+    for pieces in kinds:
+        for _ in range(9000):
+            texts.append("".join(rnd.choice(pieces) for _ in range(rnd.randint(2, 22))))
+    compare(spark, texts)
+
+
 def test_fixture_texts(spark):
     rows = fixtures.tweets(spark, SF).select(F.lower("text")).collect()
     compare(spark, [r[0] for r in rows])
 
 
+N = 20000
+
+LONG = {
+    "(字": "(" + "字" * N, "(字)": "(" + "字" * N + ")", "^_^": "~" + "^_^" * N, "é": "é" * N, "1,": "1," * N,
+    "1.1": "1.1" * N, "a.": "a." * N, "<3": "<3" * N, "!?": "http://a" + "!?" * N, "x'": "x'" * N, "o_": "o_" * N,
+    "-": "-" * N, "=>": "=>" * N, "ab-": "ab-" * N, ":)": ":)" * N, "=-": "=-" * N, "a-b-": "a-b-" * N,
+    "@a": "@a" * N, "a@": "a@" * N, ":-": ":-" * N, "12,": "12," * N, "*=": "*=" * N, "a+": "a+" * N,
+    "':-": "':-" * N,
+}
+
+
 def test_long_unbroken_texts(spark):
-    """None of them may overflow the stack."""
-    n = 20000
-    texts = [
-        "(" + "字" * n, "(" + "字" * n + ")", "~" + "^_^" * 3000, "é" * n, "1," * 2000, "1.1" * n, "a." * n,
-        "<3" * n, "http://a" + "!?" * 500, "x'" * 500, "o_" * 2000, "-" * n, "=>" * n, "ab-" * 2000, ":)" * n,
+    """None of them may overflow the stack, or take much longer than letters."""
+
+    def seconds(text, tokens):
+        df = spark.createDataFrame([(text,)], "text string").select("text", tokens.alias("tokens"))
+        start = time.perf_counter()
+        row = df.first()
+        assert "".join(row.tokens) == text
+        return time.perf_counter() - start
+
+    forms = [
+        tk.twitter_tokens(F.col("text")),
+        F.transform(tk.tagged_tokens(F.col("text")), lambda t: t["token"]),
     ]
-    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(8)
-    rows = df.select("text", tk.twitter_tokens(F.col("text")).alias("tokens")).collect()
-    for r in rows:
-        assert "".join(r.tokens) == r.text
+    for tokens in forms:
+        seconds("ab" * 100, tokens)
+        letters = {}
+        for name, text in LONG.items():
+            # the same length of letters, with half a second for noise
+            if len(text) not in letters:
+                letters[len(text)] = seconds("a" * len(text), tokens)
+            limit = 3 * letters[len(text)] + 0.5
+            assert seconds(text, tokens) < limit or seconds(text, tokens) < limit, name
 
 
 def test_tagged_kinds(spark):
