@@ -5,8 +5,8 @@ takes the ``TAKE`` runs with the least hashes and keeps them in the order of the
 them are drawn. Two texts with a similarity of 0.8 share a sketch with a chance of about 0.33 each, so
 all 32 miss with one of 3 in a million, while texts with a similarity of 0.3 share one in 500.
 
-1. Equal texts are collapsed by their hash; only the smallest id of each goes on.
-2. Texts that share a sketch are tied to the smallest id that has it, a row each. The connected parts
+1. Equal texts are collapsed by their hash and numbered; only the smallest id of each goes on.
+2. Texts that share a sketch are tied to the smallest number that has it, a row each. The connected parts
    of that are clouds: nothing outside a text's cloud shares a sketch with it.
 3. Each cloud is compared within itself, all texts against all, in blocks of bounded size, so that a
    group of copies is never one task. Runs in common bound the similarity from above; pairs that pass
@@ -212,11 +212,11 @@ def _sketched(docs: DataFrame) -> DataFrame:
 
 
 def _compared(texts: DataFrame, threshold: float) -> DataFrame:
-    """Ties (a, b) between similar texts of (cloud, one, two, block, doc_id, text)."""
+    """Ties (a, b) between similar texts of (cloud, one, two, block, node, runs)."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("block", "ascending"), ("doc_id", "ascending")]).combine_chunks()
-        ids = np.asarray(table.column("doc_id"))
+        table = table.sort_by([("block", "ascending"), ("node", "ascending")]).combine_chunks()
+        ids = np.asarray(table.column("node"))
         blocks = np.asarray(table.column("block"))
         flat = table.column("runs").combine_chunks()
         runs = [np.frombuffer(x.as_buffer(), U64) for x in flat]
@@ -236,8 +236,11 @@ def _compared(texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Class of every document (``doc_id``, ``text``): doc_id, text_hash, class_id (the smallest id
-    of the class). Rows with the same id and text become one; a row without id is not compared."""
+    """Class of every document (``doc_id``, ``text``): doc_id, text_hash, class_id (the smallest id of the
+    class) and kept (whether it is the class's first document: its smallest id, then the least hash).
+
+    Rows with the same id and text become one. An id that has several texts gives a row for each, with the
+    class of that text. A row without id or text is not compared."""
     ship(docs.sparkSession)
     hashed = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -251,54 +254,66 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         .agg(F.first("n").alias("n"), F.first("keys").alias("keys")),
         "sketches",
     )
+    # nodes are texts, with a number of their own, as an id may have several
     copies = stage(
         members.groupBy("text_hash").agg(
             F.min("doc_id").alias("first_id"), F.min_by("keys", "doc_id").alias("keys"),
             F.min("n").alias("n"),
-        ),
+        ).withColumn("node", F.monotonically_increasing_id()),
         "texts",
     )
-    keys = copies.where("n > 0").select("first_id", F.explode("keys").alias("key"))
-    hubs = keys.groupBy("key").agg(F.min("first_id").alias("hub"), F.count("*").alias("many"))
+    keys = copies.where("n > 0").select("node", F.explode("keys").alias("key"))
+    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("many"))
     # stored, so that the join has a shuffle of its own, whose hot keys Spark can split
     hubs = stage(hubs.where("many > 1").drop("many"), "hubs")
-    ties = keys.join(hubs, "key").where("first_id != hub")
-    clouds = stage(connect(ties.select(F.col("first_id").alias("a"), F.col("hub").alias("b")).distinct()), "clouds")
+    ties = keys.join(hubs, "key").where("node != hub")
+    clouds = stage(connect(ties.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()), "clouds")
     sizes = stage(clouds.groupBy("component").agg(F.count("*").alias("texts")), "cloud_sizes")
-    # the texts of a cloud in blocks by the hash of their id; each pair of blocks is one group
+    # the texts of a cloud in blocks by the hash of their number; each pair of blocks is one group
     placed = (
         clouds.join(sizes, "component")
         .withColumn("blocks", F.ceil(F.col("texts") / BLOCK).cast("int"))
         .withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
-        .select(F.col("node").alias("doc_id"), F.col("component").alias("cloud"), "block", "blocks")
+        .select("node", F.col("component").alias("cloud"), "block", "blocks")
     )
-    firsts = copies.select("first_id", "text_hash")
-    wanted = placed.join(firsts, placed.doc_id == firsts.first_id).drop("first_id")
-    rows = compared.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id"])
+    firsts = copies.select("node", "first_id", "text_hash")
+    wanted = placed.join(firsts, "node").withColumnRenamed("first_id", "doc_id")
+    rows = compared.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["node"])
     with_runs = stage(_runs(rows), "runs")
     pairs = with_runs.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "cloud",
         F.least("block", "peer").alias("one"),
         F.greatest("block", "peer").alias("two"),
         "block",
-        "doc_id",
+        "node",
         "runs",
     )
     found = stage(_compared(pairs, threshold), "ties")
-    classes = connect(found)
-    of_text = firsts.join(classes, firsts.first_id == classes.node, "left").select(
-        "text_hash", F.coalesce("component", "first_id").alias("class_id")
+    joined = connect(found).join(firsts, "node")
+    # only classes of several texts; the others are their own
+    lead = F.min(F.struct("first_id", "text_hash")).alias("lead")
+    of_class = joined.join(joined.groupBy("component").agg(lead), "component").select("node", "lead")
+    lead = F.coalesce("lead", F.struct("first_id", "text_hash"))
+    of_text = firsts.join(of_class, "node", "left").select("text_hash", lead.alias("lead"))
+    known = members.select("doc_id", "text_hash").join(of_text, "text_hash").select(
+        "doc_id",
+        "text_hash",
+        F.col("lead.first_id").alias("class_id"),
+        ((F.col("doc_id") == F.col("lead.first_id")) & (F.col("text_hash") == F.col("lead.text_hash"))).alias("kept"),
     )
-    known = members.select("doc_id", "text_hash").join(of_text, "text_hash")
-    rest = hashed.where("doc_id IS NOT NULL AND text IS NULL").select("doc_id", "text_hash").distinct()
-    lone = rest.withColumn("text_hash", F.lit(None).cast("binary")).withColumn("class_id", F.col("doc_id"))
-    return known.select("doc_id", "text_hash", "class_id").unionByName(
-        lone.select("doc_id", "text_hash", "class_id")
+    rest = hashed.where("doc_id IS NOT NULL AND text IS NULL").select("doc_id").distinct()
+    return known.unionByName(
+        rest.select(
+            "doc_id",
+            F.lit(None).cast("binary").alias("text_hash"),
+            F.col("doc_id").alias("class_id"),
+            F.lit(True).alias("kept"),
+        )
     )
 
 
 def _runs(rows: DataFrame) -> DataFrame:
-    schema = "doc_id long, cloud long, block int, blocks int, runs binary"
+    schema = "node long, cloud long, block int, blocks int, runs binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,21 +324,22 @@ def _runs(rows: DataFrame) -> DataFrame:
                     for a, b in zip(words.bounds, words.bounds[1:])
                 ]
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("doc_id", "cloud", "block", "blocks")),
+                    [*(part.column(c) for c in ("node", "cloud", "block", "blocks")),
                      pa.array(runs, pa.binary())],
-                    names=["doc_id", "cloud", "block", "blocks", "runs"],
+                    names=["node", "cloud", "block", "blocks", "runs"],
                 )
 
-    return rows.select("doc_id", "cloud", "block", "blocks", "text").mapInArrow(run, schema)
+    return rows.select("node", "cloud", "block", "blocks", "text").mapInArrow(run, schema)
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents of ``docs`` that are the first of their class, and those not compared."""
+    """The documents of ``docs`` that are the first of their class, and those not compared. An id with
+    several texts loses only the texts that are near copies of others."""
     classes = stage(near_classes(docs.select("doc_id", "text"), threshold), "classes")
     key, number, gone_id, gone_hash = (
         unused(docs, n) for n in ("text_hash", "number", "gone_id", "gone_hash")
     )
-    gone = classes.where("doc_id != class_id").select(
+    gone = classes.where("NOT kept").select(
         F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash)
     )
     rows = docs.withColumn(key, F.unhex(F.md5("text"))).withColumn(

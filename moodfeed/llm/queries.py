@@ -66,9 +66,7 @@ def op3_near_vectors(spark, sf_dir):
 
 def op4_near_texts(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    return near.near_classes(docs).select(
-        "doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept")
-    )
+    return near.near_classes(docs).select("doc_id", "class_id", "kept")
 
 
 def op5_gru_scores(spark, sf_dir):

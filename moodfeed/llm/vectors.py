@@ -1,6 +1,6 @@
 """Near-duplicate embeddings by a robust-pruned flat graph.
 
-1. Equal vectors are collapsed. Centroids are fitted on a bounded sample; every vector is indexed in the
+1. Equal vectors are collapsed and numbered, as an id may have several vectors. Centroids are fitted on a bounded sample; every vector is indexed in the
    shards of its ``OVERLAP`` nearest centroids, so shards overlap. A shard of more than ``BLOCK`` vectors,
    a group of near copies say, is divided into blocks by hash.
 2. Each block builds a robust-pruned neighbour graph; the adjacency lists that a vector has in its
@@ -16,7 +16,8 @@
 Number of centroids and blocks grow with the input, a block does not. The centroids broadcast are at
 most ``MAX_CENTROIDS``; beyond that, shards have more blocks. Vectors that are null, empty, zero, or
 hold null, NaN or infinity link with nothing, nor do those of another length than most have. Rows with
-equal vectors link with each other; ids that are null are kept and are their own component.
+equal vectors link with each other; rows that share an id but not the vector have the links and the
+component of their own vector. Ids that are null are kept and are their own component.
 """
 
 from __future__ import annotations
@@ -139,7 +140,6 @@ def range_search(
             sims[rows, places] = np.einsum("ij,ij->i", q, x[places])
             open_[rows, places] = True
         active = rows
-        done = np.zeros((m, n), np.int32)
         while len(active):
             scores = np.where(open_[active], sims[active], -3.0)
             best = scores.argmax(1)
@@ -162,7 +162,6 @@ def range_search(
             who, place = who[new], place[new]
             sims[who, place] = np.einsum("ij,ij->i", q[who], x[place])
             open_[who, place] = True
-        del done
         for i in range(m):
             found = np.flatnonzero(sims[i] >= link)
             yield a + i, found[found != mine[i]]
@@ -283,9 +282,9 @@ def _searched(index: DataFrame, queries: DataFrame, link: float) -> DataFrame:
 
 
 def _audit(classes: DataFrame, searched: DataFrame, link: float, audit: int) -> float:
-    """Found links of some vectors as a share of those that all vectors in blocks give."""
+    """Mean share, over some vectors with links, of the links found among those that all vectors give."""
     spark = classes.sparkSession
-    chosen = classes.where(F.col("id") % 100 == 0).orderBy(F.xxhash64("id")).limit(audit)
+    chosen = classes.where(F.col("first") % 100 == 0).orderBy(F.xxhash64("id")).limit(audit)
     table = chosen.select("id", "vector").toArrow().combine_chunks()
     if not table.num_rows:
         return 1.0
@@ -312,11 +311,10 @@ def _audit(classes: DataFrame, searched: DataFrame, link: float, audit: int) ->
         .groupBy("id")
         .agg(F.sum("n").alias("n"))
     )
-    both = true.join(searched, "id").agg(
-        F.sum("n"), F.sum(F.least("n", F.coalesce("links", F.lit(0))))
-    )
-    wanted, found = both.first()
-    return 1.0 if not wanted else found / wanted
+    # a mean of shares, so that the links of one dense group do not hide those of small ones
+    share = F.least("n", F.coalesce("links", F.lit(0))) / F.col("n")
+    mean = true.where("n > 0").join(searched, "id", "left").agg(F.avg(share)).first()[0]
+    return 1.0 if mean is None else mean
 
 
 def near_vectors(
@@ -343,11 +341,10 @@ def near_vectors(
     flagged = base.withColumn("good", good)
     classes = stage(
         flagged.where("good").groupBy("vector").agg(
-            F.min("id").alias("id"), F.count("*").alias("copies")
-        ).select("id", "copies", "vector"),
+            F.min("id").alias("first"), F.count("*").alias("copies")
+        ).select(F.monotonically_increasing_id().alias("id"), "first", "copies", "vector"),
         "vectors",
     )
-    # rows that share an id but not the vector are told apart by neither
     n = classes.count()
     lone = flagged.where("NOT good").select(
         F.col("id").alias(id_column), F.lit(0).cast("long").alias("n_links"),
@@ -389,7 +386,7 @@ def _linked(classes: DataFrame, n: int, link: float, overlap: int, probes: int)
         )
         sizes = stage(sizes, "shards")
         index = index.join(F.broadcast(sizes), "shard").withColumn(
-            "block", F.pmod(F.hash("id"), F.col("blocks"))
+            "block", F.pmod(F.hash("shard", "id"), F.col("blocks"))
         )
         united = _graphs(index).groupBy("id").agg(
             F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")
@@ -413,11 +410,15 @@ def _linked(classes: DataFrame, n: int, link: float, overlap: int, probes: int)
             break
         overlap, probes = 2 * overlap, 2 * probes
     parts = connect(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    firsts = parts.join(classes.select(F.col("id").alias("node"), "first"), "node")
+    parts = parts.join(
+        firsts.groupBy("component").agg(F.min("first").alias("smallest")), "component"
+    ).select("node", "smallest")
     own = F.col("links") + F.col("copies") - 1
     return (
         classes.join(links, "id")
         .join(parts.withColumnRenamed("node", "id"), "id", "left")
         .select(
-            "vector", own.alias("n_links"), F.coalesce("component", "id").alias("component_id")
+            "vector", own.alias("n_links"), F.coalesce("smallest", "first").alias("component_id")
         )
     )

@@ -76,6 +76,15 @@ def test_links_are_those_of_all_pairs(spark, monkeypatch, block):
     assert all(r.kept == (r.vec_id == r.component_id) for r in rows.values())
 
 
+def test_an_id_with_several_vectors_has_the_links_of_each(spark):
+    rows = [(1, [1.0, 0.0]), (5, [1.0, 0.01]), (5, [0.0, 1.0]), (9, [0.01, 1.0]), (5, [0.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in vectors.near_vectors(table).collect())
+    assert got == [
+        (1, 1, 1, True), (5, 1, 1, False), (5, 2, 5, True), (5, 2, 5, True), (9, 2, 5, False),
+    ]
+
+
 def test_search_in_a_pruned_graph_finds_what_is_in_range():
     x = vectors.unit(planted(600, 5, 60, 0.2))
     lists = vectors.robust_prune(x, vectors.DEGREE, vectors.POOL, vectors.ALPHA)

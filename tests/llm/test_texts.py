@@ -160,6 +160,17 @@ def test_clouds_of_many_blocks(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in rows.collect()} == brute_classes(docs)
 
 
+def test_an_id_with_several_texts_has_the_class_of_each(spark):
+    a, b, c = prose(201, 60), prose(202, 60), prose(203, 60)
+    near_a, near_b = edited(a, 1, 1), edited(b, 2, 1)
+    rows = [(1, a), (5, near_a), (5, b), (7, near_b), (8, c), (8, edited(c, 3, 1)), (8, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = sorted((r.doc_id, r.class_id, r.kept) for r in near.near_classes(docs).collect())
+    assert classes == [(1, 1, True), (5, 1, False), (5, 5, True), (7, 5, False), (8, 8, False), (8, 8, True)]
+    kept = sorted((r.doc_id, r.text) for r in near.keep_first(docs).collect())
+    assert kept[:2] == [(1, a), (5, b)] and len(kept) == 3 and kept[2][0] == 8
+
+
 def test_alignment_keeps_the_order():
     a = np.arange(10, dtype=np.uint64)
     assert near.matched(a, a) == 10
