@@ -78,9 +78,17 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
+def _loss_and_slope(logits: np.ndarray, at: np.ndarray) -> float:
+    """Sum of the losses of one column of each row; the logits become their gradient."""
+    rows = np.arange(len(logits))
+    if logits.max(initial=0) > 60:
+        logits -= logits.max(1, keepdims=True)
+    own = logits[rows, at]
+    np.exp(logits, out=logits)
+    sums = logits @ np.ones(logits.shape[1], logits.dtype)
+    logits *= (1 / sums)[:, None]
+    logits[rows, at] -= 1
+    return float((np.log(sums) - own).sum())
 
 
 def _picked(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -188,17 +196,26 @@ def window_gradient(
     emb = p["embed"][inputs]
     gates = emb @ p["inward"] + p["bias"]
     kind = h0.dtype
-    before = np.zeros((steps, width, HIDDEN), kind)
-    zs, rs, ns, rec = (np.zeros((steps, width, HIDDEN), kind) for _ in range(4))
-    states = np.zeros((steps, width, HIDDEN), kind)
+    before, zs, rs, ns, rec, states = (np.empty((steps, width, HIDDEN), kind) for _ in range(6))
+    whole, new_text = there.all(1), fresh.any(1)
     h = h0
     for t in range(steps):
-        now = np.where(fresh[t][:, None], 0, h).astype(kind)
+        now = np.where(fresh[t][:, None], 0, h).astype(kind) if new_text[t] else h
         r = now @ p["recur"]
-        zr = sigmoid(gates[t, :, :two] + r[:, :two])
-        new = np.tanh(gates[t, :, two:] + zr[:, HIDDEN:] * r[:, two:])
-        h = new + zr[:, :HIDDEN] * (now - new)
-        h = np.where(there[t][:, None], h, now)
+        zr = gates[t, :, :two] + r[:, :two]
+        # the logistic function
+        zr *= 0.5
+        np.tanh(zr, out=zr)
+        zr += 1
+        zr *= 0.5
+        new = zr[:, HIDDEN:] * r[:, two:]
+        new += gates[t, :, two:]
+        np.tanh(new, out=new)
+        h = now - new
+        h *= zr[:, :HIDDEN]
+        h += new
+        if not whole[t]:
+            h = np.where(there[t][:, None], h, now)
         before[t], zs[t], rs[t], ns[t], rec[t], states[t] = (
             now, zr[:, :HIDDEN], zr[:, HIDDEN:], new, r[:, two:], h
         )
@@ -206,39 +223,52 @@ def window_gradient(
     g = shape.unpack(grad)
     hs, ys = states[there], y[there]
     kinds = shape.class_of(ys)
-    logp = _log_softmax(hs @ p["class_w"] + p["class_b"])
-    rows = np.arange(len(ys))
-    loss = -float(logp[rows, kinds].sum())
-    d = np.exp(logp)
-    d[rows, kinds] -= 1
+    d = hs @ p["class_w"]
+    d += p["class_b"]
+    loss = _loss_and_slope(d, kinds)
     g["class_w"][:] = hs.T @ d
     g["class_b"][:] = d.sum(0)
     dh = d @ p["class_w"].T
-    for k in np.unique(kinds[ys < shape.head]):
-        at = np.flatnonzero(kinds == k)
-        inner = _log_softmax(hs[at] @ p["word_w"][k] + p["word_b"][k])
-        own = np.arange(len(at)), ys[at] - k * WIDTH
-        loss -= float(inner[own].sum())
-        e = np.exp(inner)
-        e[own] -= 1
-        g["word_w"][k] = hs[at].T @ e
+    # positions in the order of their class
+    order = np.argsort(kinds, kind="stable")
+    tops = shape.head // WIDTH
+    cuts = np.searchsorted(kinds[order], np.arange(tops + 1))
+    hs, ys = hs[order], ys[order]
+    inner_dh = np.zeros_like(hs)
+    for k in range(tops):
+        part = slice(cuts[k], cuts[k + 1])
+        if cuts[k] == cuts[k + 1]:
+            continue
+        e = hs[part] @ p["word_w"][k]
+        e += p["word_b"][k]
+        loss += _loss_and_slope(e, ys[part] - k * WIDTH)
+        g["word_w"][k] = hs[part].T @ e
         g["word_b"][k] = e.sum(0)
-        dh[at] += e @ p["word_w"][k].T
+        inner_dh[part] = e @ p["word_w"][k].T
+    dh[order] += inner_dh
     outer = np.zeros((steps, width, HIDDEN), kind)
     outer[there] = dh
-    dgates = np.zeros_like(gates)
+    # factors that do not depend on what comes later, for all steps at once
+    of_new = (1 - zs) * (1 - ns * ns) * there[:, :, None]
+    of_z = (before - ns) * zs * (1 - zs) * there[:, :, None]
+    of_r = rec * rs * (1 - rs)
+    dgates = np.empty_like(gates)
+    drec = np.empty_like(gates)
     carried = np.zeros((width, HIDDEN), kind)
+    back = np.ascontiguousarray(p["recur"].T)
     for t in reversed(range(steps)):
-        live = there[t][:, None]
         total = outer[t] + carried
-        dn = total * (1 - zs[t]) * (1 - ns[t] ** 2) * live
-        dz = total * (before[t] - ns[t]) * zs[t] * (1 - zs[t]) * live
-        dr = dn * rec[t] * rs[t] * (1 - rs[t])
-        dgates[t] = np.concatenate([dz, dr, dn], 1)
-        drec = np.concatenate([dz, dr, dn * rs[t]], 1)
-        g["recur"] += before[t].T @ drec
-        back = np.where(live, total * zs[t], total) + drec @ p["recur"].T
-        carried = np.where(fresh[t][:, None], 0, back)
+        dn = total * of_new[t]
+        dgates[t, :, :HIDDEN] = total * of_z[t]
+        dgates[t, :, HIDDEN:two] = dn * of_r[t]
+        dgates[t, :, two:] = dn
+        drec[t, :, :two] = dgates[t, :, :two]
+        drec[t, :, two:] = dn * rs[t]
+        carried = total * zs[t] if whole[t] else np.where(there[t][:, None], total * zs[t], total)
+        carried += drec[t] @ back
+        if new_text[t]:
+            carried[fresh[t]] = 0
+    g["recur"][:] = before.reshape(-1, HIDDEN).T @ drec.reshape(-1, 3 * HIDDEN)
     flat = dgates.reshape(-1, 3 * HIDDEN)
     g["bias"][:] = flat.sum(0)
     g["inward"][:] = emb.reshape(-1, EMBED).T @ flat
@@ -250,9 +280,9 @@ def train(
     shape: Shape,
     flat: np.ndarray,
     texts: list[np.ndarray],
-    width: int = 64,
+    width: int = 256,
     window: int = 24,
-    rate: float = 4e-3,
+    rate: float = 6e-3,
 ) -> np.ndarray:
     """One pass of truncated backpropagation over the texts with Adam."""
     if not texts:
@@ -277,8 +307,16 @@ def train(
         norm = float(np.linalg.norm(grad))
         if norm > 1:
             grad /= norm
-        m += 0.1 * (grad - m)
-        v += 0.001 * (grad * grad - v)
+        m *= 0.9
+        m += f4(0.1) * grad
+        v *= 0.999
+        np.square(grad, out=grad)
+        grad *= 0.001
+        v += grad
         scale = rate * np.sqrt(1 - 0.999**k) / (1 - 0.9**k)
-        flat -= (scale * m / (np.sqrt(v) + 1e-8)).astype(f4)
+        step = np.sqrt(v)
+        step += 1e-8
+        np.divide(m, step, out=step)
+        step *= f4(scale)
+        flat -= step
     return flat

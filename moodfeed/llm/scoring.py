@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from moodfeed.llm import gru
 from moodfeed.llm import words as wd
@@ -33,7 +32,7 @@ from moodfeed.staging import stage
 HEAD = 2048
 COMMON = 1 << 18
 ROUNDS = 4
-TRAINER_TOKENS = 200_000
+TRAINER_TOKENS = 600_000
 #: Weights of so many trainers are averaged at once, and then their averages.
 AVERAGED = 256
 LENGTHS = np.array([2, 4, 6, 8, 11])  # words up to so many bytes, and longer ones
@@ -210,12 +209,12 @@ def train_model(docs: DataFrame, shared) -> np.ndarray:
 
 _SCORES = (
     "doc_id {id}, held_out boolean, text_hash long, n_tokens long, n_known long, base double, "
-    "model double"
+    "model double, rare array<long>"
 )
 
 
 def _common_scores(docs: DataFrame, shared, weights) -> DataFrame:
-    """Scores in which words beyond the common ones count as unseen."""
+    """Scores in which words beyond the common ones count as unseen, and those words."""
     schema = _SCORES.format(id=docs.schema["doc_id"].dataType.simpleString())
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -245,6 +244,10 @@ def _common_scores(docs: DataFrame, shared, weights) -> DataFrame:
                         pa.array(seen),
                         pa.array(base),
                         pa.array(model),
+                        pa.ListArray.from_arrays(
+                            pa.array(np.append(0, np.cumsum(~common))[words.bounds].astype(np.int32)),
+                            pa.array(words.hashes[~common].view(np.int64)),
+                        ),
                     ],
                     names=names,
                 )
@@ -252,30 +255,6 @@ def _common_scores(docs: DataFrame, shared, weights) -> DataFrame:
     return docs.select("doc_id", "held_out", "text_hash", "text").mapInArrow(run, schema)
 
 
-def _rare_words(docs: DataFrame, shared) -> DataFrame:
-    """Words that are not common: doc_id, text_hash, word, how often."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                words, _ = tokens(part.column("text"))
-                _, common = shared.value.look_up(words.hashes)
-                rare = np.flatnonzero(~common)
-                at = pa.array(words.owners()[rare])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id").take(at),
-                        part.column("text_hash").take(at),
-                        pa.array(words.hashes[rare].view(np.int64)),
-                    ],
-                    names=["doc_id", "text_hash", "word"],
-                )
-
-    schema = f"doc_id {kind}, text_hash long, word long"
-    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, schema)
-
-
 def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
     """Scores of ``docs`` (doc_id, text) after learning from those that are not held out: doc_id,
     held_out, n_tokens, n_known, train_tokens, base_score, score."""
@@ -290,7 +269,8 @@ def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
     weights = sc.broadcast(train_model(learning, shared))
     scored = stage(_common_scores(rows, shared, weights), "scores")
     # counts of all words that are not common; a word without a count was never seen
-    rare = _rare_words(rows, shared).join(counts.select("word", "n"), "word")
+    rare = scored.select("doc_id", "text_hash", F.explode("rare").alias("word"))
+    rare = rare.join(counts.select("word", "n"), "word")
     more = F.log10(F.col("n") + 0.5) - F.log10(F.lit(0.5))
     parts = rare.select(
         "doc_id", "text_hash", more.alias("more"), F.lit(1).alias("seen"), F.lit(0).alias("rows")
@@ -300,13 +280,13 @@ def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
         )
     )
     # rows alike in id and text have added the same words
-    sums = parts.groupBy("doc_id", "text_hash").agg(
+    sums = parts.groupBy(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_text")).agg(
         (F.sum("more") / F.sum("rows")).alias("more"),
         (F.sum("seen") / F.sum("rows")).cast("long").alias("seen"),
     )
-    same = scored.doc_id.eqNullSafe(sums.doc_id) & (scored.text_hash == sums.text_hash)
-    return scored.join(sums, same).select(
-        scored.doc_id,
+    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_text"))
+    return scored.drop("rare").join(sums, same).select(
+        "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.col("seen")).alias("n_known"),
