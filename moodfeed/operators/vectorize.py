@@ -82,25 +82,30 @@ def join_vocabulary(terms: DataFrame, vocabulary: DataFrame, unseen: bool = Fals
     frequent here; they are counted then, and only the vocabulary's rows of terms that occur here are
     looked at: a few tweets are broadcast to the vocabulary, which is not moved.
     """
-    keys = ["lang", "term"]
+    # the term first: it tells rows apart, and sorts by its first bytes
+    keys = ["term", "lang"]
     names = [c for c in vocabulary.columns if c not in keys]
+
+    def join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+        return null_safe_join(left, right, keys, how, never_null=("term",))
+
     if unseen:
         counts = stage(document_frequency(terms).withColumnRenamed("df", "_rows"), "counts")
-        lookup = null_safe_join(vocabulary, counts, keys)
+        lookup = join(vocabulary, counts)
     else:
         lookup = vocabulary.withColumn("_rows", F.col("df"))
         counts = lookup.select(*keys, "_rows")
     postings = counts.agg(F.sum("_rows")).first()[0] or 0
     is_hot = F.col("_rows") > postings // HOT_SHARE
-    # also those that the vocabulary lacks: they must not meet in one task either
-    hot = counts.filter(is_hot).select(*keys, F.lit(True).alias("_hot"))
-    marked = null_safe_join(explode_terms(terms), F.broadcast(hot), keys, "left")
-    often = marked.filter(F.col("_hot")).select("tweet_id", *keys)
+    # at most HOT_SHARE rows; also those that the vocabulary lacks: they must not meet in one task either
+    hot = join(counts.filter(is_hot).select(*keys), lookup.filter(is_hot).select(*keys, *names), "left")
+    hot = stage(hot.select(*keys, *names, F.lit(True).alias("_hot")), "hot-terms")
+    marked = join(explode_terms(terms), F.broadcast(hot), "left")
+    known = F.col(names[0]).isNotNull()
+    often = marked.filter(F.col("_hot") & known).select("tweet_id", *keys, *names)
     rest = marked.filter(F.col("_hot").isNull()).select("tweet_id", *keys)
-    both = null_safe_join(often, F.broadcast(lookup.filter(is_hot)), keys).unionByName(
-        null_safe_join(rest, lookup.filter(~is_hot), keys)
-    )
-    return both.select("tweet_id", *keys, *names)
+    both = often.unionByName(join(rest, lookup.filter(~is_hot)).select("tweet_id", *keys, *names))
+    return both.select("tweet_id", "lang", "term", *names)
 
 
 def tfidf(terms: DataFrame, vocabulary: DataFrame, unseen: bool = False) -> DataFrame:

@@ -225,6 +225,72 @@ PARTS["par_scores"] = f"""
     + {' + '.join(f'{c} * {k - 2} / 10' for k, c in enumerate(COUNTS))} END AS m
   FROM par_scaled LEFT JOIN par_margins USING (tweet_id)"""
 
+# Logistic regression on the six scaled counts, a model per language: Newton steps, each a sum over the
+# training rows and the elimination of a system of seven equations.
+INPUTS = ["bias", *COUNTS]
+STEPS = 40
+
+pipeline("tweets", "own_", by_language=True)
+
+PARTS["own_scaled"] = f"""
+  SELECT tweet_id, lang, label, 1.0::DOUBLE AS bias, {_SCALED}
+  FROM own_processed WINDOW l AS (PARTITION BY lang)"""
+
+PARTS["own_rows"] = """
+  SELECT *, (label + 1) / 2 AS y, row_number() OVER (PARTITION BY lang ORDER BY tweet_id)
+         <= floor(0.7::DOUBLE * count(*) OVER (PARTITION BY lang)) AS in_train
+  FROM own_scaled WHERE label IS NOT NULL AND lang IS NOT NULL"""
+
+
+def _margin(row: str, state: str) -> str:
+    return " + ".join(f"{row}.{c} * {state}.w{i}" for i, c in enumerate(INPUTS))
+
+
+def _newton_step() -> str:
+    """One step of every language: lang, i and the weights."""
+    size = len(INPUTS)
+    sums = [f"sum(p * (1 - p) * {a} * {b}) AS a{i}_{j}" for i, a in enumerate(INPUTS)
+            for j, b in enumerate(INPUTS) if i <= j]
+    sums += [f"sum((y - p) * {a}) AS b{i}" for i, a in enumerate(INPUTS)]
+    weights = ", ".join(f"any_value(w{i}) AS w{i}" for i in range(size))
+    held = ", ".join(f"w{i}" for i in range(size))
+    body = f"""SELECT lang, any_value(i) AS i, {weights}, {', '.join(sums)}
+      FROM (SELECT r.*, s.i, {', '.join(f's.w{i}' for i in range(size))},
+                   1 / (1 + exp(-({_margin('r', 's')}))) AS p
+            FROM own_rows r JOIN fit s ON r.lang = s.lang WHERE in_train AND s.i < {STEPS})
+      GROUP BY lang"""
+    # the penalty, not on the bias
+    cells = [f"a{min(i, j)}_{max(i, j)} + {int(i == j > 0)} AS m{i}_{j}" for i in range(size) for j in range(size)]
+    cells += [f"b{i} - {int(i > 0)} * w{i} AS m{i}_{size}" for i in range(size)]
+    body = f"SELECT lang, i, {held}, {', '.join(cells)} FROM ({body})"
+    for k in range(size):
+        cells = []
+        for i in range(size):
+            for j in range(k + 1, size + 1):
+                cells.append(
+                    f"m{k}_{j} / m{k}_{k} AS m{k}_{j}" if i == k
+                    else f"m{i}_{j} - m{i}_{k} * m{k}_{j} / m{k}_{k} AS m{i}_{j}"
+                )
+        body = f"SELECT lang, i, {held}, {', '.join(cells)} FROM ({body})"
+    moved = ", ".join(f"w{i} + m{i}_{size}" for i in range(size))
+    return f"SELECT lang, i + 1, {moved} FROM ({body})"
+
+
+_ZEROS = ", ".join(f"0.0::DOUBLE AS w{i}" for i in range(len(INPUTS)))
+PARTS["fit"] = f"""
+  SELECT DISTINCT lang, 0 AS i, {_ZEROS} FROM own_rows WHERE in_train
+  UNION ALL
+  {_newton_step()}"""
+
+PARTS["own_scored"] = f"""
+  SELECT tweet_id, r.lang, label, {_margin('r', 's')} AS m
+  FROM own_rows r JOIN fit s ON r.lang = s.lang WHERE NOT in_train AND s.i = {STEPS}"""
+
+PARTS["own_classes"] = """
+  SELECT lang, c.class, count(*) FILTER (label = class AND (m > 0) = (class = 1)) AS tp,
+         count(*) FILTER ((m > 0) = (class = 1)) AS predicted, count(*) FILTER (label = class) AS actual
+  FROM own_scored, (VALUES (1), (-1)) c(class) GROUP BY ALL"""
+
 PARTS["ratings"] = "SELECT quality AS y_true, 1 - toxic AS y_pred FROM labels"
 
 PARTS["class_scores"] = """
@@ -257,8 +323,10 @@ def query(body: str) -> str:
         add(name)
     if not order:
         return body
-    parts = ",\n".join(f"{n} AS MATERIALIZED ({PARTS[n]})" for n in order)
-    return f"WITH {parts}\n{body}"
+    # the one that refers to itself cannot be materialized at once
+    kept = {n: "AS" if n in names_in(PARTS[n]) else "AS MATERIALIZED" for n in order}
+    parts = ",\n".join(f"{n} {kept[n]} ({PARTS[n]})" for n in order)
+    return f"WITH {'RECURSIVE ' * ('AS' in kept.values())}{parts}\n{body}"
 
 
 def tokens_of(part: str, column: str = "tokens", separator: str = " ") -> str:
@@ -430,6 +498,29 @@ _BODIES = {
 }
 
 
+_BODIES["lr_fit_counts"] = " UNION ALL ".join(
+    f"SELECT lang, '{c}' AS input, round(w{i}, 3) + 0.0 AS weight FROM fit WHERE i = {STEPS}"
+    for i, c in enumerate(INPUTS)
+)
+_BODIES["lr_predict_counts"] = """
+  SELECT tweet_id, lang, label::BIGINT AS label, round(m, 2) + 0.0 AS margin,
+         round(1 / (1 + exp(-m)), 3) AS probability, CASE WHEN m > 0 THEN 1 ELSE -1 END::BIGINT AS prediction
+  FROM own_scored"""
+_BODIES["experiment_counts"] = """
+  SELECT s.lang, n, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1,
+         round(roc_auc, 6) AS roc_auc, round(roc_auc_score, 6) AS roc_auc_score
+  FROM (SELECT lang, count(*) AS n, avg(((m > 0) = (label = 1))::INT) AS accuracy FROM own_scored GROUP BY lang) s
+  JOIN (SELECT lang, avg(2 * tp / nullif(predicted + actual, 0)) AS macro_f1,
+               CASE WHEN min(actual) > 0 THEN avg(tp / actual) END AS roc_auc
+        FROM own_classes GROUP BY lang) c USING (lang)
+  JOIN (SELECT lang, CASE WHEN p > 0 AND p < n THEN (rank_sum - p * (p + 1) / 2) / (p * (n - p)) END AS roc_auc_score
+        FROM (SELECT lang, count(*) FILTER (label = 1) AS p, count(*) AS n,
+                     coalesce(sum(mean_rank) FILTER (label = 1), 0) AS rank_sum
+              FROM (SELECT lang, label, rank() OVER (PARTITION BY lang ORDER BY score)
+                           + (count(*) OVER (PARTITION BY lang, score) - 1) / 2 AS mean_rank
+                    FROM (SELECT lang, label, round(m, 6) AS score FROM own_scored))
+              GROUP BY lang)) a USING (lang)"""
+
 # vectors hold what the long form holds
 _BODIES["feature_vectors_all_languages"] = _BODIES["feature_matrix_all_languages"]
 

@@ -470,6 +470,48 @@ def lr_predict(spark, sf_dir):
     return scored.select("tweet_id", big("label"), big("prediction"), rounded("probability"))
 
 
+def _counts_model(spark: SparkSession, sf_dir: str):
+    """A classifier on the six counts alone, run until nothing is gained any more."""
+    return experiments.train_distant(
+        _tweets(spark, sf_dir).drop("ts_ms"), tokenizer=tk.whitespace_tokens, use_terms=False,
+        lang_rules=True, solver={"max_iter": 500, "tol": 1e-9},
+    )
+
+
+def lr_fit_counts(spark, sf_dir):
+    model, _, _ = _counts_model(spark, sf_dir)
+    inputs = [learn.BIAS, *COUNTS]
+    weights = model.numeric.select("lang", *[F.col(f"{c}_weight").alias(c) for c in inputs])
+    long = weights.unpivot(["lang"], inputs, "input", "weight")
+    return long.select("lang", "input", (F.round("weight", 3) + 0.0).alias("weight"))
+
+
+def _counts_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, test, terms = _counts_model(spark, sf_dir)
+    return learn.score(test, terms, model)
+
+
+def lr_predict_counts(spark, sf_dir):
+    scored = _counts_scored(spark, sf_dir)
+    return scored.select(
+        "tweet_id", "lang", big("label"), (F.round("margin", 2) + 0.0).alias("margin"),
+        F.round("probability", 3).alias("probability"), big("prediction"),
+    )
+
+
+def experiment_counts(spark, sf_dir):
+    """The distant experiment on the counts, by the rules of each language, with the area under the curve of
+    the margins as well as that of the classes."""
+    scored = stage(_counts_scored(spark, sf_dir), "scored")
+    curve = metrics.auc_score(
+        scored.select("lang", "label", F.round("margin", 6).alias("margin")), by=["lang"]
+    )
+    report = metrics.report(scored, by=["lang"])
+    return _all_rounded(
+        report.join(curve.select("lang", F.col("roc_auc").alias("roc_auc_score")), "lang")
+    )
+
+
 def generated_weight(term: Column) -> Column:
     return (F.length(term) % 5 - 2) / 10
 
@@ -574,7 +616,7 @@ def experiment_labeled(spark, sf_dir):
     ending = F.get(endings, (F.col("tweet_id") % len(fixtures.DECORATIONS)).cast("int"))
     turns = _turns(spark, sf_dir).withColumn("text", F.concat("text", ending))
     report = experiments.labeled_experiment(
-        labeled(_tweets(spark, sf_dir)), labeled(turns)
+        labeled(_tweets(spark, sf_dir)), labeled(turns), lang_rules=True
     )
     return _all_rounded(report)
 
@@ -582,7 +624,7 @@ def experiment_labeled(spark, sf_dir):
 def experiment_distant(spark, sf_dir):
     path = fresh_path(spark, "corpus")
     readers.write_corpus(_tweets(spark, sf_dir), path)
-    return _all_rounded(experiments.distant_experiment(readers.read_corpus(spark, path)))
+    return _all_rounded(experiments.distant_experiment(readers.read_corpus(spark, path), lang_rules=True))
 
 
 # --- streams ----------------------------------------------------------------
@@ -680,6 +722,9 @@ QUERIES: dict[str, Query] = {
     "lr_fit": lr_fit,
     "lr_predict": lr_predict,
     "lr_gradient": lr_gradient,
+    "lr_fit_counts": lr_fit_counts,
+    "lr_predict_counts": lr_predict_counts,
+    "experiment_counts": experiment_counts,
     "linear_score": linear_score,
     "score_all_languages": score_all_languages,
     "metric_accuracy": metric_accuracy,

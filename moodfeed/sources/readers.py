@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from moodfeed.operators.ranking import with_position
+from moodfeed.staging import stage
+
 # A missing key reads as NULL.
 BACKUP_SCHEMA = T.StructType(
     [
@@ -55,19 +58,36 @@ def backup_columns(source: str) -> list:
     ]
 
 
+def row_key() -> Column:
+    """128 bits, as hexadecimal digits, of a row's file and values; NULL differs from empty."""
+    return F.md5(F.to_json(F.struct("file_path", "lang", "text", "ts_ms")))
+
+
 def read_backup(spark: SparkSession, path: str, id_field: str | None = None) -> DataFrame:
     """JSON-lines backup files, plain or compressed.
 
-    ``tweet_id`` is the named field of the objects, or else a hash of the file, the part of it that a
-    task reads, and the row in that task, so that the ids of several loads stay apart.
+    ``tweet_id`` is the named field of the objects, or else a text of 32 hexadecimal digits, hashed from the
+    file, the row's values, and which of the equal rows of its file it is. It does not depend on how the
+    file is split or read, so that loads agree, and files stay apart. Only rows that repeat are sorted to
+    number them; a row that fills much of a file is dealt over several tasks.
     """
     rows = spark.read.schema(backup_schema(id_field)).json(path)
     if id_field:
         return rows.select(F.col(f"`{id_field}`").alias("tweet_id"), *backup_columns(""))
-    place = F.xxhash64(
-        "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()
+    values = ["lang", "text", "ts_ms"]
+    keyed = rows.select("_metadata.file_path", *backup_columns("")).withColumn("_key", row_key())
+    repeated = keyed.groupBy("_key").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1)
+    repeated = stage(repeated.select("_key"), "repeated")
+    once = keyed.join(repeated, "_key", "left_anti").select(F.col("_key").alias("tweet_id"), *values)
+    # equal rows are interchangeable: any order numbers them
+    again = keyed.join(repeated, "_key", "left_semi").select(
+        "_key", *values, F.monotonically_increasing_id().alias("_tie")
     )
-    return rows.select(place.alias("tweet_id"), *backup_columns(""))
+    placed = with_position(again, ["_key", "_tie"], "_place")
+    starts = stage(placed.groupBy("_key").agg(F.min("_place").alias("_first")), "starts")
+    turn = F.col("_place") - F.col("_first")
+    number = F.md5(F.concat_ws(":", "_key", turn.cast("string")))
+    return once.unionByName(placed.join(starts, "_key").select(number.alias("tweet_id"), *values))
 
 
 def parse_backup(lines: DataFrame, json_col: str = "json") -> DataFrame:
@@ -96,9 +116,12 @@ def write_corpus(tweets: DataFrame, path: str, mode: str = "errorifexists") -> N
     tweets.select("tweet_id", "text", "lang").write.partitionBy("lang").mode(mode).parquet(path)
 
 
-def read_corpus(spark: SparkSession, path: str, lang: str | None = None) -> DataFrame:
-    """``lang`` reads the folder of that language only."""
-    corpus = spark.read.schema(CORPUS_SCHEMA).parquet(path)
+def read_corpus(
+    spark: SparkSession, path: str, lang: str | None = None, id_type: str = "bigint"
+) -> DataFrame:
+    """``lang`` reads the folder of that language only. Ids that ``read_backup`` made are of type string."""
+    schema = [f"tweet_id {id_type}", *(f"{f.name} string" for f in CORPUS_SCHEMA.fields[1:])]
+    corpus = spark.read.schema(", ".join(schema)).parquet(path)
     return corpus if lang is None else corpus.filter(F.col("lang") == lang)
 
 

@@ -276,3 +276,22 @@ def test_vectors_hold_what_the_matrix_holds(spark):
         assert {r.tweet_id: r.label for r in got} == {r.tweet_id: r.label for r in labels.collect()}
         plan = vectors._jdf.queryExecution().toString()
         assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_experiments_negate_in_the_language_of_the_tweet(spark):
+    from moodfeed.plans.experiments import distant_experiment, train_distant
+
+    rows = []
+    for i in range(60):
+        rows.append((i, "fr", f"pas bon film{i % 5} :(" if i % 2 else f"bon film{i % 5} :)"))
+        rows.append((100 + i, "en", f"not good film{i % 5} :(" if i % 2 else f"good film{i % 5} :)"))
+    tweets = spark.createDataFrame(rows, "tweet_id bigint, lang string, text string")
+    model, _, _ = train_distant(tweets, lang_rules=True)
+    weights = {(r.lang, r.term): r.weight for r in model.terms.collect()}
+    assert weights["fr", "pas___bon"] < 0 < weights["fr", "bon"]
+    assert weights["en", "not___good"] < 0 < weights["en", "good"]
+    plain, _, _ = train_distant(tweets)
+    assert "pas___bon" not in {r.term for r in plain.terms.collect()}
+    assert {r.accuracy for r in distant_experiment(tweets, lang_rules=True).collect()} == {1.0}
+    with pytest.raises(ValueError, match="nothing to learn"):
+        train_distant(tweets, use_features=False, use_terms=False)

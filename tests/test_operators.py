@@ -299,3 +299,35 @@ def test_limit_neither_sorts_nor_copies_the_table(spark):
     assert "rangepartitioning" not in plan and "FileScan" not in plan
     assert "TakeOrderedAndProject" in plan
     assert cut.count() == 49_987 and cut.agg(F.max("tweet_id")).first()[0] < 50_010
+
+
+def test_backup_ids_do_not_depend_on_splits(spark, tmp_path):
+    """Two ways to split the files and two loads: the same ids, one for each row, equal rows too."""
+    lines = [f'{{"text": "t{i % 50}", "tweet-lang": "en"}}' for i in range(3000)]
+    lines += ['{"text": "same", "tweet-lang": "fr"}'] * 2500 + ['{"text": "", "tweet-lang": "fr"}', '{"tweet-lang": "fr"}']
+    for name in ("a.json", "b.json"):
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+
+    def ids():
+        rows = readers.read_backup(spark, str(tmp_path)).collect()
+        return sorted((r.tweet_id, r.lang, r.text or "", r.text is None) for r in rows)
+
+    found = ids()
+    assert len({r[0] for r in found}) == len(found) == 2 * len(lines)
+    assert all(len(r[0]) == 32 for r in found)
+    assert ids() == found
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert ids() == found
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_corpus_with_text_ids(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"text": "x :)", "tweet-lang": "en"}\n')
+    rows = readers.read_backup(spark, str(tmp_path / "a.json"))
+    readers.write_corpus(rows, str(tmp_path / "corpus"))
+    back = readers.read_corpus(spark, str(tmp_path / "corpus"), id_type="string")
+    assert back.first().tweet_id == rows.first().tweet_id
+    assert cl.first_rows(back, 1).count() == 1
