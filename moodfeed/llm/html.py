@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,6 +51,11 @@ ASIDE_NAMES = frozenset(
     "related replies respond search share sharing sidebar signup social sponsor sponsored subscribe "
     "subscription tags toolbar widget alert reply complementary".split()
 )
+#: Words that say where or what an element is, and nothing of what it holds, besides one of those above.
+PLACE_NAMES = frozenset(
+    "area bar block body bottom box col column container form group item items left list main outer panel "
+    "right section site slot thread top unit wrap wrapper".split()
+)
 #: Words of a class, id or role that mark the article.
 MAIN_NAMES = frozenset("article main story post entry content body".split())
 
@@ -181,6 +187,8 @@ _TOKEN = re.compile(
     re.S,
 )
 _NAMED = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_TARGET = re.compile(r"\bhref\s*=", re.I)
+_ANCHOR = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 _SPACE = re.compile(r"\s+")
 
 
@@ -213,10 +221,10 @@ def _role(tag: str, attributes: str, in_article: bool) -> int:
                 if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                     return 3
                 continue
-            # a name is boilerplate as a whole: has-sidebar or comments-open are not
+            # a name is boilerplate as a whole: sidebar-right is, has-sidebar or comments-open are not
             for token in value.split():
                 parts = {x for x in re.split(r"[^a-z]+", token) if x}
-                if parts and parts <= ASIDE_NAMES:
+                if parts & ASIDE_NAMES and parts <= ASIDE_NAMES | PLACE_NAMES or parts == {"popular", "posts"}:
                     aside = True
                 elif parts & MAIN_NAMES and not parts & ASIDE_NAMES and tag in ("div", "section"):
                     role = 2
@@ -236,8 +244,10 @@ def cut(page: str) -> Blocks:
     pieces: list[str] = []
     linked = [0]
     stack: list[tuple[str, int]] = []
+    open_tags: Counter[str] = Counter()
     depth = [0, 0, 0, 0]
-    anchors = 0
+    # a link lasts to its end tag, or to the end of the block if another link or none follows
+    link = unclosed = False
 
     def flush() -> None:
         nonlocal pieces
@@ -253,15 +263,18 @@ def cut(page: str) -> Blocks:
         pieces = []
         linked[0] = 0
 
-    def leave(role: int) -> None:
+    def leave() -> str:
+        tag, role = stack.pop()
+        open_tags[tag] -= 1
         depth[role] -= role > 0
         if role == 1:
             opened.pop()
+        return tag
 
     def say(text: str) -> None:
         if text and not depth[3]:
             pieces.append(text)
-            if anchors:
+            if link:
                 linked[0] += len(text.split())
 
     at, end = 0, len(page)
@@ -279,24 +292,25 @@ def cut(page: str) -> Blocks:
         if m[1]:
             if tag not in INLINE:
                 flush()
+                link = link and not unclosed
             elif tag == "br":
                 pieces.append(" ")
             if tag == "a":
-                anchors = max(0, anchors - 1)
-            elif any(t == tag for t, _ in stack):
-                while True:
-                    top, role = stack.pop()
-                    leave(role)
-                    if top == tag:
-                        break
+                link = False
+            elif open_tags[tag] > 0:
+                while leave() != tag:
+                    pass
             continue
         if tag in INLINE:
             if tag == "a":
-                anchors = 1
+                link = _TARGET.search(m[3]) is not None
+                following = _ANCHOR.search(page, at) if link else None
+                unclosed = following is None or not following[1]
             elif tag == "br" and not depth[3]:
                 pieces.append(" ")
         else:
             flush()
+            link = link and not unclosed
         if tag in EMPTY or tag == "a":
             continue
         if tag in RAW and not m[3].endswith("/"):
@@ -306,22 +320,21 @@ def cut(page: str) -> Blocks:
         if m[3].endswith("/"):
             continue
         if tag not in INLINE:
-            anchors = 0 if tag in ("nav", "article", "footer", "main") else anchors
             if tag in ("p", "li", "option") and stack and stack[-1][0] == tag:
-                _, role = stack.pop()
-                leave(role)
-            if tag == "body":  # a head that was never closed
-                stack = [s for s in stack if s[1] != 3]
+                leave()
+            if tag == "body" and depth[3]:  # a head that was never closed
+                for gone, role in stack:
+                    open_tags[gone] -= role == 3
+                stack[:] = [s for s in stack if s[1] != 3]
                 depth[3] = 0
         role = _role(tag, m[3], depth[2] > 0)
-        if tag in INLINE and role == 0:
-            role = 0
         depth[role] += role > 0
         if role == 1:
             around.append(opened[-1] if opened else -1)
             weak.append(tag not in ASIDE or tag in ("form", "fieldset"))
             opened.append(len(around) - 1)
         stack.append((tag, role))
+        open_tags[tag] += 1
     flush()
     out.aside = _boilerplate(out, around, weak, inner)
     return out

@@ -191,13 +191,42 @@ def test_links_are_counted():
     assert (blocks.words, blocks.links) == ([4, 1], [0.5, 0.0])
 
 
+def test_anchors_without_target_or_end_lose_nothing():
+    want = "\n\n".join([LONG.strip()] * 3)
+    for anchor in ("<a name=top>", "<a id=x>", "<a href=#top>", "<A HREF='/x'>"):
+        page = f"<article>{anchor}<p>{LONG}<p>{LONG}<p>{LONG}</article>"
+        assert html.main_text(page, TREE) == want, anchor
+        assert html.main_text("<nav><a href=/>Home</a></nav>" + page, TREE) == want, anchor
+    # a link around blocks links all of them
+    blocks = html.cut("<a href=x><h3>one two</h3><p>three</p></a><p>four</p>")
+    assert (blocks.words, blocks.links) == ([2, 1, 1], [1.0, 1.0, 0.0])
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["<ol id=comment-list>", "<div class=comment-body>", "<div class=comment-list>", "<div class=site-footer>",
+     "<div class=sidebar-right>", "<div class='x col-sidebar'>", "<div class=popular-posts>", "<div class=ad-slot>"],
+)
+def test_names_with_a_place_are_boilerplate(name):
+    tag = name[1:].split()[0]
+    other = f"{name}<p>{LONG}</{tag}>"
+    want = f"{LONG.strip()}\n\n{LONG.strip()}"
+    assert html.main_text(f"<article><p>{LONG}<p>{LONG}</article>{other}", TREE) == want
+    assert html.main_text(f"<article><p>{LONG}<p>{LONG}{other}</article>", TREE) == want
+
+
 def test_long_pages_take_linear_time():
     import time
 
-    for piece in ("<p>", "<", "<!", "<a href=\"x", "<p>word ", "</p>", "<!-- ", "<div class='"):
+    pieces = ["<p>", "<", "<!", "<a href=\"x", "<p>word ", "</p>", "<!-- ", "<div class='", "<div></b>", "<b></div>"]
+    pieces += ["<span></i>", "<a href=x>", "<a href=x></p>", "<a href=x></a>", "<body>", "<div><p>"]
+    for piece in pieces:
         start = time.perf_counter()
         html.main_text(piece * 20000, TREE)
-        assert time.perf_counter() - start < 5, piece
+        assert time.perf_counter() - start < 2, piece
+    start = time.perf_counter()
+    html.main_text("<div>" * 20000 + "</b>" * 20000, TREE)
+    assert time.perf_counter() - start < 1
 
 
 def test_articles_of_the_pages_table(spark, small):
