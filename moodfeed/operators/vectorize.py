@@ -74,23 +74,45 @@ def fit_vocabulary(terms: DataFrame, min_df: int = 1) -> DataFrame:
     return with_term_ids(fit_idf(terms, min_df))
 
 
-def join_vocabulary(terms: DataFrame, vocabulary: DataFrame, unseen: bool = False) -> DataFrame:
+# Of a stored vocabulary: terms of a folder, and folders, at most.
+PREFIX_TERMS = 10_000
+MAX_PREFIXES = 4096
+
+
+def prefix_of(term: str, prefixes: int) -> Column:
+    """The folder of a stored vocabulary that a term is in."""
+    return F.pmod(F.xxhash64(term), F.lit(prefixes)).cast("int")
+
+
+def narrowed(vocabulary: DataFrame, terms: DataFrame, prefixes: int) -> DataFrame:
+    """The folders of a vocabulary with the column ``prefix`` that some of the terms are in; the others are
+    not opened. The numbers of the folders, ``prefixes`` at most, pass through the driver."""
+    wanted = [r[0] for r in terms.select(prefix_of("term", prefixes)).distinct().collect()]
+    return vocabulary.filter(F.col("prefix").isin(wanted)).drop("prefix")
+
+
+def join_vocabulary(
+    terms: DataFrame, vocabulary: DataFrame, unseen: bool = False, prefixes: int = 0
+) -> DataFrame:
     """``tweet_id, lang, term`` with the vocabulary's columns; terms it lacks go.
 
     Pass tables that are staged or stored: both are read more than once. ``unseen`` tells that the
     vocabulary was fitted on other tweets, so that its ``df`` says nothing about which terms are
     frequent here; they are counted then, and only the vocabulary's rows of terms that occur here are
-    looked at: a few tweets are broadcast to the vocabulary, which is not moved.
+    looked at: a few tweets are broadcast to the vocabulary, which is not moved. Of a vocabulary in ``prefixes``
+    folders only those are read that hold terms which occur.
     """
     # the term first: it tells rows apart, and sorts by its first bytes
     keys = ["term", "lang"]
-    names = [c for c in vocabulary.columns if c not in keys]
+    names = [c for c in vocabulary.columns if c not in (*keys, "prefix")]
 
     def join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
         return null_safe_join(left, right, keys, how, never_null=("term",))
 
     if unseen:
         counts = stage(document_frequency(terms).withColumnRenamed("df", "_rows"), "counts")
+        if prefixes:
+            vocabulary = narrowed(vocabulary, counts, prefixes)
         lookup = join(vocabulary, counts)
     else:
         lookup = vocabulary.withColumn("_rows", F.col("df"))

@@ -654,10 +654,11 @@ def stream_score(spark, sf_dir):
         .option("pathGlobFilter", name)
         .parquet(folder)
     )
-    sink = fresh_path(spark, "scored")
+    sink, stored = fresh_path(spark, "scored"), fresh_path(spark, "model")
+    learn.SentimentModel(weighted, numeric).save(stored)
     jobs.score_stream(
         fixtures.decorate(documents).select("tweet_id", "lang", "text"),
-        learn.SentimentModel(weighted, numeric),
+        learn.SentimentModel.load(spark, stored),
         sink,
         fresh_path(spark, "offsets"),
         tokenizer=tk.whitespace_tokens,

@@ -295,3 +295,24 @@ def test_experiments_negate_in_the_language_of_the_tweet(spark):
     assert {r.accuracy for r in distant_experiment(tweets, lang_rules=True).collect()} == {1.0}
     with pytest.raises(ValueError, match="nothing to learn"):
         train_distant(tweets, use_features=False, use_terms=False)
+
+
+def test_a_small_batch_opens_few_files_of_the_vocabulary(spark, inputs, tmp_path):
+    processed, terms, vocabulary, moments = inputs
+    model = learn.fit(drop_unlabeled(processed), terms, vocabulary, moments)
+    model.save(str(tmp_path / "model"), prefixes=64)
+    stored = learn.SentimentModel.load(spark, str(tmp_path / "model"))
+    assert stored.prefixes == 64 and stored.terms.count() == model.terms.count()
+    batch = [(i, "en", "good film") for i in range(4)] + [(4, "xx", "unknown words"), (5, None, "")]
+    few = stage(process(spark.createDataFrame(batch, "tweet_id bigint, lang string, text string")), "processed")
+    grams = vz.stage_terms(few)
+    counts = vz.document_frequency(grams)
+    part = vz.narrowed(stored.terms, counts, 64)
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "prefix#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    files = part.select("_metadata.file_path").distinct().count()
+    assert 0 < files <= 7 < stored.terms.select("_metadata.file_path").distinct().count()
+    with_folders, without = (
+        {r.tweet_id: r.margin for r in learn.score(few, grams, m, unseen=True).collect()} for m in (stored, model)
+    )
+    assert with_folders == pytest.approx(without)
