@@ -24,8 +24,6 @@ beyond 64 bits become the nearest 64-bit integer, scores likewise. An empty tabl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
