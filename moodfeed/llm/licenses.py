@@ -1,20 +1,28 @@
 """Licence scan: headers and licence files against templates, then inheritance by directory.
 
-Every line of every text is compared with the templates by the cosine of sparse TF-IDF vectors; the best
-line above ``threshold`` is what a file declares. Document frequencies of all terms are counted over the
-whole table and joined to the terms of the lines that can still reach the threshold: the ``HOT`` most
-frequent are broadcast, all others are shuffled. A line can only reach the threshold with a term of some
-weight: those are worked out from the templates, so lines without any are left out beforehand, exactly.
+A template is a notice or a whole licence text. Wherever its key word occurs in a text, the window of as many
+words as the template has, laid so that the key word stands where the template has it (moved inside the text
+at its ends; the whole text if that is shorter), is compared with the template by the cosine of sparse TF-IDF
+vectors. Windows run over line borders and comment marks. They must hold all words that name the licence, so
+that a notice of another licence or version is not taken for it. Windows of ``threshold`` or more count. Of those
+that begin at one word, the licence with the longest template counts, as some texts begin with the whole of
+another; then that of the best score. The best such score is what a file declares; ties go to the earliest
+window, then the first template.
+
+Document frequencies of all terms are counted over the whole table and joined to the terms of the windows: the
+``HOT`` most frequent are broadcast, all others are shuffled.
 
 A file without a licence of its own takes that of the licence file in its nearest ancestor directory;
 ``sources`` says which path it came from. If a directory has several licence files, the best score counts,
 then the smallest path. Null and empty texts declare nothing; a null path is outside every directory; rows
-with the same path are judged one by one; the root directory is the empty string.
+with the same path are judged one by one; the root directory is the empty string. Texts of any length are
+read whole: a window is the largest thing that is copied.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,33 +34,94 @@ THRESHOLD = 0.6
 #: So many terms, the most frequent ones, are broadcast with their document frequencies.
 HOT = 4096
 
-# --- fixed values: licence notices -----------------------------------------
-TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
-    ("MIT", "Released under the MIT License"),
-    ("MIT", "Licensed under the MIT License"),
-    ("MIT", "The MIT License (MIT)"),
+# --- fixed values: licence notices and texts -------------------------------
+NOTICES = [
+    ("Apache-2.0", "apache 2", "Licensed under the Apache License, Version 2.0"),
+    ("Apache-2.0", "apache 2", "Apache License Version 2.0, January 2004"),
+    (
+        "Apache-2.0",
+        "apache 2",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in '
+        "compliance with the License. You may obtain a copy of the License at",
+    ),
+    ("MIT", "license mit", "Released under the MIT License"),
+    ("MIT", "license mit", "Licensed under the MIT License"),
+    ("MIT", "license mit", "The MIT License (MIT)"),
     (
         "MIT",
+        "hereby permission granted software",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software "
         "and associated documentation files",
     ),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
-    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
-    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3"),
-    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3"),
-    ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0"),
-    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License"),
-    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("CC0-1.0", "Dedicated to the public domain under CC0 1.0"),
-    ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    (
+        "MIT",
+        "hereby permission granted sublicense",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+        'associated documentation files (the "Software"), to deal in the Software without restriction, including '
+        "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+        "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+        "following conditions: The above copyright notice and this permission notice shall be included in all "
+        "copies or substantial portions of the Software.",
+    ),
+    (
+        "ISC",
+        "hereby permission granted fee",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+        "hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    (
+        "BSD-2-Clause",
+        "redistribution source binary disclaimer",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+        "that the following conditions are met: 1. Redistributions of source code must retain the above copyright "
+        "notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must "
+        "reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution.",
+    ),
+    (
+        "BSD-3-Clause",
+        "redistribution source binary disclaimer endorse promote",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+        "that the following conditions are met: 1. Redistributions of source code must retain the above copyright "
+        "notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must "
+        "reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright "
+        "holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission.",
+    ),
+    ("BSD-3-Clause", "bsd 3 clause", "Licensed under the BSD 3-Clause License"),
+    ("BSD-2-Clause", "bsd 2 clause", "Licensed under the BSD 2-Clause License"),
+    ("MPL-2.0", "mozilla 2", "Licensed under the Mozilla Public License, version 2.0"),
+    (
+        "MPL-2.0",
+        "mozilla 2",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
+        "was not distributed with this file, You can obtain one at",
+    ),
+    ("CC0-1.0", "cc0 1", "Dedicated to the public domain under CC0 1.0"),
+    (
+        "Unlicense",
+        "unencumbered software public domain",
+        "This is free and unencumbered software released into the public domain",
+    ),
 ]
+#: Short name, name in full and version of the licences that share their notices.
+GNU = [
+    ("GPL", "General", "2"),
+    ("GPL", "General", "3"),
+    ("LGPL", "Lesser General", "2.1"),
+    ("LGPL", "Lesser General", "3"),
+    ("AGPL", "Affero General", "3"),
+]
+GNU_NOTICES = [
+    "This work is licensed under the GNU {name} Public License, version {version}",
+    "GNU {name} Public License Version {version}",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} "
+    "Public License as published by the Free Software Foundation, either version {version} of the License, or "
+    "(at your option) any later version.",
+]
+CREATIVE_COMMONS = {"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives"}
+CREATIVE_COMMONS_LICENSES = ["BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"]
 #: Names of licence files, without an extension, in lower case.
 LICENSE_FILES = r"^(licen[cs]e|copying|notice|unlicense)(\.[a-z]+)?$"
 
@@ -64,16 +133,35 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), _SPLIT), "")
 
 
-def _template_terms(templates: list[tuple[str, str]]) -> list[dict[str, int]]:
-    import re
+def words_in(text: str) -> list[str]:
+    """Terms of an ASCII text, as ``terms`` has them."""
+    return re.findall(r"[a-z0-9]+", text.lower())
+
+
+def _all_templates() -> list[tuple[str, str, str]]:
+    out = list(NOTICES)
+    for short, name, version in GNU:
+        license = f"{short}-{version if '.' in version else version + '.0'}"
+        named = f"gnu {name} public license {version}"
+        out += [(license, named, x.format(name=name, version=version)) for x in GNU_NOTICES]
+    for x in CREATIVE_COMMONS_LICENSES:
+        parts = "-".join(CREATIVE_COMMONS[p] for p in x.split("-"))
+        out.append((f"CC-{x}-4.0", f"cc {x} 4", f"Licensed under CC {x} 4.0"))
+        notice = f"This work is licensed under a Creative Commons {parts} 4.0 International License"
+        out.append((f"CC-{x}-4.0", f"creative commons {parts} 4", notice))
+    names = dict.fromkeys(license for license, _, _ in out)
+    return out + [(x, f"spdx identifier {x}", f"SPDX-License-Identifier: {x}") for x in names]
+
+
+#: License, the words that name it (a window must hold them; the first is the key word), and the notice.
+TEMPLATES = _all_templates()
+
 
-    counted = []
-    for _, text in templates:
-        own: dict[str, int] = {}
-        for t in re.findall(r"[a-z0-9]+", text.lower()):
-            own[t] = own.get(t, 0) + 1
-        counted.append(own)
-    return counted
+def _counted(template: tuple[str, str, str]) -> dict[str, int]:
+    counts: dict[str, int] = {}
+    for t in words_in(template[2]):
+        counts[t] = counts.get(t, 0) + 1
+    return counts
 
 
 def all_frequencies(docs: DataFrame) -> DataFrame:
@@ -102,160 +190,106 @@ def _map(values: dict) -> Column:
     return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
 
 
-def declared(
-    docs: DataFrame, name: str, threshold: float = THRESHOLD, templates: list[tuple[str, str]] = TEMPLATES
-) -> DataFrame:
-    """All rows and columns of ``docs`` and a struct called ``name``: license, score and line (from 0)
-    of the best line of ``text``, null without one."""
-    counted = _template_terms(templates)
-    vocabulary = sorted({t for own in counted for t in own})
-    frequencies = stage(all_frequencies(docs), "frequencies")
-    n, frequency = _some_frequencies(frequencies, vocabulary)
-    idf = {t: math.log((n + 1) / (frequency.get(t, 0) + 1)) + 1 for t in vocabulary}
-    weights, norms = [], []
-    for own in counted:
-        weights.append({t: k * idf[t] for t, k in own.items()})
-        norms.append(math.sqrt(sum(w * w for w in weights[-1].values())))
-    # with light terms alone, at most sqrt(sum of their squares) / norm is reached
-    light: set[str] = set()
-    for t in sorted(vocabulary, key=lambda t: (idf[t], t)):
-        trial = light | {t}
-        if all(
-            math.sqrt(sum(w * w for u, w in own.items() if u in trial)) < threshold * norm
-            for own, norm in zip(weights, norms)
-        ):
-            light = trial
-    heavy = F.array(*(F.lit(t) for t in vocabulary if t not in light))
-    idfs = _map(idf)
-    # (license, norm, its terms and their weight times idf), in order
-    table = F.array(
-        *(
+def _windows(texts: DataFrame, templates: list[tuple[str, str, str]]) -> DataFrame:
+    """Windows of distinct texts that hold the words which name the licence: key, template (its number),
+    at (the first word, from 0), window."""
+    places = []
+    for i, (_, named, notice) in enumerate(templates):
+        words, named = words_in(notice), words_in(named)
+        places.append(
             F.struct(
-                F.lit(templates[i][0]).alias("license"),
-                F.lit(norm).alias("norm"),
-                F.array(
-                    *(
-                        F.struct(F.lit(t).alias("term"), F.lit(w * idf[t]).alias("weight"))
-                        for t, w in own.items()
-                    )
-                ).alias("terms"),
+                F.lit(i).alias("template"),
+                F.lit(named[0]).alias("word"),
+                F.lit(words.index(named[0])).alias("before"),
+                F.lit(len(words)).alias("length"),
+                F.array(*map(F.lit, named)).alias("named"),
             )
-            for i, (own, norm) in enumerate(zip(weights, norms))
         )
+    places = F.array(*places)
+    keys = sorted({words_in(named)[0] for _, named, _ in templates})
+    # rows are generated, so that the words of a text are split once
+    words = (
+        texts.where(F.lower("text").rlike("|".join(keys)))
+        .select("key", F.inline(F.array(F.struct(terms(F.col("text")).alias("words")))))
+        .where(F.arrays_overlap("words", F.array(*map(F.lit, keys))))
+    )
+    found = F.filter(
+        F.transform("words", lambda w, at: F.struct(at.alias("at"), w.alias("word"))),
+        lambda x: F.array_contains(F.array(*map(F.lit, keys)), x["word"]),
     )
 
-    def frequency_in(line: Column, term: Column) -> Column:
-        return F.size(F.filter(line, lambda u: u == term))
-
-    def square_of(kept: Column) -> Column:
-        """Sum of squares of tf times idf of the template terms of a line."""
-
-        def square(total: Column, t: Column) -> Column:
-            weight = frequency_in(kept, t) * F.element_at(idfs, t)
-            return total + weight * weight
-
-        return F.aggregate(F.array_distinct(kept), F.lit(0.0), square)
-
-    def dot(line: Column, own: Column) -> Column:
-        return F.aggregate(
-            own, F.lit(0.0), lambda s, x: s + frequency_in(line, x["term"]) * x["weight"]
-        )
-
-    def scored(line: Column, norm: Column, at: Column) -> Column:
-        """The best template of a line; the first of those that tie, then the first line."""
-        return F.array_max(
-            F.transform(
-                table,
-                lambda t, i: F.struct(
-                    F.round(dot(line, t["terms"]) / (norm * t["norm"]), 6).alias("score"),
-                    (-at).alias("place"),
-                    (-i).alias("rank"),
-                    t["license"].alias("license"),
-                ),
-            )
+    def starts(x: Column) -> Column:
+        return F.transform(
+            F.filter(places, lambda t: t["word"] == x["word"]),
+            lambda t: F.struct(
+                t["template"].alias("template"),
+                F.greatest(
+                    F.lit(0), F.least(x["at"] - t["before"], F.size("words") - t["length"])
+                ).alias("at"),
+            ),
         )
 
-    known = F.array(*map(F.lit, vocabulary))
+    place = F.element_at(places, F.col("template") + 1)
+    window = F.slice("words", F.col("at") + 1, place["length"])
+    return (
+        words.select("key", "words", F.inline(F.flatten(F.transform(found, starts))))
+        .where(F.size(F.array_except(place["named"], window)) == 0)
+        .select("key", "template", "at", window.alias("window"))
+        .dropDuplicates(["key", "template", "at"])
+    )
 
-    def within(x: Column) -> Column:
-        """Whether the template terms of a line weigh enough beside its other terms, each of which
-        counts once and weighs 1 at least: their share bounds every cosine from above."""
-        return square_of(x["kept"]) * (1 - threshold**2) >= (
-            threshold**2 * F.size(F.array_except(x["terms"], known)) - 1e-6
-        )
 
-    def reaches(x: Column) -> Column:
-        """Whether the best template would reach the threshold if other terms weighed 1."""
-        top = F.array_max(F.transform(table, lambda t: dot(x["kept"], t["terms"]) / t["norm"]))
-        least = x["square"] + F.size(F.array_distinct(x["others"]))
-        return top >= (threshold - 1e-6) * F.sqrt(least)
+def declared(
+    docs: DataFrame,
+    name: str,
+    threshold: float = THRESHOLD,
+    templates: list[tuple[str, str, str]] = TEMPLATES,
+) -> DataFrame:
+    """All rows and columns of ``docs`` and a struct called ``name``: license, score and word (the number,
+    from 0, of the first word) of the best window of ``text``, null without one."""
+    counted = [_counted(t) for t in templates]
+    vocabulary = sorted({t for own in counted for t in own})
+    frequencies = stage(all_frequencies(docs), "frequencies")
+    n, frequency = _some_frequencies(frequencies, vocabulary)
+    idf = {t: math.log((n + 1) / (frequency.get(t, 0) + 1)) + 1 for t in vocabulary}
+    weights = [{t: k * idf[t] for t, k in own.items()} for own in counted]
+    norms = [math.sqrt(sum(w * w for w in own.values())) for own in weights]
 
-    lines = F.transform(
-        F.split(F.coalesce("text", F.lit("")), "\n"),
-        lambda line, i: F.struct(i.alias("at"), terms(line).alias("terms")),
-    )
-    # four filters, each exact and each dearer than the one before
-    heavy_lines = F.filter(lines, lambda x: F.arrays_overlap(x["terms"], heavy))
-    shared = F.transform(
-        heavy_lines,
-        lambda x: F.struct(
-            x["at"].alias("at"),
-            x["terms"].alias("terms"),
-            F.array_intersect(x["terms"], known).alias("shared"),
-        ),
-    )
-    kept = F.transform(
-        shared,
-        lambda x: F.struct(
-            x["at"].alias("at"),
-            x["terms"].alias("terms"),
-            F.filter(x["terms"], lambda t: F.array_contains(x["shared"], t)).alias("kept"),
-            x["shared"].alias("shared"),
-        ),
-    )
-    split = F.transform(
-        F.filter(kept, within),
-        lambda x: F.struct(
-            x["at"].alias("at"),
-            x["kept"].alias("kept"),
-            F.filter(x["terms"], lambda t: ~F.array_contains(x["shared"], t)).alias("others"),
-            square_of(x["kept"]).alias("square"),
-        ),
-    )
     # what a text declares follows from the text alone, so texts are told apart by their hash
     key, top = unused(docs, "text_key"), unused(docs, "top")
     hashed = F.md5(F.coalesce("text", F.lit("")))
-    reaching = (
-        docs.select(hashed.alias("key"), F.filter(split, reaches).alias("lines"))
-        .where(F.size("lines") > 0)
-        .dropDuplicates(["key"])
-        .select("key", F.inline("lines"))
-    )
-    reaching = stage(reaching, "reaching")
-    others = (
-        reaching.select("key", "at", F.explode("others").alias("term"))
-        .groupBy("key", "at", "term")
+    windows = stage(_windows(docs.select(hashed.alias("key"), "text"), templates), "windows")
+    tf = (
+        windows.select("key", "template", "at", F.explode("window").alias("term"))
+        .groupBy("key", "template", "at", "term")
         .agg(F.count("*").alias("tf"))
     )
     hot = stage(frequencies.where("term != ''").orderBy(F.desc("n"), "term").limit(HOT), "hot")
-    marked = others.join(F.broadcast(hot), "term", "left")
-    marked = stage(marked, "others")
+    marked = stage(tf.join(F.broadcast(hot), "term", "left"), "window_terms")
     rare = marked.where("n IS NULL").drop("n").join(frequencies, "term")
     weight = F.col("tf") * (F.log(F.lit(n + 1.0) / (F.col("n") + 1)) + 1)
-    squares = (
+    names = F.array(*(F.lit(license) for license, _, _ in templates))
+    lengths = F.array(*(F.lit(sum(own.values())) for own in counted))
+    # of each template, the weights of its terms over its norm
+    units = F.array(*(_map({t: w / norm for t, w in own.items()}) for own, norm in zip(weights, norms)))
+    unit = F.element_at(F.element_at(units, F.col("template") + 1), F.col("term"))
+    cosine = F.sum(weight * F.coalesce(unit, F.lit(0.0))) / F.sqrt(F.sum(weight * weight))
+    best = (
         marked.where("n IS NOT NULL")
         .unionByName(rare)
-        .groupBy("key", "at")
-        .agg(F.sum(weight * weight).alias("more"))
-    )
-    norm = F.sqrt(F.col("square") + F.coalesce("more", F.lit(0.0)))
-    best = (
-        reaching.drop("others")
-        .join(squares, ["key", "at"], "left")
-        .select("key", scored(F.col("kept"), norm, F.col("at")).alias("top"))
+        .groupBy("key", "template", "at")
+        .agg(F.round(cosine, 6).alias("score"))
+        .where(F.col("score") >= threshold)
+        .groupBy("key", "at", F.element_at(names, F.col("template") + 1).alias("license"))
+        .agg(
+            F.max(F.element_at(lengths, F.col("template") + 1)).alias("length"),
+            F.max("score").alias("score"),
+            (-F.min("template")).alias("first"),
+        )
+        .groupBy("key", (-F.col("at")).alias("at"))
+        .agg(F.max(F.struct("length", "score", "first", "license")).alias("here"))
         .groupBy("key")
-        .agg(F.max("top").alias("top"))
-        .where(F.col("top.score") >= threshold)
+        .agg(F.max(F.struct("here.score", "at", "here.first", "here.license")).alias("top"))
     )
     best = stage(best, "best")
     found = F.when(
@@ -263,7 +297,7 @@ def declared(
         F.struct(
             F.col(f"{top}.license").alias("license"),
             F.col(f"{top}.score").alias("score"),
-            (-F.col(f"{top}.place")).cast("int").alias("line"),
+            (-F.col(f"{top}.at")).alias("word"),
         ),
     )
     joined = docs.withColumn(key, hashed).join(

@@ -256,49 +256,104 @@ def test_awkward_pages(spark):
 # --- 9 ----------------------------------------------------------------------
 
 
-def brute_license(text, n, frequency):
-    def terms(line):
-        return [t for t in re.split(r"[^\w]+|_", line.lower()) if t]
+def plain_terms(text):
+    return [t for t in re.split(r"[^\w]+|_", text.lower()) if t]
 
-    vocabulary = {t for _, x in licenses.TEMPLATES for t in terms(x)}
 
-    def idf(t):
-        return math.log((n + 1) / ((frequency.get(t, 0) if t in vocabulary else 1) + 1)) + 1
+def brute_license(text, n, frequency):
+    """Every window by its definition, every word by the number of texts that have it."""
+
+    def vector(words):
+        return {t: words.count(t) * (math.log((n + 1) / (frequency.get(t, 0) + 1)) + 1) for t in words}
+
+    def size(v):
+        return math.sqrt(sum(w * w for w in v.values()))
+
+    words, places = plain_terms(text or ""), {}
+    for i, (license, named, notice) in enumerate(licenses.TEMPLATES):
+        named, own = plain_terms(named), plain_terms(notice)
+        u = vector(own)
+        for p in range(len(words)):
+            if words[p] == named[0]:
+                at = max(0, min(p - own.index(named[0]), len(words) - len(own)))
+                window = words[at : at + len(own)]
+                if set(named) <= set(window):
+                    v = vector(window)
+                    dot = sum(w * v.get(t, 0) for t, w in u.items())
+                    score = round(dot / size(u) / size(v), 6)
+                    if score >= licenses.THRESHOLD:
+                        length, top, first = places.setdefault(at, {}).get(license, (0, 0, -i))
+                        places[at][license] = max(length, len(own)), max(top, score), first
+    longest = ((at, *max((*x, name) for name, x in here.items())) for at, here in places.items())
+    best = max(((score, -at, first, name) for at, _, score, first, name in longest), default=None)
+    return best and (best[3], best[0], -best[1])
+
+
+def gnu_header(name, version):
+    return (
+        f"# This program is free software: you can redistribute it and/or modify\n"
+        f"# it under the terms of the GNU {name} Public License as published by\n"
+        f"# the Free Software Foundation, either version {version} of the License, or\n"
+        f"# (at your option) any later version.\n\nimport os\n"
+    )
 
-    def vector(line):
-        words = terms(line)
-        return {t: words.count(t) * idf(t) for t in words}
 
-    best = (0, 0, 0)
-    for at, line in enumerate((text or "").split("\n")):
-        v = vector(line)
-        size = math.sqrt(sum(w * w for w in v.values()))
-        for i, (name, x) in enumerate(licenses.TEMPLATES):
-            u = vector(x)
-            dot = sum(w * v.get(t, 0) for t, w in u.items())
-            if dot:
-                score = round(dot / size / math.sqrt(sum(w * w for w in u.values())), 6)
-                best = max(best, (score, -at, -i))
-    return (licenses.TEMPLATES[-best[2]][0], best[0]) if best[0] >= licenses.THRESHOLD else None
+NOTICES = [
+    ("x\nLicensed under the Apache License, Version 2.0", "Apache-2.0"),
+    ("the MIT license", "MIT"),
+    ("this work is public", None),
+    (None, None),
+    ("", None),
+    ("GNU GENERAL PUBLIC LICENSE\nVersion 3", "GPL-3.0"),
+    # wrapped over lines and comment marks
+    ("some code\nThis work is licensed under the GNU General\nPublic License, version 3\nand more", "GPL-3.0"),
+    ("/* Licensed under the Apache License,\n * Version 2.0 */\nint main() { return 0; }", "Apache-2.0"),
+    (gnu_header("General", 3), "GPL-3.0"),
+    (gnu_header("General", 2), "GPL-2.0"),
+    (gnu_header("Lesser General", "2.1"), "LGPL-2.1"),
+    (gnu_header("Affero General", 3), "AGPL-3.0"),
+    ("// SPDX-License-Identifier: MIT\n#include <stdio.h>", "MIT"),
+    ("# SPDX-License-Identifier: GPL-3.0-or-later\nimport os", "GPL-3.0"),
+    ("# SPDX-License-Identifier: CC-BY-NC-SA-4.0\n", "CC-BY-NC-SA-4.0"),
+    ("Licensed under CC BY-SA 4.0", "CC-BY-SA-4.0"),
+    # whole licence texts
+    ("Copyright (c) 2020 A B\n\n" + licenses.NOTICES[7][2], "MIT"),
+    ("Copyright (c) 2020 A B\n" + licenses.NOTICES[9][2].replace(", ", ",\n"), "BSD-2-Clause"),
+    ("Copyright (c) 2020 A B\n" + licenses.NOTICES[10][2].replace(", ", ",\n"), "BSD-3-Clause"),
+    (licenses.NOTICES[10][2].replace("the copyright holder", "A B"), "BSD-3-Clause"),
+    # names of other licences, or no notice at all
+    ("SPDX-License-Identifier: Zlib", None),
+    ("Licensed under the Zlib License", None),
+    ("they went mit dem Zug; at MIT, nobody asked for a driving license", None),
+    ("GNU make and the general public, license plates and version 3 of a long and quite different story", None),
+    ("license " * 50, None),
+]
 
 
 def test_declared_licences_by_brute_force(spark, small):
     docs = queries.documents(spark, small).select("doc_id", "text")
-    extra = [
-        (9001, "x\nLicensed under the Apache License, Version 2.0"), (9002, "the MIT license"),
-        (9003, "this work is public"), (9004, None), (9005, ""), (9006, "GNU GENERAL PUBLIC LICENSE\nVersion 3"),
-    ]
+    extra = [(900000 + i, text) for i, (text, _) in enumerate(NOTICES)]
     docs = docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
     texts = {r.doc_id: r.text for r in docs.collect()}
-    vocabulary = sorted({t for own in licenses._template_terms(licenses.TEMPLATES) for t in own})
+    whole = [set(plain_terms(t)) for t in texts.values() if t is not None]
+    every = {t: k for w in whole for t in w if (k := sum(t in x for x in whole))}
+    vocabulary = sorted({t for x in licenses.TEMPLATES for t in plain_terms(x[2])})
     n, frequency = licenses.document_frequencies(docs, vocabulary)
-    whole = [set(re.split(r"[^\w]+|_", t.lower())) for t in texts.values() if t is not None]
     assert n == len(whole)
-    assert frequency == {t: k for t in vocabulary if (k := sum(t in w for w in whole))}
-    rows = licenses.declared(docs, "own").select("doc_id", "own.license", "own.score").collect()
-    got = {r.doc_id: (r.license, r.score) if r.license else None for r in rows}
-    assert got == {d: brute_license(t, n, frequency) for d, t in texts.items()}
-    assert got[9001][0] == "Apache-2.0" and got[9002][0] == "MIT" and got[9003] is None
+    assert frequency == {t: k for t in vocabulary if (k := every.get(t, 0))}
+    rows = licenses.declared(docs, "own").select("doc_id", "own.*").collect()
+    got = {r.doc_id: (r.license, r.score, r.word) if r.license else None for r in rows}
+    assert got == {d: brute_license(t, n, every) for d, t in texts.items()}
+    verdicts = [got[d] and got[d][0] for d, _ in extra]
+    assert verdicts == [license for _, license in NOTICES]
+
+
+def test_a_notice_deep_in_a_long_text_is_found(spark):
+    words = "nothing to be seen here but words " * 100_000
+    texts = [(1, words + "license mit\n" + "license " * 20_000 + "the MIT License (MIT) " + words), (2, words)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: r.own for r in licenses.declared(docs, "own").select("doc_id", "own").collect()}
+    assert (got[1].license, got[1].score, got[1].word) == ("MIT", 1.0, 720_002) and got[2] is None
 
 
 def test_a_line_keeps_its_verdict_when_the_table_grows(spark):
