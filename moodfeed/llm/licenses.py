@@ -218,23 +218,23 @@ def _windows(texts: DataFrame, templates: list[tuple[str, str, str]]) -> DataFra
         lambda x: F.array_contains(F.array(*map(F.lit, keys)), x["word"]),
     )
 
-    def starts(x: Column) -> Column:
-        return F.transform(
-            F.filter(places, lambda t: t["word"] == x["word"]),
-            lambda t: F.struct(
-                t["template"].alias("template"),
-                F.greatest(
-                    F.lit(0), F.least(x["at"] - t["before"], F.size("words") - t["length"])
-                ).alias("at"),
-            ),
+    def window(t: Column, at: Column) -> Column:
+        start = F.greatest(F.lit(0), F.least(at - t["before"], F.size("words") - t["length"]))
+        return F.struct(
+            t["template"].alias("template"),
+            start.alias("at"),
+            F.slice("words", start + 1, t["length"]).alias("window"),
+            t["named"].alias("named"),
         )
 
-    place = F.element_at(places, F.col("template") + 1)
-    window = F.slice("words", F.col("at") + 1, place["length"])
+    def windows(x: Column) -> Column:
+        here = F.transform(F.filter(places, lambda t: t["word"] == x["word"]), lambda t: window(t, x["at"]))
+        return F.filter(here, lambda y: F.size(F.array_except(y["named"], y["window"])) == 0)
+
+    # windows are cut inside the row, as a row for each would copy all words of the text
     return (
-        words.select("key", "words", F.inline(F.flatten(F.transform(found, starts))))
-        .where(F.size(F.array_except(place["named"], window)) == 0)
-        .select("key", "template", "at", window.alias("window"))
+        words.select("key", F.inline(F.flatten(F.transform(found, windows))))
+        .select("key", "template", "at", "window")
         .dropDuplicates(["key", "template", "at"])
     )
 
