@@ -21,6 +21,8 @@ def in_list(values) -> str:
 
 
 SPACE = f"[{lx.SPACES}]"
+# that may stand before or after an entity
+EDGE_MARKS = '.,!?:;"'
 
 # --- inputs -----------------------------------------------------------------
 
@@ -399,6 +401,23 @@ _BODIES = {
   FROM (SELECT unnest(regexp_extract_all(text, '(?:^|[ (])([#@][a-z0-9_]+)', 1)) AS token
         FROM normal)
   GROUP BY ALL""",
+    # shapes of whole runs between spaces, without the marks at their edges; of two per cent signs a number
+    # keeps one
+    "entity_tokens": f"""
+  SELECT kind, token, count(*) AS n FROM (
+    SELECT token, CASE
+      WHEN regexp_full_match(token, 'https?://.+') THEN 'url'
+      WHEN regexp_full_match(token, '(?:[a-z0-9-]+[.]){{1,4}}(?:{"|".join(lx.GENERIC_DOMAINS)})(?:/.*)?') THEN 'url'
+      WHEN regexp_full_match(token, '[a-z0-9._%+-]+@(?:[a-z0-9-]+[.])+[a-z]{{2,4}}') THEN 'email'
+      WHEN regexp_full_match(token, '[0-9]+(?::[0-9]+){{1,2}}') THEN 'time'
+      WHEN regexp_full_match(token, '[$€£¥]?[0-9]+(?:[.][0-9]+)+%?') THEN 'number'
+      WHEN regexp_full_match(token, '#[a-z0-9_]+') THEN 'hashtag'
+      WHEN regexp_full_match(token, '@[a-z0-9_]+') THEN 'mention' END AS kind
+    FROM (SELECT regexp_replace(regexp_replace(regexp_replace(
+                   w, '^[({EDGE_MARKS}]+|[){EDGE_MARKS}&#*$]+$', '', 'g'),
+                   '([.0-9])%%$', '\\1%'), '([a-z])%%$', '\\1') AS token
+          FROM (SELECT unnest(string_split(text, ' ')) AS w FROM normal)))
+  WHERE kind IS NOT NULL GROUP BY ALL""",
     "stopword_filter": tokens_of("kept"),
     "retweet_filter": tokens_of("(SELECT * FROM words WHERE NOT starts_with(w, 'rt'))"),
     "tokenize_whitespace": f"SELECT tweet_id, {squeezed('text')} AS tokens FROM tweets",

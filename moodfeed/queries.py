@@ -237,6 +237,16 @@ def entity_counts(spark, sf_dir):
     )
 
 
+# kinds that a shape between spaces tells
+SHAPED_KINDS = ["url", "email", "time", "number", "hashtag", "mention"]
+
+
+def entity_tokens(spark, sf_dir):
+    found = entities(_tweets(spark, sf_dir).select("tweet_id", "text"))
+    wanted = found.filter(F.col("kind").isin(SHAPED_KINDS))
+    return wanted.groupBy("kind", "token").agg(F.count("*").alias("n"))
+
+
 def hashtag_mention_counts(spark, sf_dir):
     found = entities(_tweets(spark, sf_dir).select("tweet_id", "text"))
     wanted = found.filter(F.col("kind").isin("hashtag", "mention"))
@@ -690,6 +700,7 @@ QUERIES: dict[str, Query] = {
     "tokenize_raw": tokenize_raw,
     "split_contractions": split_contractions,
     "entity_counts": entity_counts,
+    "entity_tokens": entity_tokens,
     "hashtag_mention_counts": hashtag_mention_counts,
     "stopword_filter": stopword_filter,
     "retweet_filter": retweet_filter,
