@@ -31,10 +31,15 @@ def twitter_tokens(text: Column) -> Column:
 
 
 def _replace_spans(text: Column, replacement: str, tagged: bool = False) -> Column:
-    with_them, without = (lx.protected_spans(tagged, apostrophes) for apostrophes in (True, False))
-    return F.when(
-        text.rlike(lx.APOSTROPHE), F.regexp_replace(text, with_them, replacement)
-    ).otherwise(F.regexp_replace(text, without, replacement))
+    def replaced(*kinds: bool) -> Column:
+        return F.regexp_replace(text, lx.protected_spans(tagged, *kinds), replacement)
+
+    def by_address(apostrophes: bool) -> Column:
+        return F.when(text.rlike(lx.ADDRESS), replaced(apostrophes, True)).otherwise(
+            replaced(apostrophes, False)
+        )
+
+    return F.when(text.rlike(lx.APOSTROPHE), by_address(True)).otherwise(by_address(False))
 
 
 def raw_twitter_tokens(text: Column) -> Column:

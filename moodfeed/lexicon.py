@@ -182,6 +182,10 @@ def _url() -> str:
     return rf"(?:{scheme}|{host}){body}(?=(?:(?!{end})(?:{PUNCTUATION}|{HTML_ENTITY}))*+{end})"
 
 
+# every mail address has this in it
+ADDRESS = "[a-zA-Z0-9._%+-]@[a-zA-Z0-9.-]"
+
+
 def _email() -> str:
     # as with hosts: not at a word that follows another one in the same run
     word = f"[a-zA-Z0-9_]{{0,{BEHIND}}}[.%+-]"
@@ -231,9 +235,10 @@ def _abbreviation() -> str:
 
 
 @lru_cache(maxsize=None)
-def protected_spans(tagged: bool = False, apostrophes: bool = True) -> str:
+def protected_spans(tagged: bool = False, apostrophes: bool = True, addresses: bool = True) -> str:
     """Spans that stay one token. ``tagged`` names a group after each kind. For texts without an
-    apostrophe the pattern that looks for one after every match can be left out."""
+    apostrophe, or without what ``ADDRESS`` finds, the patterns that look for one after every match can be
+    left out."""
     # \G, the end of the last match, goes with tests that skip places inside a run: a pattern that
     # failed where the run, or the search, began fails inside it too.
     chunk = "[^ .,?\\\"]"
@@ -272,6 +277,8 @@ def protected_spans(tagged: bool = False, apostrophes: bool = True) -> str:
     )
     if not apostrophes:
         patterns["apostrophe"] = "(?!)"
+    if not addresses:
+        patterns["email"] = "(?!)"
     if tagged:
         spans = "|".join(f"(?<{tag_name(kind)}>{patterns[kind]})" for kind in ENTITY_KINDS)
         return f"(?<{tag_name(PLAIN)}>{_plain_words()})|{may_begin}(?:{spans})"

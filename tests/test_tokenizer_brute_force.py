@@ -154,33 +154,45 @@ LONG = {
     "1.1": "1.1" * N, "a.": "a." * N, "<3": "<3" * N, "!?": "http://a" + "!?" * N, "x'": "x'" * N, "o_": "o_" * N,
     "-": "-" * N, "=>": "=>" * N, "ab-": "ab-" * N, ":)": ":)" * N, "=-": "=-" * N, "a-b-": "a-b-" * N,
     "@a": "@a" * N, "a@": "a@" * N, ":-": ":-" * N, "12,": "12," * N, "*=": "*=" * N, "a+": "a+" * N,
-    "':-": "':-" * N,
+    "':-": "':-" * N, "ab.": "ab." * N, "x-y.": "x-y." * N,
 }
 
 
-def test_long_unbroken_texts(spark):
-    """None of them may overflow the stack, or take much longer than letters."""
-
-    def seconds(text, tokens):
-        df = spark.createDataFrame([(text,)], "text string").select("text", tokens.alias("tokens"))
-        start = time.perf_counter()
-        row = df.first()
-        assert "".join(row.tokens) == text
-        return time.perf_counter() - start
-
-    forms = [
+def forms():
+    return [
         tk.twitter_tokens(F.col("text")),
         F.transform(tk.tagged_tokens(F.col("text")), lambda t: t["token"]),
     ]
-    for tokens in forms:
-        seconds("ab" * 100, tokens)
+
+
+def seconds(spark, text, tokens):
+    df = spark.createDataFrame([(text,)], "text string").select("text", tokens.alias("tokens"))
+    start = time.perf_counter()
+    row = df.first()
+    assert "".join(row.tokens) == text
+    return time.perf_counter() - start
+
+
+def test_long_unbroken_texts(spark):
+    """None of them may overflow the stack, or take much longer than letters."""
+    for tokens in forms():
+        seconds(spark, "ab" * 100, tokens)
         letters = {}
         for name, text in LONG.items():
             # the same length of letters, with half a second for noise
             if len(text) not in letters:
-                letters[len(text)] = seconds("a" * len(text), tokens)
+                letters[len(text)] = seconds(spark, "a" * len(text), tokens)
             limit = 3 * letters[len(text)] + 0.5
-            assert seconds(text, tokens) < limit or seconds(text, tokens) < limit, name
+            assert seconds(spark, text, tokens) < limit or seconds(spark, text, tokens) < limit, name
+
+
+def test_long_runs_of_hosts(spark):
+    """Every second word is a domain, so they take longer than letters, but eight times the text takes
+    about eight times as long, not 64."""
+    for tokens in forms():
+        seconds(spark, "ab" * 100, tokens)
+        short = min(seconds(spark, "abc.de." * N, tokens) for _ in range(2))
+        assert seconds(spark, "abc.de." * 8 * N, tokens) < 16 * short
 
 
 def test_tagged_kinds(spark):
