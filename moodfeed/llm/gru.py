@@ -7,6 +7,7 @@ class of their own. A symbol's probability is that of its class times, for head
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -74,113 +75,183 @@ class Shape:
         return flat
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def _with_bias(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """The bias as one more row (of each matrix), for inputs that end with 1."""
+    return np.concatenate([weights, bias[..., None, :]], -2)
 
 
-def _loss_and_slope(logits: np.ndarray, at: np.ndarray) -> float:
-    """Sum of the losses of one column of each row; the logits become their gradient."""
-    rows = np.arange(len(logits))
+def _exponentials(
+    logits: np.ndarray, at: np.ndarray, parts: list[tuple[int, int]] | None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The logits become exponentials. Returns the places of one column of each row in the flat
+    array, what stood there, and the sums of the rows. ``parts`` of the rows are summed apart."""
+    parts = [(0, len(logits))] if parts is None else parts
     if logits.max(initial=0) > 60:
-        logits -= logits.max(1, keepdims=True)
-    own = logits[rows, at]
+        for a, b in parts:
+            if logits[a:b].max() > 60:
+                logits[a:b] -= logits[a:b].max(1, keepdims=True)
+    places = np.arange(0, logits.size, logits.shape[1])
+    places += at
+    own = logits.reshape(-1).take(places)
     np.exp(logits, out=logits)
-    sums = logits @ np.ones(logits.shape[1], logits.dtype)
+    ones, sums = np.ones(logits.shape[1], logits.dtype), np.empty(len(logits), logits.dtype)
+    for a, b in parts:
+        np.matmul(logits[a:b], ones, out=sums[a:b])
+    return places, own, sums
+
+
+def _loss_and_slope(
+    logits: np.ndarray, at: np.ndarray, parts: list[tuple[int, int]] | None = None
+) -> float:
+    """Sum of the losses of one column of each row; the logits become their gradient."""
+    places, own, sums = _exponentials(logits, at, parts)
     logits *= (1 / sums)[:, None]
-    logits[rows, at] -= 1
+    logits.reshape(-1)[places] -= 1
     return float((np.log(sums) - own).sum())
 
 
-def _picked(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _picked(logits: np.ndarray, at: np.ndarray, parts: list[tuple[int, int]] | None = None) -> np.ndarray:
     """Log-probability of one column of each row; overwrites the logits."""
-    rows = np.arange(len(logits))
-    if len(logits) and logits.max() > 60:
-        logits -= logits.max(1, keepdims=True)
-    own = logits[rows, at].astype(np.float64)
-    np.exp(logits, out=logits)
-    return own - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
+    _, own, sums = _exponentials(logits, at, parts)
+    return own.astype(np.float64) - np.log(sums)
 
 
-def lanes(texts: list[np.ndarray], width: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _by_class(shape: Shape, kinds: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Rows of head words in the order of their class, and each class's part of them."""
+    tops = shape.head // WIDTH
+    # small integers are sorted by their digits
+    order = np.argsort(kinds.astype(np.int16), kind="stable")
+    ends = np.cumsum(np.bincount(kinds, minlength=tops)[:tops]).tolist()
+    parts = [(k, a, b) for k, (a, b) in enumerate(zip([0, *ends], ends)) if a < b]
+    return order[: ends[-1]], parts
+
+
+class Lanes:
     """Texts laid one after another into at most ``width`` lanes, the longest first.
 
-    Returns the inputs and outputs by time and lane (-1 where there is none) and the text of each
-    output. Every text starts from the end symbol and predicts its words and the end.
+    Every text starts from the end symbol and predicts its words and the end. Lanes lie end to end,
+    so memory follows the words and not the longest lane.
     """
-    sizes = np.array([len(t) + 1 for t in texts])
-    order = np.argsort(-sizes, kind="stable")
-    import heapq
-
-    heap = [(0, lane) for lane in range(min(width, len(texts)))]
-    content: list[list[int]] = [[] for _ in heap]
-    for i in order:
-        load, lane = heapq.heappop(heap)
-        content[lane].append(int(i))
-        heapq.heappush(heap, (load + int(sizes[i]), lane))
-    content.sort(key=lambda c: -sum(sizes[i] for i in c))
-    steps = int(sum(sizes[i] for i in content[0]))
-    inputs = np.full((steps, len(content)), -1, np.int32)
-    outputs, owner = inputs.copy(), inputs.copy()
-    for lane, rows in enumerate(content):
-        t = 0
-        for i in rows:
-            n = int(sizes[i])
-            inputs[t, lane], inputs[t + 1 : t + n, lane] = end, texts[i]
-            outputs[t : t + n - 1, lane], outputs[t + n - 1, lane] = texts[i], end
-            owner[t : t + n, lane] = i
-            t += n
-    return inputs, outputs, owner
+
+    def __init__(self, texts: list[np.ndarray], width: int, end: int) -> None:
+        sizes = np.array([len(t) + 1 for t in texts])
+        order = np.argsort(-sizes, kind="stable")
+        heap = [(0, lane) for lane in range(min(width, len(texts)))]
+        content: list[list[int]] = [[] for _ in heap]
+        for i in order.tolist():
+            load, lane = heapq.heappop(heap)
+            content[lane].append(i)
+            heapq.heappush(heap, (load + int(sizes[i]), lane))
+        loads = [int(sizes[rows].sum()) for rows in content]
+        ranked = sorted(range(len(content)), key=lambda lane: -loads[lane])
+        rows = [i for lane in ranked for i in content[lane]]
+        self.lengths = np.array([loads[lane] for lane in ranked])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        last = np.array([end], np.int32)
+        self.outputs = np.concatenate([x for i in rows for x in (texts[i], last)], dtype=np.int32, casting="unsafe")
+        # the end of a text, or of the lane before, starts the next one
+        self.inputs = np.concatenate([last, self.outputs[:-1]])
+        self.owner = np.repeat(np.array(rows, np.int32), sizes[rows])
+
+    @property
+    def steps(self) -> int:
+        return int(self.lengths[0])
+
+    def live(self, t: int) -> int:
+        """Lanes that go on at a step: the first ones."""
+        return int(np.searchsorted(-self.lengths, -t))
+
+    def window(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Inputs, outputs and texts by time and live lane (-1 where there is none)."""
+        live, times = self.live(a), np.arange(a, b)[:, None]
+        at = self.starts[:live] + times
+        if b <= self.lengths[live - 1]:
+            return self.inputs[at], self.outputs[at], self.owner[at]
+        there = times < self.lengths[:live]
+        at[~there] = 0
+        return tuple(np.where(there, x[at], np.int32(-1)) for x in (self.inputs, self.outputs, self.owner))
+
+
+def lanes(texts: list[np.ndarray], width: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, outputs and texts of all lanes at once."""
+    laid = Lanes(texts, width, end)
+    return laid.window(0, laid.steps)
 
 
 class Scorer:
     def __init__(self, shape: Shape, flat: np.ndarray) -> None:
         self.shape, self.p = shape, shape.unpack(flat)
-        self.gates = self.p["embed"] @ self.p["inward"] + self.p["bias"]
+        two, p = 2 * HIDDEN, self.p
+        gates = p["embed"] @ p["inward"] + p["bias"]
+        # the logistic function is that of half the sum in the hyperbolic tangent
+        self.gates = gates[:, :two] * f4(0.5), np.ascontiguousarray(gates[:, two:])
+        self.recur = p["recur"][:, :two] * f4(0.5), np.ascontiguousarray(p["recur"][:, two:])
+        self.class_w = _with_bias(p["class_w"], p["class_b"])
+        self.word_w = _with_bias(p["word_w"], p["word_b"])
 
     def score(self, texts: list[np.ndarray], width: int = 256, window: int = 32) -> np.ndarray:
         """Natural log-probability of every whole text: states go on from window to window."""
         total = np.zeros(len(texts))
         if not texts:
             return total
-        shape, p, end = self.shape, self.p, self.shape.head
-        inputs, outputs, owner = lanes(texts, width, end)
-        active = (inputs >= 0).sum(1)
-        h = np.zeros((inputs.shape[1], HIDDEN), f4)
-        two = 2 * HIDDEN
-        for a in range(0, len(inputs), window):
-            b = min(a + window, len(inputs))
-            n0 = active[a]
-            states = np.zeros((b - a, n0, HIDDEN), f4)
-            gates = self.gates[np.maximum(inputs[a:b, :n0], 0)]
-            fresh = owner[a:b, :n0] != np.vstack(
-                [owner[a - 1 : a, :n0] if a else np.full((1, n0), -2), owner[a : b - 1, :n0]]
-            )
-            for t in range(b - a):
-                n = active[a + t]
-                now = h[:n]
-                if fresh[t, :n].any():
-                    now = now * ~fresh[t, :n, None]
-                r = now @ p["recur"]
-                g = gates[t, :n]
-                zr = sigmoid(g[:, :two] + r[:, :two])
-                new = np.tanh(g[:, two:] + zr[:, HIDDEN:] * r[:, two:])
-                now = new + zr[:, :HIDDEN] * (now - new)
-                h[:n] = now
-                states[t, :n] = now
-            there = outputs[a:b, :n0] >= 0
-            hs, ys, who = states[there], outputs[a:b, :n0][there], owner[a:b, :n0][there]
-            kinds = shape.class_of(ys)
-            logp = _picked(hs @ p["class_w"] + p["class_b"], kinds)
-            order = np.argsort(kinds, kind="stable")
-            cuts = np.searchsorted(kinds[order], np.arange(shape.head // WIDTH + 1))
-            for k in range(shape.head // WIDTH):
-                at = order[cuts[k] : cuts[k + 1]]
-                if len(at):
-                    inner = hs[at] @ p["word_w"][k] + p["word_b"][k]
-                    logp[at] += _picked(inner, ys[at] - k * WIDTH)
-            total += np.bincount(who, logp, len(texts))
+        laid = Lanes(texts, width, self.shape.head)
+        h = np.zeros((len(laid.lengths), HIDDEN), f4)
+        previous = np.full(len(h), -2)
+        for a in range(0, laid.steps, window):
+            b = min(a + window, laid.steps)
+            inputs, outputs, owner = laid.window(a, b)
+            live = inputs.shape[1]
+            fresh = owner != np.vstack([previous[:live], owner[:-1]])
+            previous = owner[-1]
+            states = self._states(inputs, fresh, h)
+            there = outputs >= 0
+            if there.all():
+                hs, ys, who = states.reshape(-1, HIDDEN + 1), outputs.reshape(-1), owner.reshape(-1)
+            else:
+                hs, ys, who = states[there], outputs[there], owner[there]
+            total += np.bincount(who, self._log_probabilities(hs, ys), len(texts))
         return total
 
+    def _states(self, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """States after each step of a window, each with a 1 behind it; ``h`` goes on to the last."""
+        (steps, live), two = inputs.shape, 2 * HIDDEN
+        inputs = np.maximum(inputs, 0)
+        for_zr, for_new = (g.take(inputs, 0) for g in self.gates)
+        states = np.ones((steps, live, HIDDEN + 1), f4)
+        zr, rec, new = (np.empty((live, n), f4) for n in (two, HIDDEN, HIDDEN))
+        z, r, now = zr[:, :HIDDEN], zr[:, HIDDEN:], h[:live]
+        new_text = fresh.any(1).tolist()
+        for t in range(steps):
+            if new_text[t]:
+                now[fresh[t]] = 0
+            np.matmul(now, self.recur[0], out=zr)
+            zr += for_zr[t]
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            np.matmul(now, self.recur[1], out=rec)
+            np.multiply(r, rec, out=new)
+            new += for_new[t]
+            np.tanh(new, out=new)
+            now -= new
+            now *= z
+            now += new
+            states[t, :, :HIDDEN] = now
+        return states
+
+    def _log_probabilities(self, hs: np.ndarray, ys: np.ndarray, block: int = 4096) -> np.ndarray:
+        kinds = self.shape.class_of(ys)
+        logp = np.empty(len(ys))
+        for a in range(0, len(ys), block):
+            part = slice(a, a + block)
+            logp[part] = _picked(hs[part] @ self.class_w, kinds[part])
+        order, parts = _by_class(self.shape, kinds)
+        hs, inner = hs.take(order, 0), np.empty((len(order), WIDTH), f4)
+        for k, a, b in parts:
+            np.matmul(hs[a:b], self.word_w[k], out=inner[a:b])
+        logp[order] += _picked(inner, ys[order] % WIDTH, [part[1:] for part in parts])
+        return logp
+
 
 def window_gradient(
     shape: Shape, p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h0: np.ndarray
@@ -190,90 +261,122 @@ def window_gradient(
     The gradient does not reach back beyond the window.
     """
     steps, width = x.shape
-    two = 2 * HIDDEN
+    two, kind = 2 * HIDDEN, h0.dtype
     there = y >= 0
-    inputs = np.maximum(x, 0)
-    emb = p["embed"][inputs]
-    gates = emb @ p["inward"] + p["bias"]
-    kind = h0.dtype
-    before, zs, rs, ns, rec, states = (np.empty((steps, width, HIDDEN), kind) for _ in range(6))
-    whole, new_text = there.all(1), fresh.any(1)
-    h = h0
+    every, new_text = there.all(1).tolist(), fresh.any(1).tolist()
+    whole = all(every)
+    inputs = np.maximum(x, 0).reshape(-1)
+    emb = p["embed"].take(inputs, 0)
+    # the logistic function is that of half the sum in the hyperbolic tangent
+    half = np.array([0.5] * two + [1] * HIDDEN, kind)
+    inward, bias = p["inward"] * half, p["bias"] * half
+    if len(inputs) > shape.symbols:
+        gates = p["embed"] @ inward + bias
+        for_zr, for_new = (np.ascontiguousarray(g).take(inputs, 0) for g in (gates[:, :two], gates[:, two:]))
+    else:
+        gates = emb @ inward + bias
+        for_zr, for_new = gates[:, :two], gates[:, two:]
+    for_zr, for_new = for_zr.reshape(steps, width, two), for_new.reshape(steps, width, HIDDEN)
+    recur_zr, recur_new = p["recur"][:, :two] * kind.type(0.5), np.ascontiguousarray(p["recur"][:, two:])
+    zrs = np.empty((steps, width, two), kind)
+    ns, rec = (np.empty((steps, width, HIDDEN), kind) for _ in range(2))
+    zs, rs = zrs[:, :, :HIDDEN], zrs[:, :, HIDDEN:]
+    states = np.empty((steps + 1, width, HIDDEN), kind)
+    states[0] = h0
     for t in range(steps):
-        now = np.where(fresh[t][:, None], 0, h).astype(kind) if new_text[t] else h
-        r = now @ p["recur"]
-        zr = gates[t, :, :two] + r[:, :two]
-        # the logistic function
-        zr *= 0.5
+        now = states[t]
+        if new_text[t]:
+            now = np.where(fresh[t][:, None], kind.type(0), now)
+        zr = np.matmul(now, recur_zr, out=zrs[t])
+        zr += for_zr[t]
         np.tanh(zr, out=zr)
         zr += 1
         zr *= 0.5
-        new = zr[:, HIDDEN:] * r[:, two:]
-        new += gates[t, :, two:]
+        np.matmul(now, recur_new, out=rec[t])
+        new = np.multiply(rs[t], rec[t], out=ns[t])
+        new += for_new[t]
         np.tanh(new, out=new)
-        h = now - new
-        h *= zr[:, :HIDDEN]
+        h = np.subtract(now, new, out=states[t + 1])
+        h *= zs[t]
         h += new
-        if not whole[t]:
-            h = np.where(there[t][:, None], h, now)
-        before[t], zs[t], rs[t], ns[t], rec[t], states[t] = (
-            now, zr[:, :HIDDEN], zr[:, HIDDEN:], new, r[:, two:], h
-        )
+        if not every[t]:
+            np.copyto(h, now, where=~there[t][:, None])
+    last = states[-1].copy()
     grad = np.zeros(shape.length(), kind)
     g = shape.unpack(grad)
-    hs, ys = states[there], y[there]
+    ys = y.reshape(-1) if whole else y[there]
+    hs = np.ones((len(ys), HIDDEN + 1), kind)
+    hs[:, :HIDDEN] = states[1:].reshape(-1, HIDDEN) if whole else states[1:][there]
+    # from here on the states before each step
+    before = states[:-1]
+    if any(new_text):
+        before[fresh] = 0
     kinds = shape.class_of(ys)
-    d = hs @ p["class_w"]
-    d += p["class_b"]
+    d = hs @ _with_bias(p["class_w"], p["class_b"])
     loss = _loss_and_slope(d, kinds)
-    g["class_w"][:] = hs.T @ d
-    g["class_b"][:] = d.sum(0)
+    np.matmul(hs[:, :HIDDEN].T, d, out=g["class_w"])
+    np.einsum("ij->j", d, out=g["class_b"])
     dh = d @ p["class_w"].T
     # positions in the order of their class
-    order = np.argsort(kinds, kind="stable")
-    tops = shape.head // WIDTH
-    cuts = np.searchsorted(kinds[order], np.arange(tops + 1))
-    hs, ys = hs[order], ys[order]
-    inner_dh = np.zeros_like(hs)
-    for k in range(tops):
-        part = slice(cuts[k], cuts[k + 1])
-        if cuts[k] == cuts[k + 1]:
-            continue
-        e = hs[part] @ p["word_w"][k]
-        e += p["word_b"][k]
-        loss += _loss_and_slope(e, ys[part] - k * WIDTH)
-        g["word_w"][k] = hs[part].T @ e
-        g["word_b"][k] = e.sum(0)
-        inner_dh[part] = e @ p["word_w"][k].T
+    order, parts = _by_class(shape, kinds)
+    hs = hs.take(order, 0)
+    word_w = _with_bias(p["word_w"], p["word_b"])
+    e = np.empty((len(order), WIDTH), kind)
+    for k, a, b in parts:
+        np.matmul(hs[a:b], word_w[k], out=e[a:b])
+    loss += _loss_and_slope(e, ys[order] % WIDTH, [part[1:] for part in parts])
+    inner_dh = np.empty((len(order), HIDDEN), kind)
+    for k, a, b in parts:
+        np.matmul(hs[a:b, :HIDDEN].T, e[a:b], out=g["word_w"][k])
+        np.einsum("ij->j", e[a:b], out=g["word_b"][k])
+        np.matmul(e[a:b], p["word_w"][k].T, out=inner_dh[a:b])
     dh[order] += inner_dh
-    outer = np.zeros((steps, width, HIDDEN), kind)
-    outer[there] = dh
+    if whole:
+        outer = dh.reshape(steps, width, HIDDEN)
+    else:
+        outer = np.zeros((steps, width, HIDDEN), kind)
+        outer[there] = dh
     # factors that do not depend on what comes later, for all steps at once
-    of_new = (1 - zs) * (1 - ns * ns) * there[:, :, None]
-    of_z = (before - ns) * zs * (1 - zs) * there[:, :, None]
-    of_r = rec * rs * (1 - rs)
-    dgates = np.empty_like(gates)
-    drec = np.empty_like(gates)
+    rest = 1 - zrs
+    of_new = ns * ns
+    np.subtract(1, of_new, out=of_new)
+    of_new *= rest[:, :, :HIDDEN]
+    of_z = before - ns
+    of_z *= zs
+    of_z *= rest[:, :, :HIDDEN]
+    of_r = rec
+    of_r *= rs
+    of_r *= rest[:, :, HIDDEN:]
+    if not whole:
+        of_new *= there[:, :, None]
+        of_z *= there[:, :, None]
+    dgates, drec = (np.empty((steps, width, 3 * HIDDEN), kind) for _ in range(2))
     carried = np.zeros((width, HIDDEN), kind)
     back = np.ascontiguousarray(p["recur"].T)
     for t in reversed(range(steps)):
-        total = outer[t] + carried
-        dn = total * of_new[t]
-        dgates[t, :, :HIDDEN] = total * of_z[t]
-        dgates[t, :, HIDDEN:two] = dn * of_r[t]
-        dgates[t, :, two:] = dn
-        drec[t, :, :two] = dgates[t, :, :two]
-        drec[t, :, two:] = dn * rs[t]
-        carried = total * zs[t] if whole[t] else np.where(there[t][:, None], total * zs[t], total)
-        carried += drec[t] @ back
+        total, dr = outer[t], drec[t]
+        total += carried
+        dn = np.multiply(total, of_new[t], out=dgates[t, :, two:])
+        np.multiply(total, of_z[t], out=dr[:, :HIDDEN])
+        np.multiply(dn, of_r[t], out=dr[:, HIDDEN:two])
+        np.multiply(dn, rs[t], out=dr[:, two:])
+        if every[t]:
+            total *= zs[t]
+        else:
+            np.multiply(total, zs[t], out=total, where=there[t][:, None])
+        carried = dr @ back
+        carried += total
         if new_text[t]:
             carried[fresh[t]] = 0
-    g["recur"][:] = before.reshape(-1, HIDDEN).T @ drec.reshape(-1, 3 * HIDDEN)
+    dgates[:, :, :two] = drec[:, :, :two]
+    np.matmul(before.reshape(-1, HIDDEN).T, drec.reshape(-1, 3 * HIDDEN), out=g["recur"])
     flat = dgates.reshape(-1, 3 * HIDDEN)
-    g["bias"][:] = flat.sum(0)
-    g["inward"][:] = emb.reshape(-1, EMBED).T @ flat
-    np.add.at(g["embed"], inputs.ravel(), flat @ p["inward"].T)
-    return loss, grad, h
+    np.einsum("ij->j", flat, out=g["bias"])
+    np.matmul(emb.T, flat, out=g["inward"])
+    # one index a number: the way of numpy for one dimension is several times faster
+    places = np.arange(shape.symbols * EMBED).reshape(-1, EMBED).take(inputs, 0)
+    np.add.at(g["embed"].reshape(-1), places.reshape(-1), (flat @ p["inward"].T).reshape(-1))
+    return loss, grad, last
 
 
 def train(
@@ -291,30 +394,30 @@ def train(
     p = shape.unpack(flat)
     # no more lanes than keep the windows full
     width = max(1, min(width, sum(map(len, texts)) // window))
-    inputs, outputs, owner = lanes(texts, width, shape.head)
-    m, v = np.zeros_like(flat), np.zeros_like(flat)
-    h = np.zeros((inputs.shape[1], HIDDEN), f4)
-    previous = np.full(inputs.shape[1], -2)
-    for k, a in enumerate(range(0, len(inputs), window), 1):
+    laid = Lanes(texts, width, shape.head)
+    m, v, step = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
+    h = np.zeros((len(laid.lengths), HIDDEN), f4)
+    previous = np.full(len(h), -2)
+    for k, a in enumerate(range(0, laid.steps, window), 1):
         # lanes end one by one, the last first
-        live = int((owner[a] >= 0).sum())
-        part = slice(a, a + window), slice(live)
-        own = owner[part]
+        inputs, outputs, own = laid.window(a, min(a + window, laid.steps))
+        live = inputs.shape[1]
         fresh = own != np.vstack([previous[:live], own[:-1]])
         previous = own[-1]
-        _, grad, h = window_gradient(shape, p, inputs[part], outputs[part], fresh, h[:live])
-        grad /= max(1, int((outputs[part] >= 0).sum()))
+        _, grad, h = window_gradient(shape, p, inputs, outputs, fresh, h[:live])
+        grad /= max(1, int((outputs >= 0).sum()))
         norm = float(np.linalg.norm(grad))
         if norm > 1:
             grad /= norm
         m *= 0.9
-        m += f4(0.1) * grad
+        np.multiply(grad, f4(0.1), out=step)
+        m += step
         v *= 0.999
         np.square(grad, out=grad)
         grad *= 0.001
         v += grad
         scale = rate * np.sqrt(1 - 0.999**k) / (1 - 0.9**k)
-        step = np.sqrt(v)
+        np.sqrt(v, out=step)
         step += 1e-8
         np.divide(m, step, out=step)
         step *= f4(scale)

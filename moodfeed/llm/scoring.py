@@ -17,6 +17,7 @@ zero and the model is uniform over its classes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,14 @@ from pyspark.sql import functions as F
 
 from moodfeed.llm import gru
 from moodfeed.llm import words as wd
-from moodfeed.llm.arrow import SLICE_BYTES, slices, text_bytes
+from moodfeed.llm.arrow import slices, text_bytes
 from moodfeed.llm.ship import ship
 from moodfeed.staging import stage
 
 HEAD = 2048
 COMMON = 1 << 18
+#: Texts of so many tokens are scored at once.
+SCORED_TOKENS = 2_000_000
 ROUNDS = 4
 TRAINER_TOKENS = 600_000
 #: Weights of so many trainers are averaged at once, and then their averages.
@@ -63,12 +66,18 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             all_hashes, all_kinds = np.concatenate(hashes), np.concatenate(kinds)
-            values, first, n = np.unique(all_hashes, return_index=True, return_counts=True)
+            # sorting values is much faster than sorting places, and words of a kind need no places
+            order = np.argsort(all_kinds.astype(np.int8), kind="stable")
+            all_hashes, cuts = all_hashes[order], np.cumsum(np.bincount(all_kinds + 1, minlength=KINDS + 1))
+            found = [
+                (*np.unique(all_hashes[a:b], return_counts=True), kind)
+                for kind, (a, b) in enumerate(zip([0, *cuts], cuts), -1)
+            ]
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(values.view(np.int64)),
-                    pa.array(all_kinds[first].astype(np.int32)),
-                    pa.array(n.astype(np.int64)),
+                    pa.array(np.concatenate([values for values, _, _ in found]).view(np.int64)),
+                    pa.array(np.repeat(range(-1, KINDS), [len(x[0]) for x in found]).astype(np.int32)),
+                    pa.array(np.concatenate([n for _, n, _ in found]).astype(np.int64)),
                 ],
                 names=["word", "kind", "n"],
             )
@@ -98,6 +107,7 @@ class Vocabulary:
         kinds = np.asarray(common.column("kind").combine_chunks())
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
+        self.logs = np.log10(self.counts + 0.5)
         ranked = np.flatnonzero(hashes != END)[:HEAD]  # the table comes in the order of counts
         self.shape = gru.Shape(HEAD, KINDS)
         symbol = np.full(len(hashes), -1, np.int32)
@@ -114,12 +124,32 @@ class Vocabulary:
         head[: len(ranked)] = counts[ranked]
         self.symbol_counts = np.concatenate([head, [self.ends], kind_n])
 
+    @cached_property
+    def _first(self) -> tuple[np.ndarray, np.uint64]:
+        """The place of the first hash that starts with certain bits, for all of them, and the shift
+        to these bits; made where it is used."""
+        bits = len(self.hashes).bit_length() + 1
+        shift = np.uint64(64 - bits)
+        return np.searchsorted(self.hashes, np.arange(1 << bits, dtype=np.uint64) << shift), shift
+
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place among the common words, and whether it is one."""
         if not len(self.hashes):
             return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return at, self.hashes[at] == hashes
+        first, shift = self._first
+        last = len(self.hashes) - 1
+        at = np.minimum(first.take(hashes >> shift), last)
+        there = self.hashes.take(at)
+        common = there == hashes
+        # few hashes share their first bits
+        left = np.flatnonzero(there < hashes)
+        while len(left):
+            at[left] += 1
+            left = left[at[left] <= last]
+            there, own = self.hashes.take(at[left]), hashes[left]
+            common[left] = there == own
+            left = left[there < own]
+        return np.minimum(at, last), common
 
     def symbols(self, at: np.ndarray, common: np.ndarray, kinds: np.ndarray) -> np.ndarray:
         """Symbols of words that were looked up."""
@@ -222,35 +252,46 @@ def _common_scores(docs: DataFrame, shared, weights) -> DataFrame:
         known: Vocabulary = shared.value
         scorer = gru.Scorer(known.shape, weights.value)
         whole = np.log10(known.n + 0.5 * (known.v + 1))
+        held, texts, size = [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            model = scorer.score(texts) / np.log(10)
+            for columns, inner in held:
+                own, model = model[: len(inner)], model[len(inner) :]
+                columns["model"] = pa.array(own + inner)
+                yield pa.RecordBatch.from_arrays([columns[x] for x in names], names=names)
+
         for batch in batches:
-            for part in slices(batch, "text", 4 * SLICE_BYTES):
+            for part in slices(batch, "text"):
                 words, kinds = tokens(part.column("text"))
                 at, common = known.look_up(words.hashes)
-                counts = np.where(common, known.counts[at] if len(known.counts) else 0, 0)
                 symbols = known.symbols(at, common, kinds)
-                logs = np.log10(counts + 0.5)
+                logs = np.where(common, known.logs[at] if len(known.logs) else 0, np.log10(0.5))
+                seen = common & (known.counts[at] > 0) if len(known.counts) else common
                 owner, n = words.owners(), part.num_rows
                 base = np.bincount(owner, logs - whole, n) + np.log10(known.ends + 0.5) - whole
                 inner = np.where(symbols > HEAD, logs - known.kind_log[kinds], 0.0)
-                texts = [symbols[a:b] for a, b in zip(words.bounds, words.bounds[1:])]
-                model = scorer.score(texts) / np.log(10) + np.bincount(owner, inner, n)
-                seen = np.bincount(owner, counts > 0, n).astype(np.int64) + (known.ends > 0)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        part.column("held_out"),
-                        part.column("text_hash"),
-                        pa.array(words.counts() + 1),
-                        pa.array(seen),
-                        pa.array(base),
-                        pa.array(model),
-                        pa.ListArray.from_arrays(
-                            pa.array(np.append(0, np.cumsum(~common))[words.bounds].astype(np.int32)),
-                            pa.array(words.hashes[~common].view(np.int64)),
-                        ),
-                    ],
-                    names=names,
-                )
+                columns = {
+                    "doc_id": part.column("doc_id"),
+                    "held_out": part.column("held_out"),
+                    "text_hash": part.column("text_hash"),
+                    "n_tokens": pa.array(words.counts() + 1),
+                    "n_known": pa.array(np.bincount(owner, seen, n).astype(np.int64) + (known.ends > 0)),
+                    "base": pa.array(base),
+                    "rare": pa.ListArray.from_arrays(
+                        pa.array(np.append(0, np.cumsum(~common))[words.bounds].astype(np.int32)),
+                        pa.array(words.hashes[~common].view(np.int64)),
+                    ),
+                }
+                held.append((columns, np.bincount(owner, inner, n)))
+                texts += [symbols[a:b] for a, b in zip(words.bounds, words.bounds[1:])]
+                size += len(symbols) + n
+                # many texts at once keep the lanes of the model full beside a long one
+                if size > SCORED_TOKENS:
+                    yield from flush()
+                    held, texts, size = [], [], 0
+        if held:
+            yield from flush()
 
     return docs.select("doc_id", "held_out", "text_hash", "text").mapInArrow(run, schema)
 

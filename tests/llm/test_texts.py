@@ -3,10 +3,12 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -243,6 +245,48 @@ def test_scores_do_not_depend_on_lanes_or_windows_and_sum_to_one():
     assert total == pytest.approx(1)
 
 
+def test_a_long_text_beside_short_ones_takes_memory_by_its_words():
+    shape = gru.Shape(2 * gru.WIDTH, 3)
+    flat = shape.start(np.ones(shape.symbols))
+    samples = [np.full(n, 5, np.int32) for n in (40_000, *[3] * 255)]
+    scorer = gru.Scorer(shape, flat)
+    tracemalloc.start()
+    scored = scorer.score(samples)
+    trained = gru.train(shape, flat, samples)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # a cell for each lane and step would be 40 MB for each of three tables
+    assert peak < 2e7
+    assert scored == pytest.approx([scorer.score([x])[0] for x in samples], rel=1e-4)
+    assert np.isfinite(trained).all() and (trained != flat).any()
+
+
+def test_words_are_looked_up_as_by_search():
+    rng = np.random.default_rng(3)
+    near = np.uint64(77 << 40) + np.arange(300, dtype=np.uint64) * np.uint64(2)  # alike in their first bits
+    edges = np.array([0, 2**64 - 1], np.uint64)
+    spread = rng.integers(0, 2**64, 500, np.uint64)
+    for hashes in (np.concatenate([near, edges, spread]), near, spread, edges[1:], edges[:0]):
+        n = np.arange(1, len(hashes) + 1)
+        common = pa.table({"word": hashes.view(np.int64), "n": n, "kind": np.ones(len(n), np.int32)})
+        known = scoring.Vocabulary(common, int(n.sum()), len(n), {1: (int(n.sum()), len(n))})
+        asked = np.concatenate([hashes, near + np.uint64(1), edges, rng.integers(0, 2**64, 100, np.uint64)])
+        at, found = known.look_up(asked)
+        counts = dict(zip(hashes.tolist(), n.tolist()))
+        assert found.tolist() == [h in counts for h in asked.tolist()]
+        assert known.counts[at[found]].tolist() == [counts[h] for h in asked[found].tolist()]
+
+
+def test_word_counts_by_brute_force(spark):
+    rows = ["a b, B. a", None, "", "A longer-word! a", "b,"]
+    docs = spark.createDataFrame([(x,) for x in rows], "text string")
+    found = {r.word: (r.kind, r.n) for r in scoring.word_counts(docs).collect()}
+    want = Counter(w for x in rows for w in (x or "").lower().split())
+    words, kinds = scoring.tokens(pa.array([" ".join(want)]))
+    expected = {int(h): (int(k), n) for h, k, n in zip(words.hashes.view(np.int64), kinds, want.values())}
+    assert found == expected | {int(scoring.END): (-1, len(rows))}
+
+
 def test_base_scores_by_brute_force_and_a_better_model(spark, small, monkeypatch):
     monkeypatch.setattr(scoring, "COMMON", 3000)  # so that words are joined as well
     rows = {r.doc_id: r for r in queries.op5_gru_scores(spark, small).collect()}
