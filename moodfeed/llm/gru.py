@@ -75,9 +75,18 @@ class Shape:
         return flat
 
 
-def _with_bias(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """The bias as one more row (of each matrix), for inputs that end with 1."""
-    return np.concatenate([weights, bias[..., None, :]], -2)
+def _halves(gates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of the update and reset gates (apart, in one array) and of the new state. The logistic
+    function is that of half the sum in the hyperbolic tangent, so the gates' are halved."""
+    z, r, new = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
+    return np.stack([z, r]) * gates.dtype.type(0.5), np.ascontiguousarray(new)
+
+
+def _of_steps(gates: np.ndarray, inputs: np.ndarray) -> np.ndarray:
+    """The update and reset gates of a window's symbols, by time and gate."""
+    symbols = gates.shape[1]
+    at = inputs[:, None, :] + np.array([0, symbols])[:, None]
+    return gates.reshape(-1, HIDDEN).take(at, 0)
 
 
 def _exponentials(
@@ -181,13 +190,8 @@ def lanes(texts: list[np.ndarray], width: int, end: int) -> tuple[np.ndarray, np
 class Scorer:
     def __init__(self, shape: Shape, flat: np.ndarray) -> None:
         self.shape, self.p = shape, shape.unpack(flat)
-        two, p = 2 * HIDDEN, self.p
-        gates = p["embed"] @ p["inward"] + p["bias"]
-        # the logistic function is that of half the sum in the hyperbolic tangent
-        self.gates = gates[:, :two] * f4(0.5), np.ascontiguousarray(gates[:, two:])
-        self.recur = p["recur"][:, :two] * f4(0.5), np.ascontiguousarray(p["recur"][:, two:])
-        self.class_w = _with_bias(p["class_w"], p["class_b"])
-        self.word_w = _with_bias(p["word_w"], p["word_b"])
+        self.gates = _halves(self.p["embed"] @ self.p["inward"] + self.p["bias"])
+        self.recur = _halves(self.p["recur"])
 
     def score(self, texts: list[np.ndarray], width: int = 256, window: int = 32) -> np.ndarray:
         """Natural log-probability of every whole text: states go on from window to window."""
@@ -206,49 +210,51 @@ class Scorer:
             states = self._states(inputs, fresh, h)
             there = outputs >= 0
             if there.all():
-                hs, ys, who = states.reshape(-1, HIDDEN + 1), outputs.reshape(-1), owner.reshape(-1)
+                hs, ys, who = states.reshape(-1, HIDDEN), outputs.reshape(-1), owner.reshape(-1)
             else:
                 hs, ys, who = states[there], outputs[there], owner[there]
             total += np.bincount(who, self._log_probabilities(hs, ys), len(texts))
         return total
 
     def _states(self, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """States after each step of a window, each with a 1 behind it; ``h`` goes on to the last."""
-        (steps, live), two = inputs.shape, 2 * HIDDEN
+        """States after each step of a window; ``h`` becomes the last."""
+        steps, live = inputs.shape
         inputs = np.maximum(inputs, 0)
-        for_zr, for_new = (g.take(inputs, 0) for g in self.gates)
-        states = np.ones((steps, live, HIDDEN + 1), f4)
-        zr, rec, new = (np.empty((live, n), f4) for n in (two, HIDDEN, HIDDEN))
-        z, r, now = zr[:, :HIDDEN], zr[:, HIDDEN:], h[:live]
-        new_text = fresh.any(1).tolist()
+        for_zr, for_new = _of_steps(self.gates[0], inputs), self.gates[1].take(inputs, 0)
+        states = np.empty((steps, live, HIDDEN), f4)
+        zr, new = np.empty((2, live, HIDDEN), f4), np.empty((live, HIDDEN), f4)
+        now, new_text = h[:live], fresh.any(1).tolist()
         for t in range(steps):
             if new_text[t]:
-                now[fresh[t]] = 0
+                now = np.where(fresh[t][:, None], f4(0), now)
             np.matmul(now, self.recur[0], out=zr)
             zr += for_zr[t]
             np.tanh(zr, out=zr)
             zr *= 0.5
             zr += 0.5
-            np.matmul(now, self.recur[1], out=rec)
-            np.multiply(r, rec, out=new)
+            np.matmul(now, self.recur[1], out=new)
+            new *= zr[1]
             new += for_new[t]
             np.tanh(new, out=new)
-            now -= new
-            now *= z
+            now = np.subtract(now, new, out=states[t])
+            now *= zr[0]
             now += new
-            states[t, :, :HIDDEN] = now
+        h[:live] = now
         return states
 
     def _log_probabilities(self, hs: np.ndarray, ys: np.ndarray, block: int = 4096) -> np.ndarray:
-        kinds = self.shape.class_of(ys)
+        p, kinds = self.p, self.shape.class_of(ys)
         logp = np.empty(len(ys))
         for a in range(0, len(ys), block):
             part = slice(a, a + block)
-            logp[part] = _picked(hs[part] @ self.class_w, kinds[part])
+            outer = hs[part] @ p["class_w"]
+            outer += p["class_b"]
+            logp[part] = _picked(outer, kinds[part])
         order, parts = _by_class(self.shape, kinds)
         hs, inner = hs.take(order, 0), np.empty((len(order), WIDTH), f4)
         for k, a, b in parts:
-            np.matmul(hs[a:b], self.word_w[k], out=inner[a:b])
+            np.matmul(hs[a:b], p["word_w"][k], out=inner[a:b])
+            inner[a:b] += p["word_b"][k]
         logp[order] += _picked(inner, ys[order] % WIDTH, [part[1:] for part in parts])
         return logp
 
@@ -267,27 +273,25 @@ def window_gradient(
     whole = all(every)
     inputs = np.maximum(x, 0).reshape(-1)
     emb = p["embed"].take(inputs, 0)
-    # the logistic function is that of half the sum in the hyperbolic tangent
-    half = np.array([0.5] * two + [1] * HIDDEN, kind)
-    inward, bias = p["inward"] * half, p["bias"] * half
-    if len(inputs) > shape.symbols:
-        gates = p["embed"] @ inward + bias
-        for_zr, for_new = (np.ascontiguousarray(g).take(inputs, 0) for g in (gates[:, :two], gates[:, two:]))
+    inputs = inputs.reshape(steps, width)
+    if inputs.size > shape.symbols:
+        for_zr, for_new = _halves(p["embed"] @ p["inward"] + p["bias"])
+        for_zr, for_new = _of_steps(for_zr, inputs), for_new.take(inputs, 0)
     else:
-        gates = emb @ inward + bias
-        for_zr, for_new = gates[:, :two], gates[:, two:]
-    for_zr, for_new = for_zr.reshape(steps, width, two), for_new.reshape(steps, width, HIDDEN)
-    recur_zr, recur_new = p["recur"][:, :two] * kind.type(0.5), np.ascontiguousarray(p["recur"][:, two:])
-    zrs = np.empty((steps, width, two), kind)
+        for_zr, for_new = _halves(emb @ p["inward"] + p["bias"])
+        for_zr = np.ascontiguousarray(for_zr.reshape(2, steps, width, HIDDEN).transpose(1, 0, 2, 3))
+        for_new = for_new.reshape(steps, width, HIDDEN)
+    recur_zr, recur_new = _halves(p["recur"])
+    zrs = np.empty((steps, 2, width, HIDDEN), kind)
     ns, rec = (np.empty((steps, width, HIDDEN), kind) for _ in range(2))
-    zs, rs = zrs[:, :, :HIDDEN], zrs[:, :, HIDDEN:]
+    zs, rs = zrs[:, 0], zrs[:, 1]
     states = np.empty((steps + 1, width, HIDDEN), kind)
     states[0] = h0
     for t in range(steps):
-        now = states[t]
+        now, zr = states[t], zrs[t]
         if new_text[t]:
             now = np.where(fresh[t][:, None], kind.type(0), now)
-        zr = np.matmul(now, recur_zr, out=zrs[t])
+        np.matmul(now, recur_zr, out=zr)
         zr += for_zr[t]
         np.tanh(zr, out=zr)
         zr += 1
@@ -304,30 +308,28 @@ def window_gradient(
     last = states[-1].copy()
     grad = np.zeros(shape.length(), kind)
     g = shape.unpack(grad)
-    ys = y.reshape(-1) if whole else y[there]
-    hs = np.ones((len(ys), HIDDEN + 1), kind)
-    hs[:, :HIDDEN] = states[1:].reshape(-1, HIDDEN) if whole else states[1:][there]
-    # from here on the states before each step
-    before = states[:-1]
-    if any(new_text):
-        before[fresh] = 0
+    ys, hs = y.reshape(-1), states[1:].reshape(-1, HIDDEN)
+    if not whole:
+        filled = np.flatnonzero(there)
+        ys, hs = ys.take(filled), hs.take(filled, 0)
     kinds = shape.class_of(ys)
-    d = hs @ _with_bias(p["class_w"], p["class_b"])
+    d = hs @ p["class_w"]
+    d += p["class_b"]
     loss = _loss_and_slope(d, kinds)
-    np.matmul(hs[:, :HIDDEN].T, d, out=g["class_w"])
+    np.matmul(hs.T, d, out=g["class_w"])
     np.einsum("ij->j", d, out=g["class_b"])
     dh = d @ p["class_w"].T
     # positions in the order of their class
     order, parts = _by_class(shape, kinds)
     hs = hs.take(order, 0)
-    word_w = _with_bias(p["word_w"], p["word_b"])
     e = np.empty((len(order), WIDTH), kind)
     for k, a, b in parts:
-        np.matmul(hs[a:b], word_w[k], out=e[a:b])
+        np.matmul(hs[a:b], p["word_w"][k], out=e[a:b])
+        e[a:b] += p["word_b"][k]
     loss += _loss_and_slope(e, ys[order] % WIDTH, [part[1:] for part in parts])
     inner_dh = np.empty((len(order), HIDDEN), kind)
     for k, a, b in parts:
-        np.matmul(hs[a:b, :HIDDEN].T, e[a:b], out=g["word_w"][k])
+        np.matmul(hs[a:b].T, e[a:b], out=g["word_w"][k])
         np.einsum("ij->j", e[a:b], out=g["word_b"][k])
         np.matmul(e[a:b], p["word_w"][k].T, out=inner_dh[a:b])
     dh[order] += inner_dh
@@ -335,18 +337,22 @@ def window_gradient(
         outer = dh.reshape(steps, width, HIDDEN)
     else:
         outer = np.zeros((steps, width, HIDDEN), kind)
-        outer[there] = dh
+        outer.reshape(-1, HIDDEN)[filled] = dh
+    # from here on the states before each step
+    before = states[:-1]
+    if any(new_text):
+        before[fresh] = 0
     # factors that do not depend on what comes later, for all steps at once
     rest = 1 - zrs
     of_new = ns * ns
     np.subtract(1, of_new, out=of_new)
-    of_new *= rest[:, :, :HIDDEN]
+    of_new *= rest[:, 0]
     of_z = before - ns
     of_z *= zs
-    of_z *= rest[:, :, :HIDDEN]
+    of_z *= rest[:, 0]
     of_r = rec
     of_r *= rs
-    of_r *= rest[:, :, HIDDEN:]
+    of_r *= rest[:, 1]
     if not whole:
         of_new *= there[:, :, None]
         of_z *= there[:, :, None]
@@ -395,7 +401,8 @@ def train(
     # no more lanes than keep the windows full
     width = max(1, min(width, sum(map(len, texts)) // window))
     laid = Lanes(texts, width, shape.head)
-    m, v, step = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
+    m, v, spare = np.zeros_like(flat), np.zeros_like(flat), np.empty(1 << 15, f4)
+    pieces = [slice(i, i + len(spare)) for i in range(0, len(flat), len(spare))]
     h = np.zeros((len(laid.lengths), HIDDEN), f4)
     previous = np.full(len(h), -2)
     for k, a in enumerate(range(0, laid.steps, window), 1):
@@ -409,17 +416,20 @@ def train(
         norm = float(np.linalg.norm(grad))
         if norm > 1:
             grad /= norm
-        m *= 0.9
-        np.multiply(grad, f4(0.1), out=step)
-        m += step
-        v *= 0.999
-        np.square(grad, out=grad)
-        grad *= 0.001
-        v += grad
-        scale = rate * np.sqrt(1 - 0.999**k) / (1 - 0.9**k)
-        np.sqrt(v, out=step)
-        step += 1e-8
-        np.divide(m, step, out=step)
-        step *= f4(scale)
-        flat -= step
+        scale = f4(rate * np.sqrt(1 - 0.999**k) / (1 - 0.9**k))
+        # pieces that stay in the cache
+        for piece in pieces:
+            gp, mp, vp, step = grad[piece], m[piece], v[piece], spare[: len(grad[piece])]
+            mp *= 0.9
+            np.multiply(gp, f4(0.1), out=step)
+            mp += step
+            vp *= 0.999
+            np.square(gp, out=gp)
+            gp *= 0.001
+            vp += gp
+            np.sqrt(vp, out=step)
+            step += 1e-8
+            np.divide(mp, step, out=step)
+            step *= scale
+            flat[piece] -= step
     return flat
