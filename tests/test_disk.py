@@ -53,3 +53,24 @@ def test_frequencies_by_place(spark):
     packed = [(at << vz.DF_BITS) | n for at, n in ((1, 5), (2, 7), (5, 1 << 33))]
     rows = spark.createDataFrame([(packed,), ([],), (None,)], "f array<bigint>")
     assert [r[0] for r in rows.select(vz._by_place("f")).collect()] == [[1, 5, 7, 1, 1, 1 << 33], [], []]
+
+
+def test_many_unseen_tweets_meet_the_vocabulary_without_being_counted(spark, monkeypatch):
+    known = vz.stage_terms(corpus(spark, [(i, ["en", None][i % 2], f"hot w{i % 9}") for i in range(60)]), tk.whitespace_tokens)
+    vocabulary = stage(vz.fit_idf(known), "vocabulary")
+    rows = [(i, ["en", None, "fr"][i % 3], f"hot never w{i % 12}") for i in range(90)] + [(None, "en", "hot"), (3, "en", "hot")]
+    unseen = vz.stage_terms(corpus(spark, rows), tk.whitespace_tokens)
+
+    def entries():
+        joined = vz.join_vocabulary(unseen, vocabulary, unseen=True)
+        counted = any("/counts-" in f for f in joined.inputFiles())
+        return counted, Counter((r.tweet_id, r.lang, r.term, r.df, r.n_docs) for r in joined.collect())
+
+    few = entries()
+    monkeypatch.setattr(vz, "HOT_TWEETS", 20)
+    found = {}
+    for share in (1, 30, 10**9):
+        monkeypatch.setattr(vz, "HOT_SHARE", share)
+        found[share] = entries()
+    assert few[0] and not any(counted for counted, _ in found.values())
+    assert all(got == few[1] for _, got in found.values()) and few[1]
