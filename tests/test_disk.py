@@ -74,3 +74,19 @@ def test_many_unseen_tweets_meet_the_vocabulary_without_being_counted(spark, mon
         found[share] = entries()
     assert few[0] and not any(counted for counted, _ in found.values())
     assert all(got == few[1] for _, got in found.values()) and few[1]
+
+
+@pytest.mark.parametrize("share", [1, 8, 10**9])
+def test_numbers_are_turned_back_to_terms(spark, monkeypatch, share):
+    monkeypatch.setattr(vz, "HOT_SHARE", share)
+    vocabulary = stage(
+        spark.createDataFrame(
+            [("en", 0, "a", 9), ("en", 1, "b", 1), (None, 0, "c", 4), (None, 1, "d", 1)],
+            "lang string, term_id bigint, term string, df bigint",
+        ),
+        "vocabulary",
+    )
+    entries = [(1, "en", 0), (1, "en", 1), (2, None, 0), (2, None, 1), (3, "en", 2), (3, "fr", 0), (1, "en", 0), (4, "en", None)]
+    rows = spark.createDataFrame(entries, "tweet_id bigint, lang string, term_id bigint")
+    got = Counter((r.tweet_id, r.lang, r.term) for r in vz.with_terms(rows, vocabulary).collect())
+    assert got == Counter([(1, "en", "a"), (1, "en", "a"), (1, "en", "b"), (2, None, "c"), (2, None, "d")])
